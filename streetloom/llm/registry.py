@@ -5,8 +5,9 @@ from __future__ import annotations
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import runtime, token_store
+from . import mixing, packing, runtime, token_store
 
 
 @lru_cache
@@ -27,9 +28,44 @@ def op1_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP4_SQL = r"""
+WITH sizes AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sizes GROUP BY source),
+weighted AS (
+  SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(place % 3 + 1)::INT] AS weight, 2.0::DOUBLE * source_size AS cap FROM sources),
+levels AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER full_first, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER full_first, 0)) AS level
+  FROM weighted WINDOW full_first AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (
+  SELECT *, CASE WHEN level * weight >= cap THEN cap ELSE weight * max(CASE WHEN level * weight < cap THEN level END) OVER () END AS target FROM levels),
+queued AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target, t.place, md5('mix:' || s.doc_id) AS key,
+         sum(s.size) OVER (PARTITION BY t.place ORDER BY md5('mix:' || s.doc_id), s.doc_id, s.size ROWS UNBOUNDED PRECEDING) AS sofar
+  FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+copies AS (
+  SELECT q.*, r.round, (r.round * source_size + sofar) / target AS finish FROM queued q, (VALUES (0), (1)) r(round)
+  WHERE target > 0 AND r.round * source_size < target),
+kept AS (
+  SELECT doc_id, size, sum(size) OVER (ORDER BY finish, place, round, key, doc_id ROWS UNBOUNDED PRECEDING) <= 1.5::DOUBLE * (SELECT sum(size) FROM sizes) AS keep FROM copies)
+SELECT q.doc_id, q.size, q.source_size, q.target, (q.size * coalesce(k.n, 0))::BIGINT AS taken
+FROM queued q LEFT JOIN (SELECT doc_id, count(*) FILTER (keep) AS n FROM kept GROUP BY doc_id) k ON q.doc_id = k.doc_id
+"""
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, window=2048)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict:
-    return {"op1_dac_tokens": op1_dac_tokens}
+    return {"op1_dac_tokens": op1_dac_tokens, "op4_fair_mix": op4_fair_mix, "op6_best_fit_packing": op6_best_fit_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_fair_mix": OP4_SQL}
