@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_rules, runtime, token_store
+from . import mixing, packing, privacy, quality_rules, runtime, token_store
 
 
 @lru_cache
@@ -28,6 +28,15 @@ def op1_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_disclosure_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.find(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(privacy.KINDS[:4])],
+        F.sha2(privacy.spelled(F.col("base")), 256).alias("base_sha256"), privacy.spelled(F.col("spans")).alias("spans"),
+    )
+
+
 def op4_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -69,7 +78,7 @@ def op8_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op8_divergence_rules": op8_divergence_rules, "op1_dac_tokens": op1_dac_tokens, "op4_fair_mix": op4_fair_mix, "op6_best_fit_packing": op6_best_fit_packing}
+    return {"op2_disclosure_privacy": op2_disclosure_privacy, "op8_divergence_rules": op8_divergence_rules, "op1_dac_tokens": op1_dac_tokens, "op4_fair_mix": op4_fair_mix, "op6_best_fit_packing": op6_best_fit_packing}
 
 
 def oracle_sql() -> dict[str, str]:
