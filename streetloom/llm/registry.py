@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, privacy, quality_rules, runtime, token_store
+from . import mixing, near_join, packing, privacy, quality_rules, runtime, token_store
 
 
 @lru_cache
@@ -37,6 +37,10 @@ def op2_disclosure_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_components(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
 def op4_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -78,7 +82,7 @@ def op8_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_disclosure_privacy": op2_disclosure_privacy, "op8_divergence_rules": op8_divergence_rules, "op1_dac_tokens": op1_dac_tokens, "op4_fair_mix": op4_fair_mix, "op6_best_fit_packing": op6_best_fit_packing}
+    return {"op3_parity_join": op3_parity_join, "op2_disclosure_privacy": op2_disclosure_privacy, "op8_divergence_rules": op8_divergence_rules, "op1_dac_tokens": op1_dac_tokens, "op4_fair_mix": op4_fair_mix, "op6_best_fit_packing": op6_best_fit_packing}
 
 
 def oracle_sql() -> dict[str, str]:
