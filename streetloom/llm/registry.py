@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_join, packing, privacy, quality_rules, runtime, token_store
+from . import ann, mixing, near_join, packing, privacy, quality_rules, runtime, token_store
 
 
 @lru_cache
@@ -81,8 +81,12 @@ def op8_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def queries() -> dict:
-    return {"op3_parity_join": op3_parity_join, "op2_disclosure_privacy": op2_disclosure_privacy, "op8_divergence_rules": op8_divergence_rules, "op1_dac_tokens": op1_dac_tokens, "op4_fair_mix": op4_fair_mix, "op6_best_fit_packing": op6_best_fit_packing}
+    return {"op10_posting_lists": op10_posting_lists, "op3_parity_join": op3_parity_join, "op2_disclosure_privacy": op2_disclosure_privacy, "op8_divergence_rules": op8_divergence_rules, "op1_dac_tokens": op1_dac_tokens, "op4_fair_mix": op4_fair_mix, "op6_best_fit_packing": op6_best_fit_packing}
 
 
 def oracle_sql() -> dict[str, str]:
