@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, mixing, near_join, packing, privacy, quality_rules, runtime, token_store
+from . import ann, html_wrappers, mixing, near_join, packing, privacy, quality_rules, runtime, token_store
 
 
 @lru_cache
@@ -85,8 +85,12 @@ def op10_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op5_page_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {"op10_posting_lists": op10_posting_lists, "op3_parity_join": op3_parity_join, "op2_disclosure_privacy": op2_disclosure_privacy, "op8_divergence_rules": op8_divergence_rules, "op1_dac_tokens": op1_dac_tokens, "op4_fair_mix": op4_fair_mix, "op6_best_fit_packing": op6_best_fit_packing}
+    return {"op5_page_wrappers": op5_page_wrappers, "op10_posting_lists": op10_posting_lists, "op3_parity_join": op3_parity_join, "op2_disclosure_privacy": op2_disclosure_privacy, "op8_divergence_rules": op8_divergence_rules, "op1_dac_tokens": op1_dac_tokens, "op4_fair_mix": op4_fair_mix, "op6_best_fit_packing": op6_best_fit_packing}
 
 
 def oracle_sql() -> dict[str, str]:
