@@ -7,11 +7,11 @@ empty), so by the pigeonhole principle similar sets meet in the bucket of an equ
 buckets pass if the Hamming distance of their bit sketches allows the threshold, and are then
 verified on the exact shingle sets.
 
-All pairs are taken from small buckets. From a large bucket only pairs with its first member are
-tried at first; once links have formed components, what is left of the bucket is compared in blocks
-by bit sketch, members of one component never with each other, and a spanning forest of the
-promising pairs is verified; this repeats until no untested promising pair joins two components.
-So every link counts, while no group's pairs are ever listed. Copies with equal sets are one member.
+All pairs are taken from small buckets. Once their links have formed components, a large bucket is
+compared in blocks by bit sketch, members of one component never with each other, and a spanning
+forest of the promising pairs is verified. Where a pair of the forest fails, its bucket is compared
+once more without it, until every forest holds: then no link joins two components. So every link
+counts, while no group's pairs are ever listed. Copies with equal sets are one member.
 
 Defined results: empty texts (and null) have no shingles and link with nothing; rows with a null
 doc_id get their n_shingles and no component; rows that share a doc_id are one document; an empty
@@ -33,7 +33,7 @@ from .components import components
 #: Members of a bucket whose pairs are all listed, of one that a task forwards, and of a block.
 SMALL, FORWARD, BLOCK = 16, 64, 512
 #: Postings that a task holds before it hands them on; ids of a broadcast.
-HELD, BROADCAST_IDS = 1 << 20, 1_000_000
+HELD, BROADCAST_IDS = 1 << 19, 1_000_000
 _DOCS, _PAIRS, _MEMBERS = 0, 1, 2
 
 
@@ -193,7 +193,9 @@ def _exact(words: int, num: int, den: int):
 def _blocks(num: int, den: int):
     """Runs of equal (key, low, high): a spanning forest, over components, of the block's promising pairs."""
 
-    def forest(rows: list[tuple], low: int, high: int) -> list[tuple[int, int]]:
+    def forest(rows: list[tuple], low: int, high: int) -> list[tuple[int, int, int]]:
+        if len({r[6] for r in rows}) < 2:
+            return []
         docs, sizes, groups, chunks = (np.array([r[k] for r in rows]) for k in (3, 4, 6, 7))
         words = min(len(r[5]) // 8 for r in rows)
         bits = np.stack([shingles.folded(np.frombuffer(r[5], "<u8"), words) for r in rows])
@@ -221,15 +223,15 @@ def _blocks(num: int, den: int):
             a, b = top(int(groups[i])), top(int(groups[j]))
             if a != b:
                 leader[a] = b
-                out.append((int(min(docs[i], docs[j])), int(max(docs[i], docs[j]))))
+                out.append((rows[0][0], int(min(docs[i], docs[j])), int(max(docs[i], docs[j]))))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        out: list[tuple[int, int]] = []
+        out: list[tuple[int, int, int]] = []
 
         def emit() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["x", "y"])
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in range(3)], ["key", "x", "y"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -260,7 +262,11 @@ class _Join:
         self.member = runtime.stage(sets.join(sets.groupBy("s1", "s2").agg(F.min("doc_id").alias("member")), ["s1", "s2"]).select("doc_id", "member"), "member")
         self.sketches = runtime.stage(sets.groupBy("doc_id").agg(F.first(F.struct("n", "sketch")).alias("s")).select("doc_id", "s.n", "s.sketch"), "sketches")
         self.pairs = found.where(f"kind = {_PAIRS}").select("x", "y")
-        self.members = found.where(f"kind = {_MEMBERS}").select(F.col("x").alias("key"), F.col("y").alias("doc_id")).distinct()
+        members = runtime.stage(found.where(f"kind = {_MEMBERS}").select(F.col("x").alias("key"), F.col("y").alias("doc_id")).distinct(), "members")
+        # how many blocks a bucket has; only buckets of more than one block are listed
+        long = F.broadcast(members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks")).where("chunks > 1"))
+        placed = members.join(long, "key", "left").select("doc_id", F.struct("key", F.coalesce("chunks", F.lit(1)).alias("chunks")).alias("place"))
+        self.places = runtime.stage(placed.groupBy("doc_id").agg(F.collect_list("place").alias("places")), "places")
 
     def verified(self, pairs: DataFrame, sifted: bool) -> DataFrame:
         """x, y, linked of distinct pairs; pairs that the bit sketches rule out are left out."""
@@ -278,43 +284,47 @@ class _Join:
             pairs = pairs.join(texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")), c)
         return runtime.stage(pairs.select("x", "text_x", "y", "text_y").mapInArrow(_exact(self.words, self.num, self.den), "x long, y long, linked boolean"), "verified")
 
-    def components(self) -> tuple[DataFrame, DataFrame]:
-        """doc_id and component_id of linked documents; and the links that were verified."""
-        first = self.members.groupBy("key").agg(F.min("doc_id").alias("x"))
-        stars = self.members.join(first, "key").where("x <> doc_id").select("x", F.col("doc_id").alias("y"))
-        tested = self.verified(self.pairs.union(stars), sifted=False)
+    def components(self) -> DataFrame:
+        """doc_id and component_id of linked documents."""
+        tested = self.verified(self.pairs, sifted=False)
         links = self.member.select(F.col("member").alias("a"), F.col("doc_id").alias("b"))
-        groups = runtime.stage(components(tested.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")).union(links)), "groups")
+        groups = runtime.stage(components(tested.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")).union(links)).toDF("doc_id", "component"), "groups")
+        failed, keys = tested.where("NOT linked").select("x", "y"), None
         while True:
-            pairs = runtime.stage(self._open_pairs(groups, tested).distinct(), "open")
-            if pairs.isEmpty():
-                return groups.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")), tested.where("linked").select("x", "y")
-            more = self.verified(pairs, sifted=True)
-            tested = runtime.stage(tested.union(more), "tested")
-            by = groups.select("node", "component")
-            merged = more.where("linked").join(by.toDF("x", "a"), "x").join(by.toDF("y", "b"), "y").select("a", "b")
+            open_pairs = runtime.stage(self._open_pairs(groups, failed, keys), "open")
+            if open_pairs.isEmpty():
+                break
+            more = self.verified(open_pairs.select("x", "y"), sifted=True)
+            by = lambda c, name: groups.select(F.col("doc_id").alias(c), F.col("component").alias(name))
+            merged = more.where("linked").join(by("x", "a"), "x").join(by("y", "b"), "y").select("a", "b")
             moved = components(merged).toDF("component", "new")
-            groups = runtime.stage(groups.join(moved, "component", "left").select("node", F.coalesce("new", "component").alias("component")), "groups")
-
-    def _open_pairs(self, groups: DataFrame, tested: DataFrame) -> DataFrame:
-        """Promising pairs of different components in large buckets that were not tested yet."""
-        labelled = self.members.join(groups.toDF("doc_id", "component"), "doc_id")
-        split = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where("a < b")
-        failed = tested.where("NOT linked")
-        failed = failed.select("x", "y").union(failed.select("y", "x")).groupBy("x").agg(F.collect_list("y").alias("failed")).withColumnRenamed("x", "doc_id")
-        rows = labelled.join(split.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("chunks")), "key").join(self.sketches, "doc_id").join(failed, "doc_id", "left")
+            groups = runtime.stage(groups.join(moved, "component", "left").select("doc_id", F.coalesce("new", "component").alias("component")), "groups")
+            wrong = more.where("NOT linked").select("x", "y")
+            keys = runtime.stage(open_pairs.join(wrong, ["x", "y"]).select("key").distinct(), "keys")
+            if keys.isEmpty():
+                break
+            failed = runtime.stage(failed.union(wrong), "failed")
+        return groups.withColumnRenamed("component", "component_id")
+
+    def _open_pairs(self, groups: DataFrame, failed: DataFrame, keys: DataFrame | None) -> DataFrame:
+        """key, x, y: forests of promising pairs, between components, in the large buckets (of the given keys)."""
+        failed = failed.union(failed.select("y", "x")).groupBy("x").agg(F.collect_list("y").alias("failed")).withColumnRenamed("x", "doc_id")
+        docs = self.places.join(self.sketches, "doc_id").join(groups, "doc_id").join(failed, "doc_id", "left")
+        rows = docs.select("doc_id", "n", "sketch", "component", "failed", F.explode("places").alias("place")).select("*", "place.key", "place.chunks")
+        if keys is not None:
+            rows = rows.join(keys, "key", "left_semi")
         rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         block = ["key", "low", "high"]
         rows = rows.select("key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "doc_id", "n", "sketch", "component", "chunk", "failed")
         dealt = rows.repartition(runtime.parallelism(self.spark), *block).sortWithinPartitions(*block, "doc_id")
-        return dealt.mapInArrow(_blocks(self.num, self.den), "x long, y long")
+        return dealt.mapInArrow(_blocks(self.num, self.den), "key long, x long, y long")
 
 
 def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: documents whose sets of `words`-word shingles have a
     Jaccard similarity of at least num/den are linked."""
     join = _Join(docs, words, num, den)
-    groups, _ = join.components()
+    groups = join.components()
     every = join.every.select("doc_id", F.col("n").alias("n_shingles"))
     return every.join(groups, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
