@@ -103,18 +103,21 @@ def disclosures(found: DataFrame, docs: DataFrame) -> DataFrame:
     kept = mentions.join(frequent, "entity")
     words = hits.join(kept.select("row").distinct(), "row", "left_semi").select("row", F.explode(_terms(F.col("text"))).alias("term"))
     pairs = runtime.stage(kept.join(words, "row").groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity")).where(F.col("n_both") >= SUPPORT), "pairs")
+    total = docs.count()
+    own = F.log2(F.lit(float(total)) / F.col("n_entity"))
+    share = F.when(own > 0, F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / own).otherwise(0.0)
+    # a term is at least as frequent in the corpus as beside personal data: most common words end here
+    near = hits.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    pairs = runtime.stage(pairs.join(near, "term").where(share >= GENERALISE).drop("n_term"), "near_pairs")
     candidates = runtime.stage(pairs.select("term").distinct(), "candidates")
     n_candidates = candidates.count()
-    total = docs.count()
     every = docs.select(F.explode(_terms(F.coalesce(F.col("text"), F.lit("")))).alias("term"))
     if n_candidates <= BROADCAST_ROWS:
         every = every.join(F.broadcast(candidates), "term", "left_semi") if n_candidates else spark.createDataFrame([], "term string")
     frequency = every.groupBy("term").agg(F.count("*").alias("n_term"))
     if n_candidates > BROADCAST_ROWS:
         frequency = frequency.join(candidates, "term", "left_semi")
-    pmi = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    own = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    return pairs.join(frequency, "term").select("entity", "term", F.when(own > 0, pmi / own).otherwise(0.0).alias("share")).where(F.col("share") >= GENERALISE)
+    return pairs.join(frequency, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
 
 
 def find(docs: DataFrame, keep: bool = False) -> DataFrame:
