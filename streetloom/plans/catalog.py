@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from streetloom.sources.fixtures import with_views
+
+from . import network
+
+MODULES = (network,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for m in MODULES for name, query in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: with_views(sql) for m in MODULES for name, sql in m.SQL.items()}
