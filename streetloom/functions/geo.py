@@ -129,3 +129,20 @@ def offset_line(points: Column, metres: float) -> Column:
         return F.array(*[F.struct((q["x"] + ox).alias("x"), (q["y"] + oy).alias("y")) for q in (p["a"], p["b"])])
 
     return F.flatten(F.transform(pairs(points), moved))
+
+
+def segments_distance(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
+    """Between two segments (x1, y1, x2, y2): nothing if they cross, else from the nearest end."""
+    ax, ay, bx, by = a
+    cx, cy, dx, dy = b
+    turn = lambda px, py, qx, qy, rx, ry: (qx - px) * (ry - py) - (qy - py) * (rx - px)
+    crossing = (turn(ax, ay, bx, by, cx, cy) * turn(ax, ay, bx, by, dx, dy) < 0) & (turn(cx, cy, dx, dy, ax, ay) * turn(cx, cy, dx, dy, bx, by) < 0)
+    ends = F.least(segment_distance(ax, ay, cx, cy, dx, dy), segment_distance(bx, by, cx, cy, dx, dy), segment_distance(cx, cy, ax, ay, bx, by), segment_distance(dx, dy, ax, ay, bx, by))
+    return F.when(crossing, 0.0).otherwise(ends)
+
+
+def cells_of(x1: Column, y1: Column, x2: Column, y2: Column, size: float, reach: float) -> Column:
+    """The grid cells that a segment's box, grown by reach, touches: keys for an equi-join."""
+    low = lambda p, q: F.floor((F.least(p, q) - reach) / size)
+    high = lambda p, q: F.floor((F.greatest(p, q) + reach) / size)
+    return F.flatten(F.transform(F.sequence(low(x1, x2), high(x1, x2)), lambda cx: F.transform(F.sequence(low(y1, y2), high(y1, y2)), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))

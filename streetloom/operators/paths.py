@@ -11,6 +11,7 @@ Ties between equally long paths go to the lowest predecessor.
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,15 +70,16 @@ class Network:
         return np.array(far), np.array(pre), order
 
 
-_NETWORKS: dict[int, Network] = {}
+_NETWORKS: dict[str, Network] = {}
 
 
 def _network(broadcast) -> Network:
     """Built once per worker."""
-    if broadcast.id not in _NETWORKS:
+    token, edges = broadcast.value
+    if token not in _NETWORKS:
         _NETWORKS.clear()
-        _NETWORKS[broadcast.id] = Network(broadcast.value)
-    return _NETWORKS[broadcast.id]
+        _NETWORKS[token] = Network(edges)
+    return _NETWORKS[token]
 
 
 def sent(edges: DataFrame, weight: str):
@@ -85,7 +87,7 @@ def sent(edges: DataFrame, weight: str):
     chosen = edges.select("u", "v", F.col(weight).cast("double").alias("weight"))
     if chosen.limit(MOST_EDGES + 1).count() > MOST_EDGES:
         return None
-    return edges.sparkSession.sparkContext.broadcast(chosen.toPandas())
+    return edges.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, chosen.toPandas()))
 
 
 def shortest_paths(pairs: DataFrame, edges: DataFrame, weight: str) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from streetloom.sources.fixtures import with_views
 
-from . import network
+from . import network, routing
 
-MODULES = (network,)
+MODULES = (network, routing)
 
 
 def queries() -> dict:

@@ -137,6 +137,8 @@ def with_views(sql: str) -> str:
             need(name)
     views = ",\n".join(f"{name} AS ({SQL_VIEWS[name]})" for name in names)
     body = sql.strip()
+    if not names:
+        return body
     if body.upper().startswith("WITH RECURSIVE"):
         return f"WITH RECURSIVE {views},\n{body[15:]}"
-    return f"WITH {views},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {views}\n{body}" if names else body
+    return f"WITH {views},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {views}\n{body}"
