@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from streetloom.sources.fixtures import with_views
 
-from . import network, routing
+from . import geodata, network, routing
 
-MODULES = (network, routing)
+MODULES = (network, routing, geodata)
 
 
 def queries() -> dict:
