@@ -120,8 +120,13 @@ def planar_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
+def number(x: Column) -> Column:
+    """Text as a number, null where it is none; a plain cast would also take suffixes such as 1F."""
+    return F.when(x.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), x.try_cast("double"))
+
+
 def to_number(x: Column) -> Column:
-    return F.coalesce(x.try_cast("double"), F.lit(0.0))
+    return F.coalesce(number(x), F.lit(0.0))
 
 
 def extrusion(x: Column, factor: float) -> Column:
@@ -130,7 +135,7 @@ def extrusion(x: Column, factor: float) -> Column:
 
 def vehicle_hue(vehicle: Column) -> Column:
     """A hue from the length and the first digits of an id; 16 stands for what is no number."""
-    pair = lambda a: F.coalesce(F.substring(vehicle, a, 2).try_cast("double"), F.lit(16.0))
+    pair = lambda a: F.coalesce(number(F.substring(vehicle, a, 2)), F.lit(16.0))
     return F.pmod(F.length(vehicle) + pair(1) + pair(3), F.lit(360.0))
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from streetloom.sources.fixtures import with_views
 
-from . import geodata, network, routing
+from . import display, geodata, network, routing
 
-MODULES = (network, routing, geodata)
+MODULES = (network, routing, geodata, display)
 
 
 def queries() -> dict:
