@@ -24,7 +24,7 @@ def j18_display_rows(spark, d):
     rows = _usage(spark, d).join(metrics, ["u", "v"])
     f = F.col("frequency")
     return rows.select(
-        "u", "v", F.round(F.col("co2_per_km") * F.col("count"), 1).alias("co2_total"), F.round(F.col("co2_per_km") * F.col("delta_frequency"), 6).alias("co2_delta"),
+        "u", "v", F.round(F.col("co2_per_km") * F.col("count"), 6).alias("co2_total"), F.round(F.col("co2_per_km") * F.col("delta_frequency"), 6).alias("co2_delta"),
         F.round(X.relative_delta(F.col("frequency"), F.col("delta_frequency")), 4).alias("relative"), F.round(X.symlog(F.col("delta_count").cast("double")), 6).alias("symlog"),
         F.round(X.symlog_inverse(X.symlog(F.col("delta_count").cast("double"))), 6).alias("back"), F.round(X.clamp(f * 100 + 2, 2.0, 10.0), 6).alias("width"), F.round(X.clamp(f * 100 + 4, 4.0, 12.0), 6).alias("outline"),
     ).orderBy("width", "u", "v")
@@ -168,7 +168,7 @@ SQL = {
     "j18_display_rows": """WITH a AS (SELECT u, v, count(*) AS n FROM route_edges WHERE route_id % 2 = 0 GROUP BY u, v), b AS (SELECT u, v, count(*) AS n FROM route_edges WHERE route_id % 3 <> 0 GROUP BY u, v), t AS (SELECT count(*)::DOUBLE AS t FROM od_pairs),
   c AS (SELECT b.u, b.v, b.n AS count, b.n - coalesce(a.n, 0) AS dc, b.n / t AS f, (b.n - coalesce(a.n, 0)) / t AS df FROM b LEFT JOIN a ON a.u = b.u AND a.v = b.v, t),
   m AS (SELECT e.u, e.v, (2400.0 / e.speed_kph + 120.0 + 0.004 * e.speed_kph * e.speed_kph) * CASE WHEN z.elevation > y.elevation THEN 1 + 5.0 * (z.elevation - y.elevation) / e.length_m ELSE 1.0 END AS k FROM road_edges e JOIN road_nodes y ON y.node_id = e.u JOIN road_nodes z ON z.node_id = e.v WHERE e.key = 0)
-  SELECT c.u, c.v, round(k * count, 1) AS co2_total, round(k * df, 6) AS co2_delta, round(CASE WHEN abs(f - df) > 0.0001 THEN df / (f - df) * 100 ELSE 0 END, 4) AS relative, round(sign(dc) * ln(1 + abs(dc) / 10.0::DOUBLE), 6) AS symlog, dc::DOUBLE AS back,
+  SELECT c.u, c.v, round(k * count, 6) AS co2_total, round(k * df, 6) AS co2_delta, round(CASE WHEN abs(f - df) > 0.0001 THEN df / (f - df) * 100 ELSE 0 END, 4) AS relative, round(sign(dc) * ln(1 + abs(dc) / 10.0::DOUBLE), 6) AS symlog, dc::DOUBLE AS back,
   round(least(greatest(f * 100 + 2, 2.0), 10.0), 6) AS width, round(least(greatest(f * 100 + 4, 4.0), 12.0), 6) AS outline FROM c JOIN m ON c.u = m.u AND c.v = m.v""",
     "p21_excluded_classes": "SELECT u, v, key, highway FROM (SELECT * REPLACE (CASE WHEN u % 7 <> 0 THEN highway END AS highway) FROM road_edges) WHERE (highway NOT IN ('motorway', 'residential') OR highway IS NULL) AND lanes > 1",
     "p26_years": "SELECT cell_id, value FROM grid_cells WHERE year = 2012",
