@@ -259,7 +259,9 @@ class _Join:
         self.every = found.where(f"kind = {_DOCS}")
         sets = self.every.where("n > 0 AND doc_id IS NOT NULL")
         # documents with equal sets are one member: the smallest doc_id stands for all of them
-        self.member = runtime.stage(sets.join(sets.groupBy("s1", "s2").agg(F.min("doc_id").alias("member")), ["s1", "s2"]).select("doc_id", "member"), "member")
+        # the smallest ids are written first, so that a large group of copies can be split in the join
+        least = runtime.stage(sets.groupBy("s1", "s2").agg(F.min("doc_id").alias("member")), "least")
+        self.member = runtime.stage(sets.join(least, ["s1", "s2"]).select("doc_id", "member"), "member")
         self.sketches = runtime.stage(sets.groupBy("doc_id").agg(F.first(F.struct("n", "sketch")).alias("s")).select("doc_id", "s.n", "s.sketch"), "sketches")
         self.pairs = found.where(f"kind = {_PAIRS}").select("x", "y")
         members = runtime.stage(found.where(f"kind = {_MEMBERS}").select(F.col("x").alias("key"), F.col("y").alias("doc_id")).distinct(), "members")
