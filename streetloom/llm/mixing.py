@@ -115,5 +115,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 def apply_mix(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as the plan takes it; rows that share a doc_id share its most copies."""
     copies = plan.where("copies > 0").groupBy(F.col("doc_id").alias("planned")).agg(F.max("copies").alias("copies"))
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("planned")))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[c] for c in docs.columns])
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    joined = whole.join(copies, F.col("doc.doc_id").eqNullSafe(F.col("planned")))
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

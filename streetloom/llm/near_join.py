@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import runtime, shingles, textbuf
@@ -333,10 +333,9 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one document of each component: the one with the smallest doc_id. Rows without a doc_id stay."""
-    from pyspark.sql import Window
-
     found = near_components(docs, words, num, den)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "_kept")
-    first = Window.partitionBy("_kept").orderBy(F.col("text").asc_nulls_last())
-    chosen = docs.join(kept, docs["doc_id"] == F.col("_kept")).withColumn("_first", F.row_number().over(first)).where("_first = 1")
-    return chosen.select(*[docs[c] for c in docs.columns]).union(docs.where("doc_id IS NULL"))
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    first = Window.partitionBy("doc_id").orderBy(F.col("doc.text").asc_nulls_last())
+    whole = docs.where("doc_id IS NOT NULL").select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    chosen = whole.join(kept, "doc_id").withColumn("place", F.row_number().over(first)).where("place = 1")
+    return chosen.select("doc.*").union(docs.where("doc_id IS NULL"))

@@ -121,12 +121,14 @@ def disclosures(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame, keep: bool = False) -> DataFrame:
-    """Each row's spans (all, with term spans) and base (base spans), beside doc_id or, with keep, all columns."""
+    """Each row's base spans, all spans and removed terms (base, spans, gone), beside doc_id or, with keep, the
+    whole row as a struct named doc."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    columns = [c for c in docs.columns if c not in ("_spans", "_row")] if keep else ["doc_id"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], text.alias("_text"), base_spans(text).alias("_spans"))
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc") if keep else F.col("doc_id")
+    name = "doc" if keep else "doc_id"
+    rows = docs.select(own, text.alias("_text"), base_spans(text).alias("_spans"))
     hit_text = F.when(F.size("_spans") > 0, F.col("_text"))
-    stage = runtime.stage(rows.select(*[F.col(f"`{c}`") for c in columns], F.monotonically_increasing_id().alias("_row"), "_spans", hit_text.alias("_hit")), "spans")
+    stage = runtime.stage(rows.select(name, F.monotonically_increasing_id().alias("_row"), "_spans", hit_text.alias("_hit")), "spans")
     found = stage.select(F.col("_row").alias("row"), F.col("_spans").alias("spans"), F.col("_hit").alias("text"))
     reveal = runtime.stage(disclosures(found, docs), "disclosures")
     hits = stage.where("size(_spans) > 0")
@@ -136,10 +138,9 @@ def find(docs: DataFrame, keep: bool = False) -> DataFrame:
     terms = flagged.join(hits.select("_row", "_hit", F.col("_spans").alias("_own")), "_row")
     clear = lambda s: ~F.exists("_own", lambda b: (s["start"] < b["end"]) & (s["end"] > b["start"]))
     spans = F.filter(matches(F.col("_hit"), r"\p{L}++", 4, lambda v: F.array_contains(F.col("_terms"), F.lower(v))), clear)
-    terms = terms.select("_row", spans.alias("_extra"), "_gone")
-    joined = stage.join(terms, "_row", "left")
+    joined = stage.join(terms.select("_row", spans.alias("_extra"), "_gone"), "_row", "left")
     every = F.array_sort(F.concat(F.col("_spans"), F.coalesce(F.col("_extra"), F.array().cast(f"array<{SPAN}>"))))
-    return joined.select(*[F.col(f"`{c}`") for c in columns], F.col("_spans").alias("base"), every.alias("spans"), F.coalesce(F.col("_gone"), F.array().cast("array<string>")).alias("gone"))
+    return joined.select(name, F.col("_spans").alias("base"), every.alias("spans"), F.coalesce(F.col("_gone"), F.array().cast("array<string>")).alias("gone"))
 
 
 def sanitised(text: Column, spans: Column, gone: Column) -> Column:
@@ -158,6 +159,5 @@ def sanitised(text: Column, spans: Column, gone: Column) -> Column:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with personal data and what reveals it taken out of text."""
-    found = find(docs, keep=True)
-    own = {"base", "spans", "gone"}
-    return found.select(*[sanitised(F.col("text"), F.col("spans"), F.col("gone")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c == "text" or c not in own])
+    clean = sanitised(F.col("doc.text"), F.col("spans"), F.col("gone")).alias("text")
+    return find(docs, keep=True).select(*[clean if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -107,9 +107,20 @@ def _common(k: int) -> Column:
 
 def judge(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, js_chars, js_words, kept."""
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "js_chars", "js_words", "kept"]
+    return _judged(docs).select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in names], *names)
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of docs that no rule rejects, with their own columns."""
+    return _judged(docs).where("kept").select("doc.*")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """The row as a struct named doc, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, js_chars, js_words, kept."""
     text = F.coalesce(F.col("text"), F.lit(""))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "js_chars", "js_words", "kept"]
-    plain = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
+    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text", "lang")
     pooled = _rest([sum(s[k] for s in CLASS_SHARES.values()) / len(CLASS_SHARES) for k in range(len(CLASSES))])
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     # kept apart from what follows, so that each is computed once
@@ -129,4 +140,4 @@ def judge(docs: DataFrame) -> DataFrame:
         ((F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))).alias("base_failed"),
     )
     far = ((F.col("_chars") >= LEAST_CHARS) & (F.col("js_chars") > CHAR_LIMIT)) | (F.col("js_words").isNotNull() & (F.col("n_words") >= LEAST_COMMON) & (F.col("js_words") > WORD_LIMIT))
-    return compared.select(*[F.col(f"`{c}`") for c in plain.columns], *names[:-1], (~F.col("base_failed") & ~far).alias("kept"))
+    return compared.select("doc", *names[:-1], (~F.col("base_failed") & ~far).alias("kept"))
