@@ -144,7 +144,7 @@ def _count(parts: int):
 
         def emit() -> Iterator[pa.RecordBatch]:
             nonlocal keys, counts
-            part = (keys % np.uint64(parts)).astype(np.int64)
+            part = (keys % np.uint64(BUCKETS) % np.uint64(parts)).astype(np.int64)  # a bucket's words meet in one part
             for p in range(parts):
                 mine = part == p
                 if mine.any():
@@ -166,31 +166,53 @@ def _count(parts: int):
     return run
 
 
+_TALLY = "keys binary, counts binary, buckets binary, sums binary"
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(at, counts, len(keys)).astype(np.int64)
+
+
+def _row(keys: np.ndarray, counts: np.ndarray, buckets: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    """The most frequent words and the sums by bucket, as one row."""
+    top = np.lexsort((keys, -counts))[:OWN_INPUTS]
+    return pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (keys[top], counts[top], buckets, sums)], ["keys", "counts", "buckets", "sums"])
+
+
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each part's exact counts: its most frequent words, and sums by bucket of all."""
+    """Each part's exact counts."""
     keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
         for blob in batch.column(1):
             own = np.frombuffer(blob.as_py(), np.int64).reshape(2, -1)
-            keys, at = np.unique(np.concatenate([keys, own[0]]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, own[1]]), len(keys)).astype(np.int64)
-    top = np.lexsort((keys, -counts))[:OWN_INPUTS]
-    bucket = (keys.view(np.uint64) % np.uint64(BUCKETS)).astype(np.int64)
-    sums = np.bincount(bucket, counts, BUCKETS).astype(np.int64)
-    some = np.flatnonzero(sums)
-    kind = np.concatenate([np.zeros(len(top), np.int32), np.ones(len(some), np.int32)])
-    yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([keys[top], some])), pa.array(np.concatenate([counts[top], sums[some]]))], ["kind", "key", "n"])
+            keys, counts = _summed(np.concatenate([keys, own[0]]), np.concatenate([counts, own[1]]))
+    if len(keys):
+        bucket = (keys.view(np.uint64) % np.uint64(BUCKETS)).astype(np.int64)
+        yield _row(keys, counts, *_summed(bucket, counts))
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of several parts as one; no word and no bucket is in two of them."""
+    rows = [[np.frombuffer(v.as_py(), np.int64) for v in (c[i] for c in batch.columns)] for batch in batches for i in range(len(batch))]
+    if rows:
+        yield _row(*(np.concatenate(c) for c in zip(*rows, strict=True)))
 
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
     """From exact counts of all words; only the most frequent ones and sums by bucket come to the driver."""
     parts = runtime.parallelism(docs.sparkSession)
-    tallied = runtime.stage(docs.select("text").mapInArrow(_count(parts), "part int, blob binary").repartition(parts, "part").mapInArrow(_tally, "kind int, key long, n long"), "tally")
-    frequent = tallied.where("kind = 0").orderBy(F.desc("n"), "key").limit(OWN_INPUTS).collect()
+    tallied = docs.select("text").mapInArrow(_count(parts), "part int, blob binary").repartition(parts, "part").mapInArrow(_tally, _TALLY)
+    # two steps, so that the driver gets one row for each 32 parts: each holds at most OWN_INPUTS words, all together BUCKETS sums
+    few = tallied.repartition(max(1, parts // 32)).mapInArrow(_merged, _TALLY).collect()
     buckets = np.zeros(BUCKETS, np.int64)
-    for r in tallied.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
-        buckets[r["key"]] = r["n"]
-    return Vocabulary(np.array([r["key"] for r in frequent], np.int64).view(np.uint64), buckets)
+    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for r in few:
+        keys.append(np.frombuffer(r["keys"], np.int64))
+        counts.append(np.frombuffer(r["counts"], np.int64))
+        buckets[np.frombuffer(r["buckets"], np.int64)] = np.frombuffer(r["sums"], np.int64)
+    every, n = np.concatenate(keys), np.concatenate(counts)
+    return Vocabulary(every[np.lexsort((every, -n))[:OWN_INPUTS]].view(np.uint64), buckets)
 
 
 def _learn(words: Vocabulary, weights: list[np.ndarray], round_: int, every: int):
