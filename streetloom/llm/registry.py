@@ -71,6 +71,57 @@ FROM queued q LEFT JOIN (SELECT doc_id, count(*) FILTER (keep) AS n FROM kept GR
 """
 
 
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [len(w) || ' ' || array_to_string(w, ' ')] ELSE [] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)),
+r(d, c) USING KEY (d) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT e.y, min(r.c) FROM r JOIN e ON r.d = e.x JOIN recurring.r k ON k.d = e.y WHERE r.c < k.c GROUP BY e.y)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.c AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.d = d.doc_id
+"""
+
+
+def _divergence(counts: list[str], shares: dict[str, list[float]], default: list[float]) -> str:
+    """Jensen-Shannon distance in SQL between lists of counts and of shares chosen by language."""
+    reference = "CASE lang " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE[]" for k, v in shares.items()) + f" ELSE {default}::DOUBLE[] END"
+    total = " + ".join(counts)
+    p = f"list_transform([{', '.join(counts)}], lambda c: c::DOUBLE / greatest({total}, 1))"
+    half = "CASE WHEN {a} > 0 THEN {a} * log2({a} / ((z[1] + z[2]) / 2)) ELSE 0.0 END"
+    return f"sqrt(greatest(list_sum(list_transform(list_zip({p}, {reference}), lambda z: {half.format(a='z[1]')} + {half.format(a='z[2]')})) / 2, 0.0))"
+
+
+def _op8_sql() -> str:
+    q = quality_rules
+    rest = lambda shares: [*shares, 1.0 - sum(shares)]
+    classes = {k: "len(regexp_extract_all(t, '" + v.replace("'", "''") + "'))" for k, v in q.CLASSES.items()}
+    pooled = rest([sum(s[k] for s in q.CLASS_SHARES.values()) / len(q.CLASS_SHARES) for k in range(len(q.CLASSES))])
+    chars = _divergence([*classes, f"(length(t) - {' - '.join(classes)})"], {k: rest(v) for k, v in q.CLASS_SHARES.items()}, pooled)
+    nth = lambda k: "CASE lang " + " ".join(f"WHEN '{lang}' THEN '{list(w)[k]}'" for lang, w in q.COMMON.items()) + " END"
+    common = [f"len(list_filter(w, lambda x: x = {nth(k)})) AS c{k}" for k in range(q.SIZE)]
+    names = [f"c{k}" for k in range(q.SIZE)]
+    words = _divergence([*names, f"(n_words - {' - '.join(names)})"], {k: rest(list(v.values())) for k, v in q.COMMON.items()}, [0.0] * (q.SIZE + 1))
+    languages = ", ".join(f"'{k}'" for k in q.COMMON)
+    return rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS a FROM d),
+y AS (SELECT doc_id, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+z AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM y WHERE c IS NOT NULL),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM z, (VALUES (0), (1), (2)) v(k) WHERE n > 1 GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+f AS (SELECT d.doc_id, d.lang, t, len(w) AS n_words, list_sum(list_transform(w, lambda x: length(x))) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+  coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, {', '.join(f'{v} AS {k}' for k, v in classes.items())}, {', '.join(common)}
+  FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+g AS (SELECT *, n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEATED} * n_words AS base_failed, {chars} AS js_chars, {words} AS js_words FROM f)
+SELECT doc_id, n_words::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT (length(t) >= {q.LEAST_CHARS} AND js_chars > {q.CHAR_LIMIT}) AND NOT coalesce(lang IN ({languages}) AND n_words >= {q.LEAST_COMMON} AND js_words > {q.WORD_LIMIT}, false) AS kept FROM g
+"""
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, window=2048)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -103,4 +154,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_fair_mix": OP4_SQL}
+    return {"op3_parity_join": OP3_SQL, "op4_fair_mix": OP4_SQL, "op8_divergence_rules": _op8_sql()}

@@ -447,10 +447,9 @@ def test_quality_rules(spark, tables, odd):
         assert not (r.kept and failed)
     assert quality_rules.judge(tables[1]).count() == 0
     symbols = " ".join(f"w{i}### the $$${i}" for i in range(100))
-    plain = "The river runs under the old bridge, and in the morning it is quiet. A boat was on the water for an hour; of that I am sure. "
-    mixed = " ".join(f"{plain}{i} stones to see." for i in range(6))
-    kept = {r.doc_id: r.kept for r in quality_rules.judge(frame(spark, [(1, symbols, "en", "a", 1), (2, " ".join(w for i in range(12) for w in (f"Word{i}", *plain.split()[i : i + 20])), "en", "a", 1)])).collect()}
-    assert not kept[1] and kept[2], mixed[:20]
+    clean = "The river runs under an old bridge in the north of this town. Every morning fishermen come to repair their nets and talk about weather. A woman sells bread from the window of a small house, and it is gone before noon. My father was a carpenter for forty years; he built most of the doors that you can see on our street. In winter the water is grey, for ice comes down from lakes far away. Children throw stones at it and count how often they jump. One of them once reached the other side, or so the story goes. Nobody believed him then. Today a train crosses where boats used to wait, and the ferry house is a museum with pictures of storms."
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(frame(spark, [(1, symbols, "en", "a", 1), (2, clean, "en", "a", 1)])).collect()}
+    assert kept == {1: False, 2: True}
 
 
 # ---- op 10 ---------------------------------------------------------------------------------------
