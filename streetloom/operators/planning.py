@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from streetloom.functions import exprs as X
 from streetloom.functions import geo as G
+from streetloom.operators.stages import stage
 
 UNREACHABLE = 999_999.0
 
@@ -117,6 +118,7 @@ def plan(locations: DataFrame, distances: DataFrame, problem: Problem, group: st
         return pd.DataFrame(rows, columns=[group, "route_id", "trip_id", "pos", "location", "demand"])
 
     kind = dict(locations.dtypes)[group]
+    distances = stage(distances)  # written once: searches are not repeated, and both sides stand alone
     return locations.groupBy(group).cogroup(distances.groupBy(group)).applyInPandas(run, f"{group} {kind}, route_id long, trip_id long, pos long, location long, demand long")
 
 
