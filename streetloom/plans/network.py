@@ -210,7 +210,39 @@ def s02_speed_repair(spark, d):
     return edges.crossJoin(F.broadcast(share)).select("u", "v", "key", fixed.alias("speed_kph"))
 
 
+def a14_load_summary(spark, d):
+    """The largest load, how many streets carry any, and the street that carries most."""
+    loads = g17_edge_loads(spark, d).where("load > 0")
+    top = loads.agg(F.max("load").alias("max_load"), F.count("*").alias("used"), F.max_by(F.struct("u", "v"), F.struct("load", -F.col("u"), -F.col("v"))).alias("top"))
+    return top.select("max_load", "used", F.col("top.u").alias("u"), F.col("top.v").alias("v"))
+
+
+def p01_defaults(spark, d):
+    """Missing or unreadable attributes get their defaults: speed 30, length 1, lanes 2, gain 0."""
+    raw = S.road_edges(spark, d).select("u", "v", "key", F.when(F.col("u") % 4 != 0, F.col("speed_kph").cast("string")).alias("speed"), F.when(F.col("v") % 5 != 0, F.col("length_m").cast("string")).otherwise("n/a").alias("length"), F.when(F.col("u") % 3 != 0, F.col("lanes").cast("string")).otherwise("").alias("lanes"))
+    return raw.select("u", "v", "key", F.coalesce(X.number(F.col("speed")), F.lit(30.0)).alias("speed"), F.coalesce(X.number(F.col("length")), F.lit(1.0)).alias("length"), F.coalesce(F.col("lanes").try_cast("int"), F.lit(2)).alias("lanes"), F.lit(0.0).alias("gain"))
+
+
+def s08_transit_relations(spark, d):
+    """Routes as JSON relations with members; lines per way, and routes per master line."""
+    kind = "struct<type:string,tags:map<string,string>,members:array<struct<type:string,ref:bigint>>>"
+    s = F.col("s_suppkey")
+    member = lambda t, ref: F.struct(F.lit(t).alias("type"), ref.alias("ref"))
+    text = F.to_json(F.struct(F.lit("relation").alias("type"), F.create_map(F.lit("ref"), (s % 7).cast("string"), F.lit("route"), F.when(s % 6 == 0, "tram").otherwise("bus")).alias("tags"), F.array(member("way", s * 2), member("way", s + 1), member("node", s)).alias("members")))
+    read = S.table(spark, d, "supplier").select(F.from_json(text, kind).alias("r"))
+    ways = read.where(F.element_at("r.tags", "route").isin("bus", "tram", "trolleybus", "subway", "train")).select(F.element_at("r.tags", "ref").alias("ref"), F.explode("r.members").alias("m")).where("m.type = 'way'")
+    return ways.groupBy(F.col("m.ref").alias("way")).agg(F.count("*").alias("routes"), F.array_join(F.array_sort(F.collect_set("ref")), ",").alias("refs"))
+
+
+def a16_routing_counters(spark, d):
+    """Pairs, and pairs whose grid route crosses a removed street."""
+    steps = _steps(spark, d)
+    broken = steps.join(S.edge_mods(spark, d).where("action = 'remove'").select("u", "v"), ["u", "v"], "left_semi").select(F.col("route_id").alias("pair_id")).distinct().withColumn("broken", F.lit(True))
+    return S.od_pairs(spark, d).join(broken, "pair_id", "left").agg(F.count("*").alias("pairs"), F.count_if(F.col("broken")).alias("failed"), F.count_if(F.col("broken").isNull()).alias("succeeded"))
+
+
 QUERIES = {f.__name__: f for f in (
+    a14_load_summary, p01_defaults, s08_transit_relations, a16_routing_counters,
     top_streets_by_co2, g21_edge_metrics, p03_speed_from_time, g05_congested_co2, w01_route_steps, a01_edge_usage, a02_routes_of_edges, a03_route_metrics, j05_affected_routes, j06_first_modification,
     g06_apply_modifications, a04_maintained_counts, j03_usage_deltas, a06_impact, a07_elastic_totals, a08_daily_volumes, j04_volume_deltas, a31_first_edges, g13_intersections, p25_edge_lookup, a25_network_totals,
     o03_first_nodes, o02_edge_limit, a11_od_groups, a27_concentration, o08_common_origins, w09_first_destinations, a30_modification_count, o06_modifications_by_street, a28_robust_max, j19_reverse_edges,
@@ -279,3 +311,9 @@ SQL = {
     "f43_lane_parsing": "SELECT u, v, key, CASE u % 5 WHEN 0 THEN 2 WHEN 1 THEN 2 ELSE lanes END::INT AS lanes FROM road_edges",
     "s02_speed_repair": "WITH e AS (SELECT *, CASE WHEN u % 3 <> 0 THEN speed_kph END AS s FROM road_edges), t AS (SELECT avg((coalesce(s, 0) > 0)::INT) AS share FROM e) SELECT u, v, key, CASE WHEN share < 0.9 AND s IS NULL THEN CASE WHEN highway LIKE 'motorway%' THEN 100.0 ELSE 30.0 END ELSE s END::DOUBLE AS speed_kph FROM e, t",
 }
+SQL |= {
+    "a14_load_summary": SQL["g17_edge_loads"].replace("SELECT u, v, key, sum(amount)::BIGINT AS load FROM c GROUP BY u, v, key", "SELECT max(load) AS max_load, count(*) AS used, arg_max(u, load) AS u, arg_max(v, load) AS v FROM (SELECT u, v, key, sum(amount)::BIGINT AS load FROM c GROUP BY u, v, key ORDER BY load DESC, u, v) WHERE load > 0"),
+    "p01_defaults": "SELECT u, v, key, CASE WHEN u % 4 <> 0 THEN speed_kph ELSE 30 END::DOUBLE AS speed, CASE WHEN v % 5 <> 0 THEN length_m ELSE 1 END::DOUBLE AS length, CASE WHEN u % 3 <> 0 THEN lanes ELSE 2 END::INT AS lanes, 0.0::DOUBLE AS gain FROM road_edges",
+    "s08_transit_relations": "WITH m AS (SELECT s_suppkey * 2 AS way, (s_suppkey % 7)::VARCHAR AS ref FROM supplier UNION ALL SELECT s_suppkey + 1, (s_suppkey % 7)::VARCHAR FROM supplier) SELECT way, count(*) AS routes, string_agg(DISTINCT ref, ',' ORDER BY ref) AS refs FROM m GROUP BY way",
+    "a16_routing_counters": "WITH b AS (SELECT DISTINCT route_id FROM route_edges r JOIN edge_mods m ON r.u = m.u AND r.v = m.v WHERE action = 'remove') SELECT (SELECT count(*) FROM od_pairs) AS pairs, (SELECT count(*) FROM b) AS failed, (SELECT count(*) FROM od_pairs) - (SELECT count(*) FROM b) AS succeeded",
+}
