@@ -113,7 +113,9 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs that no rule rejects, with their own columns."""
-    return _judged(docs).where("kept").select("doc.*")
+    # beside a column that is not deterministic the filter stays where it is; pushed down, it would compute
+    # the whole verdict a second time, with nothing shared
+    return _judged(docs).withColumn("at", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("at") >= 0)).select("doc.*")
 
 
 def _judged(docs: DataFrame) -> DataFrame:
