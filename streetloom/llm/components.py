@@ -15,9 +15,10 @@ from . import runtime
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of all nodes of links(a, b)."""
-    edges = runtime.stage(links.select("a", "b").where("a <> b").distinct(), "links")
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    """node, component (its smallest node) of all nodes of links(a, b); a link to itself only names a node."""
+    every = runtime.stage(links.select("a", "b").distinct(), "links")
+    nodes = every.select(F.col("a").alias("node")).union(every.select("b")).distinct()
+    edges = every.where("a <> b")
     member = runtime.stage(nodes.select("node", F.col("node").alias("leader")), "leaders")
     step = 0
     while not edges.isEmpty():
