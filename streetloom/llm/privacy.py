@@ -4,7 +4,8 @@ Base entities (mail addresses, IP addresses, card and phone numbers) are found b
 text. The corpus then tells which other terms reveal them: over all documents, the pointwise mutual
 information of a term and an entity is set against the entity's own information content. A term
 that reveals most of it wherever the two stand together is removed, one that reveals much of it is
-generalised; both only in documents that hold that entity.
+generalised; both only in documents that hold that entity. Terms beside an entity in fewer than SUPPORT
+texts count too, by a smoothed share: for each missing text, one more that has the term alone.
 
 Spans count code points, end exclusive. Patterns start only where a leftmost match can start and
 use possessive repeats, so long runs of digits or letters cost linear time.
@@ -38,10 +39,10 @@ PATTERNS = {
 _HINTS = {"email": lambda t: F.contains(t, F.lit("@")), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "card": lambda t: t.rlike(r"[0-9][\x20-]?[0-9]"), "phone": lambda t: F.contains(t, F.lit("+"))}
 _OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])(?:\.|$)){4}$"
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
-#: Distinct texts that a term and an entity must share, and the shares of the entity's information
-#: from which a term is generalised or removed.
+#: Distinct texts that a term and an entity share to count as they are (fewer are smoothed), and the shares of the
+#: entity's information from which a term is generalised or removed.
 SUPPORT, GENERALISE, REMOVE = 5, 0.8, 0.95
-LEAST_LETTERS, BROADCAST_ROWS = 3, 100_000
+LEAST_LETTERS, BROADCAST_ROWS, BROADCAST_COPIES = 3, 100_000, 1_000_000
 
 
 def _luhn(digits: Column) -> Column:
@@ -93,31 +94,50 @@ def _terms(text: Column) -> Column:
     return F.filter(words, lambda w: F.length(w) >= LEAST_LETTERS)
 
 
+def _share(total: int, n_term: Column) -> Column:
+    """Of the entity's information, what the term tells; texts short of SUPPORT count as texts with the term alone."""
+    own = F.log2(F.lit(float(total)) / F.col("n_entity"))
+    smoothed = n_term + F.greatest(F.lit(SUPPORT) - F.col("n_both"), F.lit(0))
+    return F.when(own > 0, F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * smoothed)) / own).otherwise(0.0)
+
+
 def disclosures(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """entity, term, share: terms that reveal an entity. found has row, spans and the text of rows with spans."""
+    """entity, term, share: terms that reveal an entity. found has row, copy (a hash of the text), spans and the text of rows with spans.
+
+    All counts are of distinct texts."""
     spark = docs.sparkSession
-    hits = found.where("size(spans) > 0").select("row", "text", F.xxhash64("text").alias("copy"), F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"])))).alias("entities"))
-    once = hits.groupBy("copy").agg(F.min("row").alias("row")).select("row")
-    mentions = hits.join(once, "row", "left_semi").select("row", F.explode("entities").alias("entity"))
+    copies = runtime.stage(found.groupBy("copy").agg(F.count("*").alias("copies")), "copies")
+    total = copies.count()
+    hits = found.where("size(spans) > 0").select("row", "copy", _terms(F.col("text")).alias("terms"), F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"])))).alias("entities"))
+    once = runtime.stage(hits.join(hits.groupBy("copy").agg(F.min("row").alias("row")).select("row"), "row", "left_semi").select("row", "terms", "entities"), "hits")
+    mentions = once.select("row", F.explode("entities").alias("entity"))
     frequent = runtime.stage(mentions.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT), "entities")
-    kept = mentions.join(frequent, "entity")
-    words = hits.join(kept.select("row").distinct(), "row", "left_semi").select("row", F.explode(_terms(F.col("text"))).alias("term"))
-    pairs = runtime.stage(kept.join(words, "row").groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity")).where(F.col("n_both") >= SUPPORT), "pairs")
-    total = docs.count()
-    own = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    share = F.when(own > 0, F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / own).otherwise(0.0)
-    # a term is at least as frequent in the corpus as beside personal data: most common words end here
-    near = hits.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    pairs = runtime.stage(pairs.join(near, "term").where(share >= GENERALISE).drop("n_term"), "near_pairs")
+    listed = F.broadcast(frequent) if frequent.count() <= BROADCAST_ROWS else frequent
+    rare = mentions.join(listed, "entity", "left_anti").groupBy("entity").agg(F.collect_list("row").alias("rows"))  # fewer than SUPPORT rows each
+    kept = mentions.join(listed, "entity").select("row", "entity", "n_entity").union(rare.select(F.explode("rows").alias("row"), "entity", F.size("rows").cast("long").alias("n_entity")))
+    words = once.select("row", F.explode("terms").alias("term"))
+    # a term is at least as frequent in the corpus as beside personal data, and n_both is n_entity at most: common
+    # words end here for all but very common entities, before they are paired
+    near = runtime.stage(words.groupBy("term").agg(F.count("*").alias("n_near")), "near")
+    common = near.where(F.col("n_near") > max(20, once.count() // 1000)).withColumnRenamed("n_near", "n_common")
+    most = F.pow(F.col("n_entity").cast("double"), F.lit(GENERALISE)) * float(total) ** (1 - GENERALISE) * (1 + 1e-9)
+    met = kept.join(words.join(F.broadcast(common), "term", "left"), "row").where(F.col("n_common").isNull() | (F.col("n_common") <= most))
+    pairs = met.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"))
+    pairs = runtime.stage(pairs.join(near, "term").where(_share(total, F.col("n_near")) >= GENERALISE).drop("n_near"), "near_pairs")
     candidates = runtime.stage(pairs.select("term").distinct(), "candidates")
     n_candidates = candidates.count()
-    every = docs.select(F.explode(_terms(F.coalesce(F.col("text"), F.lit("")))).alias("term"))
+    if not n_candidates:
+        return spark.createDataFrame([], "entity string, term string, share double")
+    # n copies of a text count 1 / n each
+    text = F.coalesce(F.col("text"), F.lit(""))
+    repeated = copies.where("copies > 1")
+    repeated = F.broadcast(repeated) if repeated.count() <= BROADCAST_COPIES else repeated
+    weighed = docs.select(text.alias("text"), F.xxhash64(text).alias("copy")).join(repeated, "copy", "left")
+    every = weighed.select(F.explode(_terms(F.col("text"))).alias("term"), (1.0 / F.coalesce("copies", F.lit(1))).alias("weight"))
     if n_candidates <= BROADCAST_ROWS:
-        every = every.join(F.broadcast(candidates), "term", "left_semi") if n_candidates else spark.createDataFrame([], "term string")
-    frequency = every.groupBy("term").agg(F.count("*").alias("n_term"))
-    if n_candidates > BROADCAST_ROWS:
-        frequency = frequency.join(candidates, "term", "left_semi")
-    return pairs.join(frequency, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
+        every = every.join(F.broadcast(candidates), "term", "left_semi")
+    frequency = every.groupBy("term").agg(F.round(F.sum("weight")).alias("n_term"))
+    return pairs.join(frequency, "term").select("entity", "term", _share(total, F.col("n_term")).alias("share")).where(F.col("share") >= GENERALISE)
 
 
 def find(docs: DataFrame, keep: bool = False) -> DataFrame:
@@ -128,12 +148,12 @@ def find(docs: DataFrame, keep: bool = False) -> DataFrame:
     name = "doc" if keep else "doc_id"
     rows = docs.select(own, text.alias("_text"), base_spans(text).alias("_spans"))
     hit_text = F.when(F.size("_spans") > 0, F.col("_text"))
-    stage = runtime.stage(rows.select(name, F.monotonically_increasing_id().alias("_row"), "_spans", hit_text.alias("_hit")), "spans")
-    found = stage.select(F.col("_row").alias("row"), F.col("_spans").alias("spans"), F.col("_hit").alias("text"))
-    reveal = runtime.stage(disclosures(found, docs), "disclosures")
+    stage = runtime.stage(rows.select(name, F.monotonically_increasing_id().alias("_row"), F.xxhash64("_text").alias("_copy"), "_spans", hit_text.alias("_hit")), "spans")
+    found = stage.select(F.col("_row").alias("row"), F.col("_copy").alias("copy"), F.col("_spans").alias("spans"), F.col("_hit").alias("text"))
+    reveal = runtime.stage(disclosures(found, docs).groupBy("entity").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("gone")), "disclosures")
     hits = stage.where("size(_spans) > 0")
     mentions = hits.select("_row", F.explode(F.array_distinct(F.transform("_spans", lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"]))))).alias("entity"))
-    flagged = mentions.join(reveal, "entity").groupBy("_row").agg(F.collect_set("term").alias("_terms"), F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("_gone"))
+    flagged = mentions.join(reveal, "entity").groupBy("_row").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("_terms"), F.array_distinct(F.flatten(F.collect_list("gone"))).alias("_gone"))
     # only rows with flagged terms are searched for them
     terms = flagged.join(hits.select("_row", "_hit", F.col("_spans").alias("_own")), "_row")
     clear = lambda s: ~F.exists("_own", lambda b: (s["start"] < b["end"]) & (s["end"] > b["start"]))

@@ -195,6 +195,21 @@ def test_terms_that_reveal_are_found_and_others_left(spark):
     assert "zanzibarite" not in text and "boss@" not in text and "[EMAIL]" in text
 
 
+def test_terms_of_rare_entities_and_beside_copies(spark):
+    rng = random.Random(9)
+    rows = [(i, f"{prose(rng, 30)} no {rng.random()}", "en", "a", 1) for i in range(3300)]
+    rows[7] = (7, f"{prose(rng, 30)} quxolite solo@one.org", "en", "a", 1)
+    terms = F.expr("transform(filter(spans, s -> s.kind = 4), s -> s.value)").alias("terms")
+    found = {r.doc_id: r.terms for r in privacy.find(frame(spark, rows), keep=True).select("doc.doc_id", terms).collect()}
+    assert found.pop(7) == ["quxolite"] and not any(found.values())
+    # ten texts share a term and an entity; many copies of one of them are no further evidence
+    rows = [(i, f"{prose(rng, 40)} no {rng.random()}", "en", "a", 1) for i in range(400)]
+    pairs = [(400 + i, f"{prose(rng, 20)} zanzibarite boss@secret.org {i}", "en", "a", 1) for i in range(10)]
+    copies = [(500 + i, *pairs[0][1:]) for i in range(190)]
+    found = {r.doc_id: r.terms for r in privacy.find(frame(spark, rows + pairs + copies), keep=True).select("doc.doc_id", terms).collect()}
+    assert all(set(v) == ({"zanzibarite"} if doc >= 400 else set()) for doc, v in found.items())
+
+
 # ---- op 3 ----------------------------------------------------------------------------------------
 
 
