@@ -58,10 +58,25 @@ def with_depots(found: DataFrame, depots: DataFrame) -> DataFrame:
     return every.withColumn("location", F.row_number().over(Window.orderBy(F.desc("is_depot"), "depot_id", "node")) - 1)
 
 
+def visits(clients: DataFrame, problem: Problem, group: str = "waste_type") -> DataFrame:
+    """clients(group, location, node, demand) with visit and area: demand above the capacity becomes several visits,
+    and neighbouring locations share an area of so many visits as one fleet can serve even one a trip."""
+    before = Window.partitionBy(group).orderBy("location").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.ceil(F.col("demand") / problem.capacity)
+    counted = clients.withColumn("first", F.coalesce(F.sum(n).over(before), F.lit(0))).withColumn("visit", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)) - 1)))
+    size = problem.vehicles * (problem.reloads + 1)
+    load = F.least(F.lit(problem.capacity).cast("long"), F.col("demand") - F.col("visit") * problem.capacity)
+    return counted.select(group, F.floor((F.col("first") + F.col("visit")) / size).alias("area"), "location", "node", "visit", load.alias("demand"))
+
+
+def _servable(matrix: np.ndarray, demand: np.ndarray, problem: Problem, c: int) -> bool:
+    return max(matrix[0, c], matrix[c, 0]) < UNREACHABLE and demand[c] <= problem.capacity
+
+
 def solve(matrix: np.ndarray, demand: np.ndarray, problem: Problem, depots: int = 1) -> list[list[list[int]]]:
     """Trips of each vehicle: merges by savings under the capacity, then 2-opt and moves of single clients
     until nothing improves (at most `rounds` sweeps); trips are dealt to the vehicles by length."""
-    clients = [c for c in range(depots, len(demand)) if np.isfinite(matrix[0, c]) and matrix[0, c] < UNREACHABLE and demand[c] <= problem.capacity]
+    clients = [c for c in range(depots, len(demand)) if _servable(matrix, demand, problem, c)]
     trips = {c: [c] for c in clients}
     of = {c: c for c in clients}
     load = {c: int(demand[c]) for c in clients}
@@ -98,24 +113,30 @@ def solve(matrix: np.ndarray, demand: np.ndarray, problem: Problem, depots: int
 
 
 def plan(locations: DataFrame, distances: DataFrame, problem: Problem, group: str = "waste_type") -> DataFrame:
-    """route_id, trip_id, pos, location, demand per group: one bounded problem a task, depot first and last.
-    locations(group, location, demand), distances(group, a, b, distance); missing arcs are unreachable."""
+    """route_id, trip_id, pos, location, demand per group: one bounded problem a task, depot first and last; clients
+    that cannot be served have neither route nor trip. locations(group, location, demand), a location for each of
+    its visits; distances(group, a, b, distance); missing arcs are unreachable."""
+
+    names = ["route_id", "trip_id", "pos", "location", "demand"]
 
     def run(key, own: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("location")
-        n = len(own)
-        index = {int(c): i for i, c in enumerate(own["location"])}
-        matrix = np.full((n, n), UNREACHABLE)
+        own = own.sort_values(["location", "demand"], ascending=[True, False])
+        places = own["location"].unique()
+        index = {int(c): i for i, c in enumerate(places)}
+        matrix = np.full((len(places), len(places)), UNREACHABLE)
         np.fill_diagonal(matrix, 0)
         for a, b, d in zip(arcs["a"], arcs["b"], arcs["distance"], strict=True):
             matrix[index[int(a)], index[int(b)]] = d
+        at = [index[int(c)] for c in own["location"]]
+        matrix = matrix[np.ix_(at, at)]
         demand = own["demand"].to_numpy()
         rows = []
         for r, trips in enumerate(solve(matrix, demand, problem)):
             for t, trip in enumerate(trips):
                 for pos, at in enumerate([0, *trip, 0]):
                     rows.append((key[0], r, t, pos, int(own["location"].iloc[at]), int(demand[at])))
-        return pd.DataFrame(rows, columns=[group, "route_id", "trip_id", "pos", "location", "demand"])
+        rows += [(key[0], None, None, None, int(own["location"].iloc[c]), int(demand[c])) for c in range(1, len(own)) if not _servable(matrix, demand, problem, c)]
+        return pd.DataFrame(rows, columns=[group, *names]).astype(dict.fromkeys(names, "Int64"))
 
     kind = dict(locations.dtypes)[group]
     distances = stage(distances)  # written once: searches are not repeated, and both sides stand alone

@@ -169,25 +169,34 @@ def c13_demand(spark, d):
 
 
 def c06_collection_plan(spark, d):
-    """Trips of a fleet for each waste type over its busiest nodes, with street distances."""
-    busy = Window.partitionBy("waste_type").orderBy(F.desc("demand"), "node")
+    """Trips for each waste type over all its nodes, with street distances: one fleet for each area; nodes that cannot
+    be served have no route."""
+    problem = L.Problem(vehicles=3, capacity=1500)
     own = S.centroids(spark, d).groupBy("waste_type", (F.col("centroid_id") * 7 % 199).alias("node")).agg(F.sum("count").alias("n")).withColumn("demand", X.demand_kg(F.col("n"), 10.0))
-    clients = own.withColumn("location", F.row_number().over(busy).cast("long")).where("location <= 40").select("waste_type", "location", "node", "demand")
-    depot = clients.select("waste_type").distinct().select("waste_type", F.lit(0).cast("long").alias("location"), F.lit(101).cast("long").alias("node"), F.lit(0).cast("long").alias("demand"))
-    places = clients.unionByName(depot)
-    far = P.distances(places.select(F.col("node").alias("origin")), S.road_edges(spark, d), "length_m")
-    a = places.select("waste_type", F.col("location").alias("a"), F.col("node").alias("origin"))
-    b = places.select(F.col("waste_type").alias("t"), F.col("location").alias("b"), F.col("node"))
-    matrix = a.join(far, "origin").join(b, "node").where("waste_type = t").select("waste_type", "a", "b", "distance")
-    return L.plan(places.select("waste_type", "location", "demand"), matrix, L.Problem(vehicles=3, capacity=1500))
+    clients = own.withColumn("location", F.row_number().over(Window.partitionBy("waste_type").orderBy("node")).cast("long"))
+    parted = L.visits(clients, problem).select(F.concat_ws("-", "waste_type", "area").alias("part"), "location", "node", "demand")
+    depot = parted.select("part").distinct().select("part", F.lit(0).cast("long").alias("location"), F.lit(101).cast("long").alias("node"), F.lit(0).cast("long").alias("demand"))
+    places = parted.unionByName(depot)
+    far = P.distances(places.select(F.col("node").alias("origin")).distinct(), S.road_edges(spark, d), "length_m")
+    once = places.select("part", "location", "node").distinct()
+    a = once.select("part", F.col("location").alias("a"), F.col("node").alias("origin"))
+    b = once.select("part", F.col("location").alias("b"), "node")
+    matrix = a.join(b, "part").join(far, ["origin", "node"]).select("part", "a", "b", "distance")
+    found = L.plan(places.select("part", "location", "demand"), matrix, problem, "part")
+    kind, area = F.substring_index("part", "-", 1), F.substring_index("part", "-", -1).cast("long")
+    return found.select(kind.alias("waste_type"), (area * problem.vehicles + F.col("route_id")).alias("route_id"), "trip_id", "pos", "location", "demand")
+
+
+def _trips(spark, d):
+    return c06_collection_plan(spark, d).where("route_id IS NOT NULL").withColumn("route_id", F.concat_ws("-", "waste_type", "route_id"))
 
 
 def c08_load_progression(spark, d):
-    return N.segment_loads(c06_collection_plan(spark, d).withColumn("route_id", F.concat_ws("-", "waste_type", "route_id")))
+    return N.segment_loads(_trips(spark, d))
 
 
 def c09_segments(spark, d):
-    return L.segments(c06_collection_plan(spark, d).withColumn("route_id", F.concat_ws("-", "waste_type", "route_id")))
+    return L.segments(_trips(spark, d))
 
 
 def a15_route_totals(spark, d):
