@@ -32,15 +32,25 @@ class Problem:
 
 
 def snapped(points: DataFrame, nodes: DataFrame, cell: float = 0.006) -> DataFrame:
-    """points(id, lon, lat) with the nearest node: candidates from the surrounding grid cells by an equi-join."""
-    at = lambda c: F.floor(F.col(c) / cell)
-    cells = nodes.select("node_id", "x", "y", at("x").alias("cx"), at("y").alias("cy"))
+    """points(id, lon, lat) with the nearest node: candidates from the surrounding grid cells by an equi-join. Points
+    whose best candidate is farther than a cell, or that have none, are asked again with cells twice as wide."""
     near = F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)]))
-    asked = points.select("*", near.alias("dx")).select("*", near.alias("dy")).select("*", (at("lon") + F.col("dx")).alias("cx"), (at("lat") + F.col("dy")).alias("cy")).drop("dx", "dy")
-    joined = asked.join(cells, ["cx", "cy"])
     d = X.planar_km(F.col("lat"), F.col("lon"), F.col("y"), F.col("x"))
-    best = joined.groupBy("id").agg(F.min(F.struct(d.alias("km"), F.col("node_id").alias("node"))).alias("best"))
-    return best.select("id", F.col("best.node").alias("node"), F.col("best.km").alias("km"))
+    known = lambda a, b: F.abs(F.col(a) + F.col(b)) < float("inf")
+    left, nodes, done = points.where(known("lon", "lat")), nodes.where(known("x", "y")), None
+    some = bool(nodes.take(1))
+    while True:
+        at = lambda c, cell=cell: F.floor(F.col(c) / cell)
+        cells = nodes.select("node_id", "x", "y", at("x").alias("cx"), at("y").alias("cy"))
+        asked = left.select("*", near.alias("dx")).select("*", near.alias("dy")).select("*", (at("lon") + F.col("dx")).alias("cx"), (at("lat") + F.col("dy")).alias("cy")).drop("dx", "dy")
+        best = asked.join(cells, ["cx", "cy"]).groupBy("id").agg(F.min(F.struct(d.alias("km"), F.col("node_id").alias("node"))).alias("best"))
+        # every node within one cell's width is among the candidates; a degree of longitude is the shorter one
+        settled = stage(best.where(F.col("best.km") <= cell * 111.0 * 0.7).select("id", F.col("best.node").alias("node"), F.col("best.km").alias("km")))
+        done = settled if done is None else done.unionByName(settled)
+        left = stage(left.join(settled.select("id"), "id", "left_anti"))
+        if not some or not left.take(1):
+            return done
+        cell *= 2
 
 
 def clients(points: DataFrame, nodes: DataFrame, hull: list[tuple[float, float]], kg: float) -> DataFrame:

@@ -1,5 +1,6 @@
 """Queries that once left out part of their input."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from streetloom.operators import planning
@@ -26,3 +27,12 @@ def test_large_demand_becomes_visits_and_the_rest_is_named(spark):
     rows = planning.plan(places, arcs, problem).collect()
     assert sorted(r.demand for r in rows if r.location == 1) == [5, 10, 10] and all(r.route_id == 0 for r in rows if r.location == 1)
     assert [(r.location, r.demand) for r in rows if r.route_id is None] == [(7, 5)]
+
+
+def test_nearest_node_of_far_points(spark):
+    rng = np.random.default_rng(3)
+    nodes = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform([6.5, 46.5], [6.53, 46.53], (40, 2)))]
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform([6.3, 46.3], [6.7, 46.7], (60, 2)))]
+    found = planning.snapped(spark.createDataFrame(points, "id long, lon double, lat double"), spark.createDataFrame(nodes, "node_id long, x double, y double")).collect()
+    want = {i: min(((((lat - y) * 111.0) ** 2 + ((lon - x) * 77.7) ** 2) ** 0.5, n) for n, x, y in nodes) for i, lon, lat in points}
+    assert {r.id: r.node for r in found} == {i: n for i, (_, n) in want.items()} and len(found) == 60
