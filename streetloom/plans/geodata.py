@@ -104,7 +104,7 @@ def w03_habitat_windows(spark, d):
 
 def a24_connectivity(spark, d):
     """Probability of connectivity of each prefix: sum of a_i a_j exp(-d_ij / alpha) over the square of the area."""
-    cells = S.habitats(spark, d).where("poly_id < 60").groupBy(F.substring("code", 1, 1).alias("kind"), "poly_id").agg(F.sum("area").alias("a"))
+    cells = S.habitats(spark, d).groupBy(F.substring("code", 1, 1).alias("kind"), "poly_id").agg(F.sum("area").alias("a"))
     other = cells.select("kind", F.col("poly_id").alias("q"), F.col("a").alias("b"))
     pairs = cells.join(other, "kind").select("kind", (F.col("a") * F.col("b") * F.exp(-F.abs(F.col("poly_id") - F.col("q")) * 100.0 / 500.0)).alias("term"))
     total = cells.groupBy("kind").agg(F.sum("a").alias("total"))

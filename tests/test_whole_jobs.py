@@ -1,10 +1,12 @@
 """Queries that once left out part of their input."""
 
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from streetloom.operators import planning
-from streetloom.plans import routing
+from streetloom.plans import catalog, routing
 from streetloom.sources import fixtures as S
 
 SF = "/root/testdata/sf0.001"
@@ -36,3 +38,12 @@ def test_nearest_node_of_far_points(spark):
     found = planning.snapped(spark.createDataFrame(points, "id long, lon double, lat double"), spark.createDataFrame(nodes, "node_id long, x double, y double")).collect()
     want = {i: min(((((lat - y) * 111.0) ** 2 + ((lon - x) * 77.7) ** 2) ** 0.5, n) for n, x, y in nodes) for i, lon, lat in points}
     assert {r.id: r.node for r in found} == {i: n for i, (_, n) in want.items()} and len(found) == 60
+
+
+def test_connectivity_takes_every_polygon(spark):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
+    sql = catalog.oracle_sql()["a24_connectivity"]
+    want = dict(db.execute(sql.replace(" WHERE poly_id < 60", "")).fetchall())
+    got = {r.kind: r.pc for r in catalog.queries()["a24_connectivity"](spark, SF).collect()}
+    assert got == pytest.approx(want, abs=2e-9) and len(got) == len(want)
