@@ -3,7 +3,7 @@
 Each round every node looks at itself and its neighbours and follows the one that stands first in
 an order drawn anew for the round; links are then contracted to whom their ends follow. The drawn
 order makes long chains shrink by a constant factor a round. Every round is written to the shared
-folder, which cuts the lineage.
+folder, which cuts the lineage, and replaces the tables of the round before.
 """
 
 from __future__ import annotations
@@ -14,22 +14,26 @@ from pyspark.sql import functions as F
 from . import runtime
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tables: runtime.Tables) -> DataFrame:
     """node, component (its smallest node) of all nodes of links(a, b); a link to itself only names a node."""
-    every = runtime.stage(links.select("a", "b").distinct(), "links")
+    every = tables.write(links.select("a", "b").distinct(), "links")
     nodes = every.select(F.col("a").alias("node")).union(every.select("b")).distinct()
-    edges = every.where("a <> b")
-    member = runtime.stage(nodes.select("node", F.col("node").alias("leader")), "leaders")
+    member = tables.write(nodes.select("node", F.col("node").alias("leader")), "leaders")
+    edges, old = every.where("a <> b"), every
     step = 0
     while not edges.isEmpty():
         step += 1
         both = edges.union(edges.select("b", "a"))
         rank = lambda c: F.struct(F.xxhash64(F.lit(step), F.col(c)).alias("rank"), F.col(c).alias("node"))
         follow = both.groupBy("a").agg(F.min(rank("b")).alias("best")).select(F.col("a").alias("node"), F.least(F.col("best"), rank("a"))["node"].alias("follows"))
-        follow = runtime.stage(follow, "follow")
+        follow = tables.write(follow, "follow")
         left = edges.join(follow, edges["a"] == follow["node"]).select(F.col("follows").alias("x"), "b")
         moved = left.join(follow, left["b"] == follow["node"]).select(F.least("x", "follows").alias("a"), F.greatest("x", "follows").alias("b"))
-        edges = runtime.stage(moved.where("a <> b").distinct(), "links")
-        member = runtime.stage(member.join(follow.select(F.col("node").alias("leader"), "follows"), "leader", "left").select("node", F.coalesce("follows", "leader").alias("leader")), "leaders")
+        edges = tables.write(moved.where("a <> b").distinct(), "links")
+        further = tables.write(member.join(follow.select(F.col("node").alias("leader"), "follows"), "leader", "left").select("node", F.coalesce("follows", "leader").alias("leader")), "leaders")
+        tables.drop(old, member, follow)
+        old, member = edges, further
     least = member.groupBy("leader").agg(F.min("node").alias("component"))
-    return member.join(least, "leader").select("node", "component")
+    found = tables.write(member.join(least, "leader").select("node", "component"), "components")
+    tables.drop(old, member)
+    return found

@@ -248,10 +248,10 @@ def test_join_of_odd_tables(spark, tables, odd):
     assert near_join.near_components(tables[1]).count() == near_join.one_of_each(tables[1]).count() == 0
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_join_loses_no_link_in_large_groups(spark, seed, monkeypatch):
     """Chains of edits, groups larger than a bucket's pair list and than a block, passages shared by many."""
-    monkeypatch.setattr(near_join, "BLOCK", 24)
+    monkeypatch.setattr(near_join, "BLOCK_BYTES", 4000)
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(3000)]
     passage = [rng.choice(vocabulary) for _ in range(60)]
@@ -259,7 +259,7 @@ def test_join_loses_no_link_in_large_groups(spark, seed, monkeypatch):
     for _ in range(3):
         base = [rng.choice(vocabulary) for _ in range(rng.randint(40, 160))]
         current = base[:]
-        for _ in range(45):
+        for _ in range(70):
             copy = base[:] if rng.random() < 0.5 else current[:]
             for _ in range(rng.randint(0, max(1, len(base) // 60))):
                 copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
@@ -290,8 +290,13 @@ def test_sketches_bound_the_difference():
         x, y = (np.frombuffer(shingles.bit_sketch(s), "<u8") for s in (a, b))
         words = min(len(x), len(y))
         assert np.bitwise_count(shingles.folded(x, words) ^ shingles.folded(y, words)).sum() <= len(a) + len(b) - 2 * both
-        if 100 * both >= 85 * (len(a) + len(b) - both):
-            assert len(np.intersect1d(shingles.lane_keys(a, table), shingles.lane_keys(b, table)))
+        if 100 * both >= 85 * (len(a) + len(b) - both) and both < max(len(a), len(b)):
+            (keys_a, least_a), (keys_b, least_b) = shingles.lane_keys(a, table), shingles.lane_keys(b, table)
+            shared = Counter((np.intersect1d(keys_a, keys_b) % np.uint64(64)).tolist())
+            first = least_a[0] if len(a) < len(b) else least_b[0]  # they meet in the band of the smaller
+            for least in {*least_a, *least_b}:
+                if least % 64 == first % 64:
+                    assert shared[least % 64] >= least // 64 > 0
 
 
 # ---- op 4 ----------------------------------------------------------------------------------------
