@@ -12,7 +12,7 @@ left there (groups of many near copies) is linked to leaders drawn from its buck
 pair a set. Only where a large bucket then still holds several components, its sets are laid out in
 packed blocks, each pair of blocks is compared once by bit sketch, two blocks of one component
 never, and a spanning forest of the promising pairs is verified. Where a pair of the forest fails,
-its group is compared once more without it, until every forest holds: then no link joins two
+all promising pairs that its group still has between components are verified: then no link joins two
 components. So every link counts, while no group's pairs are ever listed. Copies with equal sets are
 one member.
 
@@ -36,7 +36,9 @@ from .components import components
 #: Members of a bucket whose pairs are all listed, and of one that a task forwards; bytes of a packed block.
 SMALL, FORWARD, BLOCK_BYTES = 16, 64, 1 << 19
 #: Leaders that a set of large buckets is compared with; postings that a task holds before it hands them on; ids of a broadcast.
-LEADERS, HELD, BROADCAST_IDS = 4, 1 << 19, 1_000_000
+LEADERS, HELD, BROADCAST_IDS = 4, 1 << 20, 1_000_000
+#: Pairs of two components that are verified at once (further ones in the next round, if none of these links).
+MOST_BETWEEN = 256
 _DOCS, _PAIRS, _MEMBERS = 0, 1, 2
 
 
@@ -235,8 +237,9 @@ class _Block:
         return here[hit], there[hit]
 
 
-def _forest(a: _Block, b: _Block, same: bool, num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest, over components, of the promising pairs of two blocks (or one with itself)."""
+def _between(a: _Block, b: _Block, same: bool, num: int, den: int, every: bool) -> tuple[list[tuple[int, int]], bool]:
+    """A spanning forest, over components, of the promising pairs of two blocks (or one with itself); or every
+    such pair, but of two components at most MOST_BETWEEN, and whether that left any out."""
     words = int(min(a.words.min(), b.words.min()))
     left, right = a.bits(words), b.bits(words)
     _, codes = np.unique(np.concatenate([a.components, b.components]), return_inverse=True)
@@ -245,7 +248,8 @@ def _forest(a: _Block, b: _Block, same: bool, num: int, den: int) -> list[tuple[
     known = [a.failing(b), b.failing(a)[::-1]]
     known = np.unique(np.concatenate([i * len(right) + j for i, j in known]))
     step = max(1, (16 << 20) // (right.nbytes + 16 * len(right)))
-    out = []
+    out: list[tuple[int, int]] = []
+    between: dict[int, int] = {}
 
     def top(g: int) -> int:
         while root[g] != g:
@@ -269,7 +273,14 @@ def _forest(a: _Block, b: _Block, same: bool, num: int, den: int) -> list[tuple[
         i, j = i[order], j[order]
         # the best pair of each two components comes first
         x, y = root[own[i + at]], root[other[j]]
-        _, first = np.unique(np.minimum(x, y) * len(root) + np.maximum(x, y), return_index=True)
+        both = np.minimum(x, y) * len(root) + np.maximum(x, y)
+        if every:
+            for c, k in zip(both.tolist(), range(len(both)), strict=True):
+                between[c] = between.get(c, 0) + 1
+                if between[c] <= MOST_BETWEEN:
+                    out.append((int(a.members[i[k] + at]), int(b.members[j[k]])))
+            continue
+        _, first = np.unique(both, return_index=True)
         for k in np.sort(first):
             p, q = top(x[k]), top(y[k])
             if p != q:
@@ -277,20 +288,21 @@ def _forest(a: _Block, b: _Block, same: bool, num: int, den: int) -> list[tuple[
                 out.append((int(a.members[i[k] + at]), int(b.members[j[k]])))
         while (deep := root[root] != root).any():
             root[deep] = root[root[deep]]
-    return out
+    return out, max(between.values(), default=0) > MOST_BETWEEN
 
 
-def _blocks(num: int, den: int):
-    """Per row two blocks of a group: the forest of their promising pairs."""
+def _blocks(num: int, den: int, every: bool):
+    """Per row two blocks of a group: promising pairs between components, and a row without a pair if some are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: tuple[list, list, list] = ([], [], [])
             for r in range(len(batch)):
                 a, b = (_Block(*(batch.column(k)[r].values for k in range(first, first + 5))) for first in (2, 7))
-                for x, y in _forest(a, b, batch.column(1)[r].as_py(), num, den):
-                    for column, value in zip(found, (batch.column(0)[r].as_py(), min(x, y), max(x, y)), strict=True):
-                        column.append(value)
+                pairs, more = _between(a, b, batch.column(1)[r].as_py(), num, den, every)
+                found[0].extend([batch.column(0)[r].as_py()] * (len(pairs) + more))
+                found[1].extend([*(min(p) for p in pairs), *[None] * more])
+                found[2].extend([*(max(p) for p in pairs), *[None] * more])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["g", "x", "y"])
 
     return run
@@ -386,53 +398,62 @@ class _Join:
 
     def _settled(self, hot: DataFrame, groups: DataFrame, failed: DataFrame) -> DataFrame:
         """groups, with every link inside the large buckets."""
-        write = self.tables.write
+        write, drop = self.tables.write, self.tables.drop
+        placed = hot.join(groups, hot["member"] == groups["node"], "left").select("key", "member", F.coalesce("component", "member").alias("component"))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+        rows = self._bound(placed.join(mixed, "key", "left_semi"))
+        if rows.isEmpty():
+            return groups
+        # sets that share large buckets, directly or through others, are a group
+        near = rows.join(rows.groupBy("key").agg(F.min("member").alias("first")), "key").select(F.col("member").alias("a"), F.col("first").alias("b"))
+        group = components(near, self.tables).select(F.col("node").alias("member"), F.col("component").alias("g"))
+        units = write(rows.select("member", _band().alias("band")).distinct().join(group, "member").join(self.sketches, "member"), "units")
+        drop(hot, rows)
+        every = False
         while True:
-            placed = hot.join(groups, hot["member"] == groups["node"], "left").select("key", "member", F.coalesce("component", "member").alias("component"))
-            mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-            rows = self._bound(placed.join(mixed, "key", "left_semi"))
-            if rows.isEmpty():
-                return groups
-            # sets that share large buckets, directly or through others, are a group
-            near = rows.join(rows.groupBy("key").agg(F.min("member").alias("first")), "key").select(F.col("member").alias("a"), F.col("first").alias("b"))
-            group = components(near, self.tables).select(F.col("node").alias("member"), F.col("component").alias("g"))
-            pairs = write(self._block_pairs(rows, group, failed), "open")
-            tested = self._verified(pairs.select("x", "y").distinct())
+            pairs = write(self._block_pairs(units, groups, failed, every), "open")
+            tested = self._verified(pairs.where("x IS NOT NULL").select("x", "y").distinct())
             by = lambda c, name: groups.select(F.col("node").alias(c), F.col("component").alias(name))  # noqa: E731, B023
             linked = tested.where("linked").join(by("x", "a"), "x", "left").join(by("y", "b"), "y", "left").select(F.coalesce("a", "x").alias("a"), F.coalesce("b", "y").alias("b"))
             moved = components(linked, self.tables).select(F.col("node").alias("component"), F.col("component").alias("new"))
             known = groups.select("node", "component").union(moved.select("component", "component")).distinct()
-            groups = write(known.join(moved, "component", "left").groupBy("node").agg(F.min(F.coalesce("new", "component")).alias("component")), "groups")
-            wrong = tested.where("NOT linked").select("x", "y")
-            if wrong.isEmpty():
+            merged = write(known.join(moved, "component", "left").groupBy("node").agg(F.min(F.coalesce("new", "component")).alias("component")), "groups")
+            wrong = write(tested.where("NOT linked").select("x", "y"), "wrong")
+            # a forest is settled if all of it holds; a list of all promising pairs, if none was left out
+            left = pairs.where("x IS NULL") if every else pairs.join(wrong, ["x", "y"])
+            again = write(left.select("g").distinct(), "again")
+            drop(pairs, tested)
+            groups, every = merged, True
+            if again.isEmpty():
                 return groups
-            again = group.join(pairs.join(wrong, ["x", "y"]).select("g").distinct(), "g").select("member")
             failed = write(failed.union(wrong), "failed")
-            hot = write(rows.select("key", "member").join(again, "member", "left_semi"), "hot")
+            units = write(units.join(again, "g", "left_semi"), "units")
 
-    def _block_pairs(self, rows: DataFrame, group: DataFrame, failed: DataFrame) -> DataFrame:
-        """g, x, y: forests of promising pairs between components of a group and band."""
+    def _block_pairs(self, units: DataFrame, groups: DataFrame, failed: DataFrame, every: bool) -> DataFrame:
+        """g, x, y: promising pairs between the components of a group and band, as forests or all of them; a g without
+        a pair tells that some of its pairs are left out."""
         write = self.tables.write
         # each failed pair is kept by one of its two sets, so that no set keeps all of a large group's
         side = F.pmod(F.xxhash64("x", "y"), F.lit(2)) == 0
         kept = failed.select(F.when(side, F.col("x")).otherwise(F.col("y")).alias("member"), F.when(side, F.col("y")).otherwise(F.col("x")).alias("other")).groupBy("member").agg(F.collect_set("other").alias("failed"))
-        units = rows.select("member", _band().alias("band"), "component").distinct().join(group, "member").join(self.sketches, "member").join(kept, "member", "left")
-        units = write(units.withColumn("failed", F.coalesce("failed", F.array().cast("array<long>"))), "units")
+        now = groups.select(F.col("node").alias("member"), F.col("component").alias("now"))
+        placed = units.join(now, "member", "left").join(kept, "member", "left")
+        placed = write(placed.select("member", "band", "g", "n", "sketch", F.coalesce("now", "member").alias("component"), F.coalesce("failed", F.array().cast("array<long>")).alias("failed")), "placed")
         unit = ["g", "band"]
-        sizes = write(units.groupBy(*unit, "component").agg(F.sum(F.octet_length("sketch") + 8 * F.size("failed") + 32).alias("bytes")), "sizes")
-        # a large component has blocks of its own, small ones share blocks
+        sizes = write(placed.groupBy(*unit, "component").agg(F.sum(F.octet_length("sketch") + 8 * F.size("failed") + 32).alias("bytes")), "sizes")
+        # a large component has blocks of its own, small ones share blocks; a group of one component needs none
         solo = F.col("bytes") >= BLOCK_BYTES // 2
-        pooled = sizes.where(~solo).groupBy(*unit).agg(F.sum("bytes").alias("pooled"))
-        chunks = sizes.join(pooled, unit, "left").select(*unit, "component", solo.alias("solo"), F.ceil(F.when(solo, F.col("bytes")).otherwise(F.col("pooled")) / BLOCK_BYTES).alias("chunks"))
-        placed = units.join(chunks, [*unit, "component"]).withColumn("owner", F.when(F.col("solo"), F.col("component")).otherwise(F.lit(0))).withColumn("chunk", F.pmod(F.xxhash64("member"), F.col("chunks")))
-        packed = placed.groupBy(*unit, "solo", "owner", "chunk").agg(F.collect_list(F.struct(*_FIELDS)).alias("sets"))
+        pooled = sizes.groupBy(*unit).agg(F.sum(F.when(~solo, F.col("bytes"))).alias("pooled"), F.count("*").alias("components")).where("components > 1")
+        chunks = sizes.join(pooled, unit).select(*unit, "component", solo.alias("solo"), F.ceil(F.when(solo, F.col("bytes")).otherwise(F.col("pooled")) / BLOCK_BYTES).alias("chunks"))
+        dealt = placed.join(chunks, [*unit, "component"]).withColumn("owner", F.when(F.col("solo"), F.col("component")).otherwise(F.lit(0))).withColumn("chunk", F.pmod(F.xxhash64("member"), F.col("chunks")))
+        packed = dealt.groupBy(*unit, "solo", "owner", "chunk").agg(F.collect_list(F.struct(*_FIELDS)).alias("sets"))
         blocks = write(packed.select(F.monotonically_increasing_id().alias("block"), *unit, "solo", "owner", *[F.col(f"sets.{c}").alias(c) for c in _FIELDS]), "blocks")
         end = lambda s: blocks.select(*unit, F.col("block").alias(s), F.col("solo").alias(f"solo_{s}"), F.col("owner").alias(f"owner_{s}"))
         met = end("p").join(end("q"), unit).where("p <= q AND NOT (solo_p AND solo_q AND owner_p = owner_q)").select("g", "p", "q")
         for s in ("p", "q"):
             met = met.join(blocks.select(F.col("block").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in _FIELDS]), s)
         met = met.select("g", (F.col("p") == F.col("q")).alias("same"), *[f"{c}_{s}" for s in ("p", "q") for c in _FIELDS])
-        return met.mapInArrow(_blocks(self.num, self.den), "g long, x long, y long").distinct()
+        return met.mapInArrow(_blocks(self.num, self.den, every), "g long, x long, y long").distinct()
 
 
 def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
