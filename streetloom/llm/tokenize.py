@@ -3,11 +3,13 @@
 A text is cut into units at places where the tokenizer's own pre-tokenizer always cuts, each
 distinct unit is tokenized once by the tokenizers library, and the ids of the whole text are
 put together by numpy. Units with characters whose class might depend on the Unicode version
-go through the library's full encoder, all others straight to its model.
+go through the library's full encoder, all others straight to its model. The strings of special
+tokens become those tokens, as the library has it by default, and part the text around them.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 from unicodedata import is_normalized
 
@@ -18,7 +20,7 @@ import regex
 from . import textbuf
 
 #: Units kept per worker; when full the cache starts anew, so memory stays bounded.
-CACHE_UNITS = 900_000
+CACHE_UNITS = 250_000
 #: Fixed patterns of the two public pre-tokenizers.
 BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -49,7 +51,8 @@ class UnitTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.specials = re.compile(b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or b"(?!)")
         self.model = self.tokenizer.model
         self.words = self.tokenizer.normalizer is not None
         self.letters = _byte_letters()
@@ -86,7 +89,9 @@ class UnitTokenizer:
         solid = _NOT_SPACE[buf]
         cut = np.zeros(n + 1, bool)
         # a space before something solid belongs to what follows, whatever stands before it
-        cut[: n - 1] |= (buf[:-1] == 32) & solid[1:]
+        edge = np.zeros(n + 1, bool)
+        edge[offsets] = True
+        cut[: n - 1] |= (buf[:-1] == 32) & solid[1:] & ~edge[1:n]
         # a single line feed between solid characters stands alone
         alone = np.flatnonzero((buf[1:-1] == 10) & solid[:-2] & solid[2:] & (buf[:-2] < 128)) + 1
         cut[alone] = True
@@ -97,6 +102,21 @@ class UnitTokenizer:
         return places[:-1], places[1:]
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's ids begin."""
+        spans = [(m.start(), m.end(), self.special[m[0]]) for m in self.specials.finditer(buf.tobytes())]
+        if not spans:
+            return self._encode(buf, offsets)
+        # what stands between special tokens are texts of their own; a string across two texts is none
+        whole = np.searchsorted(offsets, [a for a, _, _ in spans], "right") == np.searchsorted(offsets, [b for _, b, _ in spans], "left")
+        spans = [s for s, own in zip(spans, whole, strict=True) if own]
+        cuts = np.unique(np.concatenate([offsets, *(s[:2] for s in spans)])) if spans else offsets
+        ids, ends = self._encode(buf, cuts)
+        code = dict((int(a), i) for a, _, i in spans)
+        parts = [np.array([code[c]], np.int32) if c in code else ids[x:y] for c, x, y in zip(cuts[:-1].tolist(), ends[:-1], ends[1:], strict=True)]
+        total = np.cumsum([0, *map(len, parts)])
+        return np.concatenate(parts), total[np.searchsorted(cuts, offsets)]
+
+    def _encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(buf) < 3:
             ids = [self.tokenizer.encode(buf[a:b].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             ends = np.cumsum([0, *map(len, ids)])
