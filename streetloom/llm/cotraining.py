@@ -1,15 +1,19 @@
 """Quality classifier by co-training two views of a document.
 
 One logistic model sees the text (hashed words and character statistics), the other what is known
-about the page (source, language, length). Both start from a bounded sample of labelled documents;
-in each round each labels a bounded pool of unlabelled ones and hands its most confident labels to
-the other's training set. On labelled rows kept out of training the views are calibrated and
-combined. Then every document is scored, from its whole text.
+about the page (source, language, length). Both start from labelled documents. In each round both
+score every unlabelled document of the corpus; the scores' histograms give the corpus-wide limits
+beyond which a view is confident, and a growing share of its most confident labels trains the other
+view: each task fits the documents it holds, kept near the common weights, the tasks' weights are
+averaged by the documents they saw, and the labelled documents are fitted once more around the
+average. On labelled rows kept out of training the views are calibrated and combined. Then every
+document is scored, from its whole text.
 
-LABELLED and POOL bound what is gathered for training; both are drawn by a hash of doc_id.
+LABELLED bounds the labelled rows that are gathered for fitting, drawn by a hash of doc_id; nothing
+else is sampled. As in any averaged training the weights depend on how the input is split into tasks.
 
 Defined results: a null text is empty; a null or unknown source or language is a value of its own;
-rows without a label or with a null one only get scores; of several labels of one doc_id any one
+rows without a label or with a null one only get scores; of several labels of one doc_id the greatest
 counts; repeated rows are scored one by one; without labels of both kinds every score is 0.5; an
 empty table gives none; other columns do not matter.
 """
@@ -25,8 +29,14 @@ from pyspark.sql import functions as F
 
 from . import runtime, textbuf
 
-LABELLED, POOL = 8_000, 8_000
+LABELLED = 8_000
+#: Rounds, the share of all unlabelled documents that each adds, and buckets of words.
 ROUNDS, CONFIDENT, BUCKETS = 3, 0.05, 1 << 13
+#: Documents that a task fits at once, steps of such a fit, and its pull to the common weights.
+HELD, STEPS, PULL = 4096, 20, 1e-2
+#: Bins of a histogram of logits between -RANGE and RANGE; labelled rows up to which their list is broadcast.
+BINS, RANGE, BROADCAST_LABELS = 4096, 40.0, 1_000_000
+SLICE = 4096
 _META = 256
 _KINDS = [range(65, 91), range(97, 123), range(48, 58), [32], [10], [ord(c) for c in ".,;:!?'\"()-"], [ord(c) for c in "#$%&*+/<=>@[]^_`{|}~\\"], range(128, 256)]
 _KIND = np.zeros(256, np.int64) + len(_KINDS)
@@ -34,10 +44,14 @@ for _k, _bytes in enumerate(_KINDS):
     _KIND[list(_bytes)] = _k
 DENSE = len(_KINDS) + 1 + 4
 _FIELDS = "doc_id long, at binary, value binary, dense binary, meta binary"
+_SLICES = "view int, slice int, sums binary, seen long"
 
 
 def _meta(source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
-    code = lambda kind, v: int(textbuf.mix(np.array([sum((i + 1) * b for i, b in enumerate(f"{kind}{v}".encode()))], np.uint64))[0] % np.uint64(_META - 40))
+    def code(kind: str, v: str | None) -> int:
+        raw = f"{kind}{'' if v is None else '=' + v}".encode()
+        return int(textbuf.mix(np.array([sum((i + 1) * b for i, b in enumerate(raw))], np.uint64))[0] % np.uint64(_META - 40))
+
     long = min(39, int(3 * np.log1p(max(0, n_chars or 0))))
     return np.array([code("s", source), code("l", lang), _META - 40 + long], np.int32)
 
@@ -71,40 +85,54 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, rows = batch.column(0), []
         for row, where, shares, dense, meta in features(batch.select(["text", "source", "lang", "n_chars"])):
-            rows.append((ids[row].as_py(), where.astype(np.int32).tobytes(), shares.astype(np.float32).tobytes(), dense.astype(np.float64).tobytes(), meta.tobytes()))
+            rows.append((ids[row].as_py(), where.astype(np.uint16).tobytes(), shares.astype(np.float32).tobytes(), dense.astype(np.float32).tobytes(), meta.tobytes()))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["doc_id", "at", "value", "dense", "meta"])
 
 
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray]  # of sparse rows: columns, values, row of each
+
+
+def sparse(at: list, value: list, dense: list, meta: list) -> list[Rows]:
+    """The rows of both views from the bytes of gathered features."""
+    n = len(at)
+    columns = [np.frombuffer(b"".join(at), np.uint16).astype(np.int64), np.tile(BUCKETS + np.arange(DENSE), n)]
+    values = [np.frombuffer(b"".join(value), np.float32).astype(np.float64), np.frombuffer(b"".join(dense), np.float32).astype(np.float64)]
+    rows = [np.repeat(np.arange(n), [len(x) // 2 for x in at]), np.repeat(np.arange(n), DENSE)]
+    page = np.frombuffer(b"".join(meta), np.int32).astype(np.int64)
+    return [tuple(map(np.concatenate, (columns, values, rows))), (page, np.ones(len(page)), np.repeat(np.arange(n), 3))]
+
+
+def taken(rows: Rows, chosen: np.ndarray) -> Rows:
+    """Some of the rows, renumbered; chosen is ascending."""
+    at, value, row = rows
+    keep = np.isin(row, chosen)
+    return at[keep], value[keep], np.searchsorted(chosen, row[keep])
+
+
 class View:
     """A logistic model over sparse rows, fitted by accelerated gradient descent."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], size: int, penalty: float = 1e-3):
-        self.rows, self.size, self.penalty = rows, size, penalty
-        self.weights, self.bias = np.zeros(size), 0.0
+    def __init__(self, size: int, penalty: float = 1e-3):
+        self.penalty, self.weights, self.bias = penalty, np.zeros(size), 0.0
 
-    def _pack(self, chosen: np.ndarray):
-        at = np.concatenate([self.rows[i][0] for i in chosen])
-        value = np.concatenate([self.rows[i][1] for i in chosen])
-        row = np.repeat(np.arange(len(chosen)), [len(self.rows[i][0]) for i in chosen])
-        return at, value, row
+    def logits(self, rows: Rows, n: int) -> np.ndarray:
+        at, value, row = rows
+        return np.bincount(row, self.weights[at] * value, n) + self.bias
 
-    def logits(self, chosen: np.ndarray) -> np.ndarray:
-        if not len(chosen):
-            return np.zeros(0)
-        at, value, row = self._pack(chosen)
-        return np.bincount(row, self.weights[at] * value, len(chosen)) + self.bias
-
-    def fit(self, chosen: np.ndarray, labels: np.ndarray, steps: int = 150) -> None:
-        at, value, row = self._pack(chosen)
+    def fit(self, rows: Rows, labels: np.ndarray, steps: int = 150, pull: float | None = None) -> None:
+        """From the present weights; `pull` (the penalty, if none) draws back to them, or to zero in a first fit."""
+        (at, value, row), n, size = rows, len(labels), len(self.weights)
+        pull, home = self.penalty if pull is None else pull, self.weights.copy()
         share = labels.mean()
-        cost = np.where(labels > 0, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6)) / len(chosen)
-        scale = 0.25 * np.bincount(at, value**2 * cost[row], self.size) * 4 + self.penalty
-        w, b, v, c = self.weights.copy(), self.bias, np.zeros(self.size), 0.0
+        cost = np.where(labels > 0, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6)) / n
+        scale = np.bincount(at, value**2 * cost[row], size) + pull
+        scale = np.sqrt(scale * scale.max())
+        w, b, v, c = home.copy(), self.bias, np.zeros(size), 0.0
         for _ in range(steps):
-            z = np.bincount(row, w[at] * value, len(chosen)) + b
+            z = np.bincount(row, w[at] * value, n) + b
             error = cost * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels)
-            v = 0.9 * v - 0.1 * (np.bincount(at, error[row] * value, self.size) + self.penalty * w) / np.sqrt(scale * scale.max())
+            v = 0.9 * v - 0.1 * (np.bincount(at, error[row] * value, size) + pull * (w - home)) / scale
             c = 0.9 * c - 0.5 * error.sum()
             w, b = w + v, b + c
         self.weights, self.bias = w, b
@@ -133,55 +161,141 @@ def _sigmoid(z: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "quality", labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> Model | None:
-    """A model from bounded samples of labelled and unlabelled documents; None without labels of both kinds."""
-    runtime.bounded_batches(docs.sparkSession)
-    order = lambda salt: (F.xxhash64("doc_id", F.lit(salt)), "doc_id")
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1)).groupBy("doc_id").agg(F.max(target).alias("label"))
-    drawn = known.orderBy(*order(1)).limit(labelled)
-    columns = [docs["doc_id"], "text", "source", "lang", "n_chars"]
-    chosen = docs.where("doc_id IS NOT NULL").select(*columns)
-    rows = chosen.join(F.broadcast(drawn), "doc_id").select(*chosen.columns, "label")
-    answers = {r["doc_id"]: float(r["label"]) for r in drawn.collect()}
-    spare_ids = docs.select("doc_id").where("doc_id IS NOT NULL").join(known.select("doc_id"), "doc_id", "left_anti").orderBy(*order(2)).limit(pool)
-    spare = chosen.join(F.broadcast(spare_ids), "doc_id", "left_semi")
-    gathered = rows.select(*chosen.columns).union(spare).mapInArrow(_gather, _FIELDS).collect()
-    gathered.sort(key=lambda r: (r["doc_id"], bytes(r["value"])))
-    text_rows, meta_rows, truth = [], [], []
-    for r in gathered:
-        dense = np.frombuffer(r["dense"], np.float64)
-        text_rows.append((np.concatenate([np.frombuffer(r["at"], np.int32), BUCKETS + np.arange(DENSE)]), np.concatenate([np.frombuffer(r["value"], np.float32), dense])))
-        meta_rows.append((np.frombuffer(r["meta"], np.int32), np.ones(3)))
-        truth.append(answers.get(r["doc_id"], np.nan))
-    truth = np.array(truth)
-    have = np.flatnonzero(~np.isnan(truth))
-    if len(np.unique(truth[have])) < 2:
-        return None
-    held = have[np.arange(len(have)) % 5 == 0]
-    base = np.setdiff1d(have, held)
+def _bins(logits: np.ndarray) -> np.ndarray:
+    return np.clip((logits + RANGE) * (BINS / (2 * RANGE)), 0, BINS - 1).astype(np.int64)
+
+
+def _batch_rows(batch: pa.RecordBatch) -> list[Rows]:
+    return sparse(*(batch.column(k).to_pylist() for k in range(4)))
+
+
+def _histogram(views: list[View]):
+    """How many documents each view gives which logit, one row a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, BINS), np.int64)
+        for batch in batches:
+            if n := len(batch):
+                for view, own, rows in zip(views, counts, _batch_rows(batch), strict=True):
+                    own += np.bincount(_bins(view.logits(rows, n)), minlength=BINS)
+        if counts.any():
+            yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary())], ["view", "counts"])
+
+    return run
+
+
+def _add_histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            sums[k] = sums.get(k, 0) + np.frombuffer(raw, np.int64)
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], ["view", "counts"])
+
+
+def limits(counts: np.ndarray, share: float, positive: float, floor: float) -> tuple[int, int]:
+    """The bins up to and from which the most confident documents lie: `share` of all, of which `positive` good; none nearer to 0 than floor."""
+    total = counts.sum()
+    low = int(np.searchsorted(np.cumsum(counts), share * (1 - positive) * total, "right")) - 1
+    high = BINS - int(np.searchsorted(np.cumsum(counts[::-1]), share * positive * total, "right"))
+    bound = [int(_bins(np.array([x]))[0]) for x in (-min(floor, RANGE), min(floor, RANGE))]
+    return min(low, bound[0]), max(high, bound[1])
+
+
+def _exchange(views: list[View], ends: list[tuple[int, int]]):
+    """Per task: each view fitted to what the other is confident of, as slices of weights times documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = [View(len(v.weights)) for v in views]
+        for own, view in zip(fitted, views, strict=True):
+            own.weights, own.bias = view.weights.copy(), view.bias
+        held: list[list[tuple[Rows, np.ndarray]]] = [[], []]
+        seen = [0, 0]
+
+        def drain(k: int) -> None:
+            if held[k]:
+                starts = np.cumsum([0, *(len(y) for _, y in held[k])])
+                rows = tuple(np.concatenate(c) for c in zip(*((at, value, row + s) for ((at, value, row), _), s in zip(held[k], starts, strict=False)), strict=True))
+                fitted[k].fit(rows, np.concatenate([y for _, y in held[k]]), STEPS, PULL)
+                seen[k] += int(starts[-1])
+                held[k] = []
+
+        for batch in batches:
+            if not (n := len(batch)):
+                continue
+            rows = _batch_rows(batch)
+            for k, (low, high) in enumerate(ends):
+                at = _bins(views[k].logits(rows[k], n))
+                sure = np.flatnonzero((at <= low) | (at >= high))
+                if len(sure):
+                    held[1 - k].append((taken(rows[1 - k], sure), (at[sure] >= high).astype(np.float64)))
+                    if sum(len(y) for _, y in held[1 - k]) >= HELD:
+                        drain(1 - k)
+        for k in range(2):
+            drain(k)
+            if seen[k]:
+                flat = np.append(fitted[k].weights, fitted[k].bias) * seen[k]
+                pieces = range(0, len(flat), SLICE)
+                yield pa.RecordBatch.from_arrays([pa.array([k for _ in pieces], pa.int32()), pa.array([a // SLICE for a in pieces], pa.int32()), pa.array([flat[a : a + SLICE].tobytes() for a in pieces], pa.binary()), pa.array([seen[k] for _ in pieces], pa.int64())], ["view", "slice", "sums", "seen"])
+
+    return run
+
+
+def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[tuple[int, int], tuple[np.ndarray, int]] = {}
+    for batch in batches:
+        for view, k, raw, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            old, seen = sums.get((view, k), (0.0, 0))
+            sums[view, k] = (old + np.frombuffer(raw), seen + n)
+    yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in sums], pa.int32()), pa.array([k for _, k in sums], pa.int32()), pa.array([x.tobytes() for x, _ in sums.values()], pa.binary()), pa.array([n for _, n in sums.values()], pa.int64())], ["view", "slice", "sums", "seen"])
+
+
+def train(docs: DataFrame, labels: DataFrame, target: str = "quality", labelled: int = LABELLED, rounds: int = ROUNDS) -> Model | None:
+    """A model from a bounded sample of labelled documents and all unlabelled ones; None without labels of both kinds."""
+    spark = docs.sparkSession
+    runtime.bounded_batches(spark)
+    tables, parts = runtime.Tables(spark), runtime.parallelism(spark)
+    known = tables.write(labels.where(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1)).groupBy("doc_id").agg(F.max(target).cast("double").alias("label")), "labels")
+    named = docs.where("doc_id IS NOT NULL").select("doc_id", "text", "source", "lang", "n_chars").mapInArrow(_gather, _FIELDS)
+    listed = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known
+    gathered = tables.write(named.join(listed, "doc_id", "left"), "features")
+    sample = gathered.where("label IS NOT NULL").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "value").limit(labelled).collect()
+    sample.sort(key=lambda r: (r["doc_id"], bytes(r["value"])))
+    truth = np.array([r["label"] for r in sample])
+    try:
+        return _cotrained(sample, truth, gathered.where("label IS NULL").select("at", "value", "dense", "meta"), rounds, parts) if len(np.unique(truth)) == 2 else None
+    finally:
+        runtime.delete(spark, tables.folder)
+
+
+def _cotrained(sample: list, truth: np.ndarray, free: DataFrame, rounds: int, parts: int) -> Model:
+    every = sparse(*([bytes(r[c]) for r in sample] for c in ("at", "value", "dense", "meta")))
+    have = np.arange(len(truth))
+    held, base = have[have % 5 == 0], have[have % 5 != 0]
     if len(np.unique(truth[base])) < 2 or len(np.unique(truth[held])) < 2:
         base = held = have
-    views = [View(text_rows, BUCKETS + DENSE), View(meta_rows, _META)]
-    sets = [dict(zip(base.tolist(), truth[base], strict=True)) for _ in views]
-    free = np.flatnonzero(np.isnan(truth))
-    for step in range(rounds + 1):
-        for view, own in zip(views, sets, strict=True):
-            at = np.array(sorted(own))
-            view.fit(at, np.array([own[i] for i in at.tolist()]))
-        if step == rounds or not len(free):
-            break
-        share, n = truth[base].mean(), max(1, int(CONFIDENT * len(free)))
-        for view, other in ((views[0], sets[1]), (views[1], sets[0])):
-            ranked = free[np.argsort(view.logits(free), kind="stable")]
-            low, high = ranked[: max(1, round(n * (1 - share)))], ranked[len(ranked) - max(1, round(n * share)) :]
-            logit = view.logits(held)
+    views = [View(BUCKETS + DENSE), View(_META)]
+    own, kept = ([taken(rows, chosen) for rows in every] for chosen in (base, held))
+    for view, rows in zip(views, own, strict=True):
+        view.fit(rows, truth[base])
+    share = float(truth[base].mean())
+    for step in range(1, rounds + 1):
+        floors = []
+        for view, rows in zip(views, kept, strict=True):  # only what it is surer of than of most it gets right
+            logit = view.logits(rows, len(held))
             sure = np.abs(logit[(logit > 0) == (truth[held] > 0.5)])
-            floor = np.quantile(sure, 0.75) if len(sure) else np.inf  # only what it is surer of than of most it gets right
-            for group, label in ((low, 0.0), (high, 1.0)):
-                strong = group[np.abs(view.logits(group)) >= floor]
-                other.update({int(i): label for i in strong})
-        free = np.setdiff1d(free, [i for own in sets for i in own])
-    logits = np.column_stack([v.logits(held) for v in views])
+            floors.append(float(np.quantile(sure, 0.75)) if len(sure) else np.inf)
+        counts = np.zeros((2, BINS), np.int64)
+        for r in free.mapInArrow(_histogram(views), "view int, counts binary").repartition(max(1, parts // 32)).mapInArrow(_add_histograms, "view int, counts binary").collect():
+            counts[r["view"]] += np.frombuffer(r["counts"], np.int64)
+        ends = [limits(c, CONFIDENT * step, share, floor) for c, floor in zip(counts, floors, strict=True)]
+        learnt = free.mapInArrow(_exchange(views, ends), _SLICES).repartition(parts, "view", "slice").sortWithinPartitions("view", "slice", "seen", "sums").mapInArrow(_add_slices, _SLICES).collect()
+        for k, view in enumerate(views):
+            if slices := sorted((r for r in learnt if r["view"] == k), key=lambda r: r["slice"]):
+                flat = np.concatenate([np.frombuffer(r["sums"]) / r["seen"] for r in slices])
+                view.weights, view.bias = flat[:-1], float(flat[-1])
+            view.fit(own[k], truth[base], 60, PULL)
+    logits = np.column_stack([v.logits(rows, len(held)) for v, rows in zip(views, kept, strict=True)])
     calibrations = [calibration(logits[:, k], truth[held]) for k in range(2)]
     both = np.column_stack([logits[:, k] * c[0] + c[1] for k, c in enumerate(calibrations)])
     return Model(*views, calibrations, calibration(both, truth[held]))
