@@ -36,7 +36,7 @@ from .components import components
 #: Members of a bucket whose pairs are all listed, and of one that a task forwards; bytes of a packed block.
 SMALL, FORWARD, BLOCK_BYTES = 16, 64, 1 << 19
 #: Leaders that a set of large buckets is compared with; postings that a task holds before it hands them on; ids of a broadcast.
-LEADERS, HELD, BROADCAST_IDS = 4, 1 << 20, 1_000_000
+LEADERS, HELD, BROADCAST_IDS = 4, 1 << 18, 1_000_000
 #: Pairs of two components that are verified at once (further ones in the next round, if none of these links).
 MOST_BETWEEN = 256
 _DOCS, _PAIRS, _MEMBERS = 0, 1, 2
@@ -247,7 +247,7 @@ def _between(a: _Block, b: _Block, same: bool, num: int, den: int, every: bool)
     own, other = codes[: len(left)], codes[len(left) :]
     known = [a.failing(b), b.failing(a)[::-1]]
     known = np.unique(np.concatenate([i * len(right) + j for i, j in known]))
-    step = max(1, (16 << 20) // (right.nbytes + 16 * len(right)))
+    step = max(1, (4 << 20) // (right.nbytes + 16 * len(right)))
     out: list[tuple[int, int]] = []
     between: dict[int, int] = {}
 
