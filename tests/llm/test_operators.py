@@ -35,7 +35,7 @@ def odd():
     return [
         (0, base, "en", "a", 10), (1, base, "en", "a", 10), (2, near, "en", "b", None), (3, None, "en", "b", 0), (4, "", None, None, 0), (5, "  \t\n ", "xx", "b", 3), (6, "One two", "de", "", 7), (7, "one TWO", "de", "c", 7),
         (8, prose(rng, 30_000), "fr", "a", 1), (9, "x" * 200_000, "en", "a", 1), (None, base, "en", None, 5), (10, "mail a.b@c.de or +1 (555) 123-4567, 10.0.0.256; 4111 1111 1111 1111", "es", "c", 9), (10, "repeated id", "en", "c", 11),
-        (11, base, "en", "a", 10), (11, base, "en", "a", 10), (12, "é́ ﬁ ǅ İstanbul 🙂🙂 日本 a b c\x1dd\r\n\r\nend  ", "ja", "é", 30), (13, prose(rng, 700), "en", "𝒳", 3),
+        (11, base, "en", "a", 10), (11, base, "en", "a", 10), (12, "é́ <|endoftext|> ﬁ ǅ İstanbul 🙂🙂 日本 a b c\x1dd\r\n\r\nend  ", "ja", "é", 30), (13, prose(rng, 700), "en", "𝒳", 3),
     ]
 
 
@@ -59,16 +59,23 @@ def test_unit_tokenizer_equals_the_library(name):
     letters = [" ", " ", "  ", "\n", "\n\n", "\t", "a", "Bc", "É", "1", "23", ".", ",", "'s", "'", "é", "中", "!", "́", "\r", "ﬁ", "<|endoftext|>", " ", "🙂", "-", "İ", "ß"]
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 25))) for _ in range(1500)]
     own = tokenize.UnitTokenizer(registry.vocabulary(name))
-    want = [e.ids for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    texts += ["<|endoftext|>", "a  ", "b", " <|endof", "text|> ", "", "<|endoftext|>" * 3, "<|startoftext|> x<|endoftext|>"]
+    want = [e.ids for e in library(name).encode_batch(texts, add_special_tokens=False)]
     for first, end, buf, offsets in textbuf.chunks(pa.array(texts), 3000):
         ids, at = own.encode(buf, offsets)
         for row in range(first, end):
             assert ids[at[row - first] : at[row - first + 1]].tolist() == want[row], repr(texts[row])
 
 
+def library(name):
+    """The tokenizers library with its defaults, on its own."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(registry.vocabulary(name))
+
+
 def library_ids(name, text):
-    t = tokenize.loaded(registry.vocabulary(name)).tokenizer
-    return t.encode(text, add_special_tokens=False).ids
+    return library(name).encode(text, add_special_tokens=False).ids
 
 
 def test_dac_random_access_and_round_trip():
@@ -435,17 +442,67 @@ def test_pseudo_likelihood(spark, tables):
     assert pseudo_likelihood.score(tables[1]).count() == 0
 
 
-def test_network_probabilities_sum_to_one_and_gradients_are_right():
+def test_network_learns():
     rng = np.random.default_rng(1)
-    weights = pseudo_likelihood.fresh_weights()
-    windows = rng.integers(0, pseudo_likelihood.INPUTS, (3, 2 * pseudo_likelihood.SIDE))
-    total = sum(np.exp(pseudo_likelihood.log_probabilities(weights, windows, np.full(3, k))) for k in range(pseudo_likelihood.OUTPUTS))
-    assert total == pytest.approx(1, abs=1e-4)
-    trainer, outputs = pseudo_likelihood.Trainer(weights), np.array([1, 2, 3])
-    before = pseudo_likelihood.log_probabilities(weights, windows, outputs).sum()
+    words = pseudo_likelihood.Vocabulary(np.arange(1, 200, dtype=np.uint64), np.arange(200, 1, -1), np.full(pseudo_likelihood.BUCKETS, 3))
+    weights = pseudo_likelihood.fresh_weights(words)
+    windows = rng.integers(0, words.edge, (3, 2 * pseudo_likelihood.SIDE))
+    trainer, groups, slots = pseudo_likelihood.Trainer(weights), np.array([1, 2, 1]), np.array([0, 5, 9])
+    before = pseudo_likelihood.log_probabilities(weights, windows, groups, slots).sum()
     for _ in range(5):
-        trainer.step(windows, outputs)
-    assert pseudo_likelihood.log_probabilities(trainer.weights, windows, outputs).sum() > before
+        trainer.step(windows, groups, slots)
+    assert pseudo_likelihood.log_probabilities(trainer.weights, windows, groups, slots).sum() > before
+
+
+def test_document_sums_equal_a_plain_recount(spark):
+    """Every window trains in one of the rounds; the probabilities of all words of the corpus add up to one."""
+    import pyarrow as pa
+
+    q, rng = pseudo_likelihood, random.Random(6)
+    texts = [" ".join(rng.choice("the of to".split()) if rng.random() < 0.5 else f"w{int(3000 * rng.random() ** 2)}" for _ in range(rng.randint(0, 160))) for _ in range(60)]
+    docs = frame(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)]).repartition(3).cache()
+    words = q.vocabulary(q.count_table(docs))
+    counts = Counter(w for t in texts for w in t.split())
+    names = sorted(counts)
+    hashes = np.concatenate([h for _, _, h, _ in q._hashed(pa.array([" ".join(names)]))])
+    inputs, groups, slots, rare = (dict(zip(names, v.tolist(), strict=True)) for v in words.classes(hashes))
+    assert 0 < sum(rare.values()) < len(names) and words.groups == q.groups_for(sum(counts.values()))
+    assert min(counts[w] for w in names if not rare[w]) >= max(counts[w] for w in names if rare[w])
+    rest = Counter()
+    for w in names:
+        if rare[w]:
+            rest[groups[w]] += counts[w]
+    weights = q.train(docs, words)
+    assert sum(r[0] for r in docs.select("text").mapInArrow(seen_windows(words, weights), "n long").collect()) == sum(counts.values())
+
+    def chances(around):
+        h = np.tanh(np.concatenate([weights[0][i] for i in around]) @ weights[1] + weights[2])
+        share = lambda z: np.exp(z) / np.exp(z).sum()
+        first = share(h @ weights[3] + weights[4])
+        second = [share(h @ weights[5][g] + weights[6][g]) for g in range(words.groups)]
+        return lambda w: first[groups[w]] * second[groups[w]][slots[w]] * (counts[w] / rest[groups[w]] if rare[w] else 1)
+
+    got = {r.doc_id: r for r in q.score(docs).collect()}
+    some = chances([inputs[w] for w in names[:2]] + [words.edge] * 2)
+    used = {(groups[w], slots[w]) for w in names}
+    free = sum(np.exp(q.log_probabilities(weights, np.array([[inputs[w] for w in names[:2]] + [words.edge] * 2]), np.array([g]), np.array([k])))[0] for g in range(words.groups) for k in range(words.groups) if (g, k) not in used)
+    assert sum(map(some, names)) + free == pytest.approx(1, abs=1e-4)
+    for i in range(0, 60, 6):
+        own = texts[i].split()
+        pad = [words.edge] * q.SIDE + [inputs[w] for w in own] + [words.edge] * q.SIDE
+        total = sum(np.log(chances(pad[k : k + q.SIDE] + pad[k + q.SIDE + 1 : k + 2 * q.SIDE + 1])(w)) for k, w in enumerate(own))
+        assert got[i].n_words == len(own) and got[i].log_likelihood == pytest.approx(total, rel=1e-4, abs=1e-6)
+
+
+def seen_windows(words, weights):
+    def run(batches):
+        import pyarrow as pa
+
+        batches = list(batches)
+        rows = [r for k in range(pseudo_likelihood.ROUNDS) for b in pseudo_likelihood._learn(words, weights, k, pseudo_likelihood.ROUNDS)(iter(batches)) for r in b.column(2)[:1].to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64())], ["n"])
+
+    return run
 
 
 # ---- op 8 ----------------------------------------------------------------------------------------
@@ -509,6 +566,43 @@ def test_nearest_neighbours(spark):
     assert [(r.query_id, r.vec_id) for r in ann.nearest(few, every=50).collect()] == [(0, 3)]
 
 
+def recall_of(spark, points, every, **how):
+    """The share of exact answers found; every query must get five."""
+    frame_ = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(points)], "vec_id long, embedding array<double>").repartition(6)
+    got = defaultdict(set)
+    for r in ann.nearest(frame_, k=5, every=every, **how).collect():
+        got[r.query_id].add(r.vec_id)
+    asked = np.arange(0, len(points), every)
+    assert set(got) == set(asked.tolist()) and {len(v) for v in got.values()} == {5}
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    near = unit[asked] @ unit.T
+    near[np.arange(len(asked)), asked] = -2
+    return np.mean([len(got[int(q)] & set(row.tolist())) / 5 for q, row in zip(asked, np.argsort(-near, axis=1)[:, :5], strict=True)])
+
+
+def clustered(rng, n, isolated):
+    centres = rng.normal(size=(400, 12))
+    points = centres[rng.integers(0, 400, n)] + 0.35 * rng.normal(size=(n, 12))
+    points[rng.choice(n, isolated, replace=False)] = rng.normal(size=(isolated, 12)) * 5
+    return points
+
+
+def test_recall_over_hundreds_of_lists_and_isolated_vectors(spark):
+    assert recall_of(spark, clustered(np.random.default_rng(3), 52_000, 600), 100) >= 0.9
+
+
+def test_recall_in_divided_lists(spark, monkeypatch):
+    for name, value in (("LIST_SIZE", 32), ("MOST_CENTROIDS", 12), ("LONG", 100), ("LIST_LIMIT", 256), ("DIVIDE_EVERY", 4)):
+        monkeypatch.setattr(ann, name, value)
+    assert recall_of(spark, clustered(np.random.default_rng(4), 6_000, 200), 20) >= 0.9
+
+
+def test_vectors_of_any_finite_length_take_part(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 1e-200]), (2, [1.0, 0.99]), (3, [-1e300, 1e300]), (4, [5e-324, 0.0])]
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=50).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == [1, 2, 4, 3] and found[0].score == pytest.approx(1) and found[3].score == pytest.approx(0)
+
+
 # ---- registered queries --------------------------------------------------------------------------
 
 
