@@ -19,16 +19,15 @@ def components(links: DataFrame, tables: runtime.Tables) -> DataFrame:
     every = tables.write(links.select("a", "b").distinct(), "links")
     nodes = every.select(F.col("a").alias("node")).union(every.select("b")).distinct()
     member = tables.write(nodes.select("node", F.col("node").alias("leader")), "leaders")
-    edges, old = every.where("a <> b"), every
-    step = 0
+    # the round is a column and no literal: all rounds are then one and the same compiled code
+    edges, old = every.where("a <> b").withColumn("step", F.lit(0)), every
     while not edges.isEmpty():
-        step += 1
-        both = edges.union(edges.select("b", "a"))
-        rank = lambda c: F.struct(F.xxhash64(F.lit(step), F.col(c)).alias("rank"), F.col(c).alias("node"))
-        follow = both.groupBy("a").agg(F.min(rank("b")).alias("best")).select(F.col("a").alias("node"), F.least(F.col("best"), rank("a"))["node"].alias("follows"))
+        both = edges.union(edges.select("b", "a", "step"))
+        rank = lambda c: F.struct(F.xxhash64("step", c).alias("rank"), F.col(c).alias("node"))
+        follow = both.groupBy("a", "step").agg(F.min(rank("b")).alias("best")).select(F.col("a").alias("node"), F.least(F.col("best"), rank("a"))["node"].alias("follows"))
         follow = tables.write(follow, "follow")
-        left = edges.join(follow, edges["a"] == follow["node"]).select(F.col("follows").alias("x"), "b")
-        moved = left.join(follow, left["b"] == follow["node"]).select(F.least("x", "follows").alias("a"), F.greatest("x", "follows").alias("b"))
+        left = edges.join(follow, edges["a"] == follow["node"]).select(F.col("follows").alias("x"), "b", "step")
+        moved = left.join(follow, left["b"] == follow["node"]).select(F.least("x", "follows").alias("a"), F.greatest("x", "follows").alias("b"), (F.col("step") + 1).alias("step"))
         edges = tables.write(moved.where("a <> b").distinct(), "links")
         further = tables.write(member.join(follow.select(F.col("node").alias("leader"), "follows"), "leader", "left").select("node", F.coalesce("follows", "leader").alias("leader")), "leaders")
         tables.drop(old, member, follow)
