@@ -13,8 +13,9 @@ Elements whose tag, role, class or id marks menus, headers, footers, sidebars, n
 forms or comments never count. Blocks are joined in page order by two line feeds.
 
 Defined results: a null or empty html gives an empty text; a null url belongs to the host "";
-repeated rows are handled one by one; an empty table gives none; other columns do not matter. Trees
-deeper than MOST_DEPTH keep the deeper text in the last level.
+repeated rows are handled one by one; an empty table gives none; other columns do not matter. Elements
+deeper than MOST_DEPTH get no node; their blocks and marks count all the same. Siblings of more than
+MOST_SIBLINGS changes of symbol are one repeated group of optional elements.
 """
 
 from __future__ import annotations
@@ -22,18 +23,19 @@ from __future__ import annotations
 import pickle
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
-from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import runtime
 
-MOST_DEPTH, CONST_CHARS = 60, 160
-#: A constant line is furniture if this many pages have it; an element holds the article from this share.
-FURNITURE_PAGES, MAIN_SHARE = 5, 0.8
+#: Levels and siblings of a wrapper; longer constant texts are held as a hash of 128 bits.
+MOST_DEPTH, MOST_SIBLINGS, CONST_CHARS = 60, 48, 160
+#: A constant line is furniture if this many pages and this share of its host's have it; an element holds the article from this share.
+FURNITURE_PAGES, FURNITURE_SHARE, MAIN_SHARE = 5, 0.25, 0.8
 #: Hosts up to which their wrappers (a few hundred bytes each) are broadcast.
 BROADCAST_HOSTS = 20_000
 
@@ -96,6 +98,7 @@ def parse(html: str) -> Node:
     """The tree of block elements; inline elements only mark whether text stands in a link."""
     root = Node("", "", False)
     stack, links, at = [root], 0, 0
+    deep: list[tuple[str, bool]] = []  # open elements below the last level, and whether their text counts
 
     def close_text() -> None:
         node = stack[-1]
@@ -106,12 +109,13 @@ def parse(html: str) -> Node:
             node.text, node.link = [], 0
 
     def add(raw: str) -> None:
-        if raw:
+        if raw and not any(out for _, out in deep):
             stack[-1].text.append(raw)
             if links:
                 stack[-1].link += len(raw)
 
     def pop_to(k: int) -> None:
+        deep.clear()
         while len(stack) > k:
             close_text()
             stack.pop()
@@ -130,7 +134,10 @@ def parse(html: str) -> Node:
         elif tag in BLOCKS:
             close_text()
             links = 0
-            if end:
+            if end and any(name == tag for name, _ in deep):
+                while deep.pop()[0] != tag:
+                    pass
+            elif end:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag:
                         pop_to(k)
@@ -145,10 +152,13 @@ def parse(html: str) -> Node:
                         break
                     if stack[k].tag in ("td", "th", "li", "table", "article", "section", "div", "main", "body") and not inner:
                         break
-                if tag not in VOID and len(stack) < MOST_DEPTH:
+                if tag not in VOID:
                     symbol, out = _symbol(tag, attributes or "")
                     if tag == "header":  # an article's own header holds its title
                         out |= not any(n.tag in ("article", "main") for n in stack)
+                    if len(stack) == MOST_DEPTH:
+                        deep.append((tag, out))
+                        continue
                     node = Node(symbol, tag, out)
                     stack[-1].children.append(node)
                     stack.append(node)
@@ -163,6 +173,11 @@ def parse(html: str) -> Node:
 #             "text": constant text or None for a slot or "" for no text, "own": characters, "link": of them in links, "c": children}
 
 
+def mark(text: str) -> str:
+    """A text, or the hash of a long one."""
+    return text if len(text) <= CONST_CHARS else "\0" + blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def _wrap(node: Node) -> dict:
     children: list[dict] = []
     texts, own, link = [], 0, 0
@@ -173,7 +188,7 @@ def _wrap(node: Node) -> dict:
             texts.append(child[0])
             own, link = own + len(child[0]), link + child[1]
     text = " ".join(texts)
-    return {"s": node.symbol, "t": node.tag, "o": node.out, "n": 1, "opt": False, "rep": False, "text": text if len(text) <= CONST_CHARS else None, "own": own, "link": link, "c": _squares(children)}
+    return {"s": node.symbol, "t": node.tag, "o": node.out, "n": 1, "opt": False, "rep": False, "text": mark(text), "own": own, "link": link, "c": _squares(children)}
 
 
 def _squares(children: list[dict]) -> list[dict]:
@@ -186,6 +201,14 @@ def _squares(children: list[dict]) -> list[dict]:
             out[-1]["rep"], out[-1]["n"] = True, n
         else:
             out.append(child)
+    for name in ("s", "t"):  # siblings that change very often: a repeated group of optional elements
+        if len(out) > MOST_SIBLINGS:
+            group: dict[str, dict] = {}
+            for child in out:
+                own = child if name == "s" else child | {"s": child["t"]}
+                old = group.get(own[name])
+                group[own[name]] = own | {"opt": True} if old is None else merge(old, own) | {"rep": True, "opt": True, "n": max(old["n"], own["n"])}
+            out = list(group.values())
     return out
 
 
@@ -196,7 +219,7 @@ def merge(a: dict, b: dict) -> dict:
     if [c["s"] for c in x] == [c["s"] for c in y]:
         out["c"] = [merge(p, q) for p, q in zip(x, y, strict=True)]
         return out
-    # longest common subsequence of symbols; sibling runs are folded, so lists are short
+    # longest common subsequence of symbols; siblings are folded, so lists are short
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
         for j in range(len(y) - 1, -1, -1):
@@ -268,7 +291,7 @@ def plan(w: dict) -> dict:
     for node in places:
         lines(node, found)
     # a text is furniture only beside texts that differ from page to page
-    fixed = {n["text"] for n in found if n["text"] and n["n"] >= FURNITURE_PAGES and n["t"] not in _HEADINGS}
+    fixed = {n["text"] for n in found if n["text"] and n["n"] >= max(FURNITURE_PAGES, FURNITURE_SHARE * w["n"]) and n["t"] not in _HEADINGS}
     if sum(n["text"] is None for n in found) < 2:
         fixed = set()
     return {"mains": mains, "fixed": fixed}
@@ -284,7 +307,7 @@ def blocks(node: Node, mains: list[tuple], fixed: set) -> list[str] | None:
             if isinstance(c, Node):
                 if not c.out:
                     take(c)
-            elif c[0] not in fixed:
+            elif mark(c[0]) not in fixed:
                 out.append(c[0])
 
     def go(n: Node, paths: list[tuple]) -> None:
@@ -309,11 +332,9 @@ def extract(html: str, wrapper_plan: dict | None = None) -> str:
     return "\n\n".join(found)
 
 
-def host(url: str | None) -> str:
-    try:
-        return (urlsplit(url or "").hostname or "").lower()
-    except ValueError:
-        return ""
+def host(url: Column) -> Column:
+    """The host of a url, in lower case; "" if it names none."""
+    return F.lower(F.coalesce(F.regexp_extract(url, r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1), F.lit("")))
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,9 +346,9 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batch
 
     for batch in batches:
-        for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for at, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if html:
-                at, own = host(url), _wrap(parse(html))
+                own = _wrap(parse(html))
                 held[at] = merge(held[at], own) if at in held else own
         if len(held) > 2000:
             yield emit()
@@ -369,7 +390,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def host_plans(pages: DataFrame) -> DataFrame:
     """host, plan: what the wrapper of each host says about its pages."""
     parts = runtime.parallelism(pages.sparkSession)
-    learnt = pages.select("url", "html").mapInArrow(_learn, "host string, wrapper binary")
+    learnt = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(_learn, "host string, wrapper binary")
     return runtime.stage(learnt.repartition(parts, "host").sortWithinPartitions("host").mapInArrow(_join_hosts, "host string, plan binary"), "plans")
 
 
@@ -378,7 +399,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     runtime.bounded_batches(spark)
     plans = host_plans(pages)
-    named = pages.select("page_id", "url", "html", F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))).alias("host"))
+    named = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
     if plans.count() <= BROADCAST_HOSTS:
         joined = named.join(F.broadcast(plans), "host", "left")
     else:  # each host's plan goes to a few tasks, so that no host's pages meet in one
