@@ -42,6 +42,8 @@ COMMON = {
     "es": {"de": 0.062, "la": 0.039, "que": 0.031, "el": 0.029, "en": 0.026, "y": 0.026, "los": 0.017, "del": 0.013, "se": 0.012, "las": 0.011, "por": 0.010, "un": 0.010},
 }
 SIZE = 12
+#: Words of a text up to which a window's hash is shortened to fit beside its position (a chance of 1 in 10 million to err).
+PACKED_WORDS = 12_000
 
 
 def let(value: Column, body) -> Column:
@@ -56,7 +58,8 @@ def word_array(text: Column) -> Column:
 
 def repeated_words(words: Column) -> Column:
     """Words inside three-word windows that occur twice or more. A window's hash and position share
-    one long: sorting it brings equal windows together."""
+    one long: sorting it brings equal windows together. Where positions need so many bits that hashes
+    might meet by chance, a struct of two whole hashes and the position is sorted instead."""
     bits = F.ceil(F.log2(F.size(words) + 2)).cast("int")
 
     def keys(w: Column) -> Column:
@@ -72,7 +75,14 @@ def repeated_words(words: Column) -> Column:
         found = let(F.struct(F.sort_array(keys(w)).alias("sorted"), w.bits.alias("bits"), mask.alias("mask")), both)
         return F.sort_array(F.array_distinct(found))
 
-    covered = let(F.struct(words.alias("words"), bits.alias("bits")), lambda w: let(places(w), lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, i + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, y: a + y)))
+    def sure_places(w: Column) -> Column:
+        window = lambda i: [w.words[i], w.words[i + 1], w.words[i + 2]]
+        keys = F.transform(F.sequence(F.lit(0), F.size(w.words) - 3), lambda i: F.struct(F.xxhash64(*window(i)).alias("a"), F.xxhash64(F.lit(1), *window(i)).alias("b"), i.cast("long").alias("i")))
+        equal = lambda v, i: (v[i]["a"] == v[i - 1]["a"]) & (v[i]["b"] == v[i - 1]["b"])
+        both = lambda v: F.flatten(F.transform(F.filter(F.sequence(F.lit(1), F.size(v) - 1), lambda i: equal(v, i)), lambda i: F.array(v[i - 1]["i"], v[i]["i"])))
+        return F.sort_array(F.array_distinct(let(F.sort_array(keys), both)))
+
+    covered = let(F.struct(words.alias("words"), bits.alias("bits")), lambda w: let(F.when(F.size(w.words) <= PACKED_WORDS, places(w)).otherwise(sure_places(w)), lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, i + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, y: a + y)))
     return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(covered)
 
 
