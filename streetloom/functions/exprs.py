@@ -20,12 +20,13 @@ def lookup(code: Column, names: dict, default: Column) -> Column:
 
 
 def speed_or_default(speed: Column, default: float = 30.0) -> Column:
-    return F.coalesce(speed, F.lit(default))
+    """The speed; one that is missing or not positive is the default."""
+    return F.when(speed > 0, speed).otherwise(F.lit(default))
 
 
 def free_flow_time(length_m: Column, speed_kph: Column) -> Column:
-    """Seconds."""
-    return length_m / (speed_kph / 3.6)
+    """Seconds; null at a standstill."""
+    return F.try_divide(length_m, speed_kph / 3.6)
 
 
 def speed_from_time(length_m: Column, seconds: Column) -> Column:
@@ -43,10 +44,11 @@ def co2_per_km(speed_kph: Column) -> Column:
 
 
 def edge_co2(length_m: Column, speed_kph: Column, gain_m: Column, seconds: Column) -> Column:
-    """Grams on an edge: at its speed, else the one its time implies, else the fallback; climbing adds."""
+    """Grams on an edge: at its speed, else the one its time implies, else the fallback; climbing adds. A speed
+    that is not positive is missing."""
     implied = F.when((seconds > 0) & (length_m > 0), length_m / seconds * 3.6)
-    speed = F.coalesce(speed_kph, implied, F.lit(FALLBACK_SPEED))
-    climb = F.when(gain_m > 0, 1 + F.lit(SLOPE) * gain_m / length_m).otherwise(1.0)
+    speed = F.coalesce(F.when(speed_kph > 0, speed_kph), implied, F.lit(FALLBACK_SPEED))
+    climb = F.when((gain_m > 0) & (length_m > 0), 1 + F.lit(SLOPE) * gain_m / length_m).otherwise(1.0)
     return F.when(length_m <= 0, 0.0).otherwise(length_m / 1000 * co2_per_km(speed) * climb)
 
 
@@ -55,9 +57,12 @@ def congested_speed(speed_kph: Column, volume: Column, lanes: Column) -> Column:
     return speed_kph / (1 + volume / (lanes * F.lit(LANE_CAPACITY)))
 
 
-def congested_time(length_m: Column, speed_kph: Column, volume: Column, lanes: Column) -> Column:
-    """Seconds."""
-    return free_flow_time(length_m, congested_speed(speed_kph, volume, lanes))
+def congested_time(length_m: Column, speed_kph: Column, volume: Column, lanes: Column, missing_length: float | None = None, standstill: Column | None = None) -> Column:
+    """Seconds. A missing speed is 30 km/h; a missing length counts as missing_length (1 m by betweenness, nothing by
+    volume), and where the speed leaves no time, standstill does."""
+    length = length_m if missing_length is None else F.coalesce(length_m.cast("double"), F.lit(missing_length))
+    seconds = free_flow_time(length, congested_speed(speed_or_default(speed_kph), volume, lanes))
+    return seconds if standstill is None else F.coalesce(seconds, standstill)
 
 
 def lanes_of(lanes: Column) -> Column:

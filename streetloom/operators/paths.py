@@ -1,7 +1,7 @@
 """Shortest paths, distance matrices and betweenness, one search per origin.
 
 The network is packed into arrays (heads, offsets, weights) and sent once to every executor; a check
-of its size guards that, and beyond it the relational relaxation takes over. Pairs are grouped by
+of its size guards that, and beyond it distances, paths and betweenness come from rounds of joins. Pairs are grouped by
 origin, so one search serves all destinations of an origin; an origin with very many destinations is
 dealt to several groups, each of which repeats the search rather than gather the pairs.
 
@@ -32,7 +32,9 @@ class Network:
         tails = np.searchsorted(self.ids, edges["u"].to_numpy())
         self.heads = np.searchsorted(self.ids, edges["v"].to_numpy())
         self.weights = edges["weight"].to_numpy(np.float64)
-        self.offsets = np.searchsorted(tails, np.arange(len(self.ids) + 1))
+        self.tails, self.offsets = tails, np.searchsorted(tails, np.arange(len(self.ids) + 1))
+        # lists for the search, made once: reading a list's item is several times faster than an array's
+        self._heads, self._weights, self._offsets = self.heads.tolist(), self.weights.tolist(), self.offsets.tolist()
 
     def index(self, node: int) -> int:
         at = int(np.searchsorted(self.ids, node))
@@ -41,20 +43,17 @@ class Network:
     def search(self, origin: int, targets: set[int] | None = None) -> tuple[np.ndarray, np.ndarray, list[int]]:
         """Distances, predecessors (-1: none) and the order of settling; stops when all targets are settled."""
         n = len(self.ids)
-        distance, before = np.full(n, np.inf), np.full(n, -1, np.int64)
-        settled, order = np.zeros(n, bool), []
+        order: list[int] = []
         left = set(targets) if targets is not None else None
-        distance[origin] = 0
+        heads, weights, offsets = self._heads, self._weights, self._offsets
+        far, pre, done = [np.inf] * n, [-1] * n, bytearray(n)
+        far[origin] = 0.0
         heap = [(0.0, origin)]
-        heads, weights, offsets = self.heads.tolist(), self.weights.tolist(), self.offsets
-        far = distance.tolist()
-        pre = before.tolist()
-        done = settled.tolist()
         while heap:
             d, u = heapq.heappop(heap)
             if done[u]:
                 continue
-            done[u] = True
+            done[u] = 1
             order.append(u)
             if left is not None:
                 left.discard(u)
@@ -94,7 +93,7 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, weight: str) -> DataFrame
     """pair_id, origin, destination, cost, path of every pair that has a path of at least one step."""
     network = sent(edges, weight)
     if network is None:
-        raise ValueError("the network is too large to send; use relaxed_distances()")
+        return relaxed_paths(pairs, edges, weight)
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         net = _network(network)
@@ -166,42 +165,98 @@ def relaxed_distances(origins: DataFrame, edges: DataFrame, weight: str, rounds:
     return known
 
 
+def _tight(known: DataFrame, edges: DataFrame, weight: str) -> DataFrame:
+    """origin, u, v of the edges that lie on shortest paths, given the distances from each origin."""
+    step = edges.groupBy("u", "v").agg(F.min(F.col(weight).cast("double")).alias("w"))
+    a = known.select("origin", F.col("node").alias("u"), F.col("distance").alias("du"))
+    b = known.select("origin", F.col("node").alias("v"), F.col("distance").alias("dv"))
+    return a.join(step, "u").join(b, ["origin", "v"]).where(F.abs(F.col("du") + F.col("w") - F.col("dv")) <= 1e-9 + 1e-12 * F.abs("dv")).select("origin", "u", "v")
+
+
+def relaxed_paths(pairs: DataFrame, edges: DataFrame, weight: str) -> DataFrame:
+    """The rows of shortest_paths by joins: distances by relaxation, then all paths are followed back together, a
+    step a round."""
+    from streetloom.operators.stages import stage
+
+    known = stage(relaxed_distances(pairs.select("origin").distinct(), edges, weight))
+    before = stage(_tight(known, edges, weight).groupBy("origin", F.col("v").alias("node")).agg(F.min("u").alias("before")))
+    goals = known.select("origin", F.col("node").alias("destination"), F.col("distance").alias("cost"))
+    walks = stage(pairs.where("origin <> destination").join(goals, ["origin", "destination"]).select("pair_id", "origin", "destination", "cost", F.col("destination").alias("at"), F.array("destination").alias("path")))
+    done = walks.limit(0)
+    while True:
+        arrived = walks.where("at = origin")
+        done = stage(done.unionByName(arrived))
+        open_ = walks.where("at <> origin")
+        if open_.isEmpty():
+            return done.select("pair_id", "origin", "destination", "cost", "path")
+        step = before.select("origin", F.col("node").alias("at"), "before")
+        walks = stage(open_.join(step, ["origin", "at"]).select("pair_id", "origin", "destination", "cost", F.col("before").alias("at"), F.concat(F.array("before"), F.col("path")).alias("path")))
+
+
+def relaxed_betweenness(origins: DataFrame, edges: DataFrame, weight: str, targets: DataFrame | None = None) -> DataFrame:
+    """The rows of betweenness by joins. Counts of shortest paths flow forward from each origin along the edges on
+    shortest paths, a hop a round; then one unit flows back from every target, shared by those counts."""
+    from streetloom.operators.stages import stage
+
+    known = stage(relaxed_distances(origins.select("origin").distinct(), edges, weight))
+    tight = stage(_tight(known, edges, weight))
+    front = stage(origins.select("origin", F.col("origin").alias("node"), F.lit(1.0).alias("ways")).distinct())
+    parts = front
+    while not front.isEmpty():
+        front = stage(front.join(tight, (front["origin"] == tight["origin"]) & (front["node"] == tight["u"])).groupBy(tight["origin"], tight["v"].alias("node")).agg(F.sum("ways").alias("ways")))
+        parts = stage(parts.unionByName(front))
+    ways = stage(parts.groupBy("origin", "node").agg(F.sum("ways").alias("ways")))
+    at = lambda end: ways.select("origin", F.col("node").alias(end), F.col("ways").alias(f"ways_{end}"))
+    shares = stage(tight.join(at("u"), ["origin", "u"]).join(at("v"), ["origin", "v"]).select("origin", "u", "v", (F.col("ways_u") / F.col("ways_v")).alias("share")))
+    flow = known.where("node <> origin").select("origin", "node", F.lit(1.0).alias("amount"))
+    flow = stage(flow if targets is None else flow.join(targets.select("node").distinct(), "node", "left_semi"))
+    sums = None
+    while not flow.isEmpty():
+        moved = stage(flow.withColumnRenamed("node", "v").join(shares, ["origin", "v"]).select("origin", "u", "v", (F.col("amount") * F.col("share")).alias("amount")))
+        own = moved.groupBy("u", "v").agg(F.sum("amount").alias("betweenness"))
+        sums = stage(own if sums is None else sums.unionByName(own).groupBy("u", "v").agg(F.sum("betweenness").alias("betweenness")))
+        flow = stage(moved.groupBy("origin", F.col("u").alias("node")).agg(F.sum("amount").alias("amount")))
+    return sums if sums is not None else edges.select("u", "v", F.lit(0.0).alias("betweenness")).limit(0)
+
+
 def betweenness(origins: DataFrame, edges: DataFrame, weight: str, targets: DataFrame | None = None) -> DataFrame:
     """u, v, betweenness over shortest paths from the origins (to the targets; all nodes if none): shares
     of equally short paths, one backward sweep per origin, partial sums added by Spark."""
     network = sent(edges, weight)
-    if network is None:
-        raise ValueError("the network is too large to send")
-    goals = None if targets is None else edges.sparkSession.sparkContext.broadcast(np.array([r[0] for r in targets.select("node").distinct().limit(MOST_EDGES).collect()]))
+    chosen = None if targets is None else targets.select("node").distinct()
+    if network is None or (chosen is not None and chosen.limit(MOST_EDGES + 1).count() > MOST_EDGES):
+        return relaxed_betweenness(origins, edges, weight, targets)
+    goals = None if chosen is None else edges.sparkSession.sparkContext.broadcast(np.array([r[0] for r in chosen.collect()]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net = _network(network)
         n = len(net.ids)
         wanted = np.ones(n, bool) if goals is None else np.isin(net.ids, goals.value)
-        tails = np.repeat(np.arange(n), np.diff(net.offsets))
-        sums = np.zeros(len(net.heads))
+        tails, heads = net.tails, net.heads
+        sums = np.zeros(len(heads))
         for batch in batches:
             for node in batch["origin"]:
                 at = net.index(int(node))
                 if at < 0:
                     continue
                 far, _, order = net.search(at)
-                tight = np.isclose(far[tails] + net.weights, far[net.heads], rtol=1e-12, atol=1e-9) & np.isfinite(far[tails])
-                ways, share = np.zeros(n), np.zeros(n)
-                ways[at] = 1
-                for u in order:
-                    for e in range(net.offsets[u], net.offsets[u + 1]):
-                        if tight[e]:
-                            ways[net.heads[e]] += ways[u]
-                for u in reversed(order):
-                    for e in range(net.offsets[u], net.offsets[u + 1]):
-                        if tight[e]:
-                            v = net.heads[e]
-                            c = ways[u] / ways[v] * (share[v] + (1.0 if wanted[v] and v != at else 0.0))
-                            sums[e] += c
-                            share[u] += c
+                tight = np.flatnonzero(np.isclose(far[tails] + net.weights, far[heads], rtol=1e-12, atol=1e-9) & np.isfinite(far[tails]))
+                place = np.empty(n, np.int64)
+                place[order] = np.arange(len(order))
+                tight = tight[np.argsort(place[tails[tight]], kind="stable")]  # in the order in which tails were settled
+                ways, share, give = [0.0] * n, [0.0] * n, wanted.astype(float)
+                ways[at], give[at] = 1.0, 0.0
+                steps, give = list(zip(tails[tight].tolist(), heads[tight].tolist(), strict=True)), give.tolist()
+                for u, v in steps:
+                    ways[v] += ways[u]
+                part = [0.0] * len(steps)
+                for k in range(len(steps) - 1, -1, -1):
+                    u, v = steps[k]
+                    part[k] = c = ways[u] / ways[v] * (share[v] + give[v])
+                    share[u] += c
+                sums[tight] += part
         used = np.flatnonzero(sums)
-        yield pd.DataFrame({"u": net.ids[tails[used]], "v": net.ids[net.heads[used]], "partial": sums[used]})
+        yield pd.DataFrame({"u": net.ids[tails[used]], "v": net.ids[heads[used]], "partial": sums[used]})
 
     parts = max(2, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     partial = origins.select("origin").distinct().repartition(parts, "origin").mapInPandas(run, "u long, v long, partial double")

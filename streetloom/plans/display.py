@@ -95,10 +95,9 @@ def f36_legend(spark, d):
 
 
 def f37_formats(spark, d):
-    """lengths, times and masses as shown, and the affected share."""
-    e = N.edge_metrics(S.road_edges(spark, d), S.road_nodes(spark, d))
+    """Lengths, times and masses as shown."""
     long = F.col("length_m") * 13.0 + 0.3
-    return e.select("u", "v", "key", X.format_length(long).alias("length"), F.round(100.0 * F.col("lanes") / 7, 1).alias("share"))
+    return S.road_edges(spark, d).select("u", "v", "key", X.format_length(long).alias("length"), X.format_time(F.col("length_m") * 0.3 + 0.07).alias("time"), X.format_mass(F.col("length_m") * 7.0 + 0.3).alias("mass"))
 
 
 def f06_lognormal(spark, d):
@@ -111,7 +110,7 @@ def f06_lognormal(spark, d):
 def f01_emission_curve(spark, d):
     """grams a kilometre at the edges of the curve, and one edge of 500 m climbing 20 m."""
     v = spark.createDataFrame([(float(x),) for x in (-5, 0, 10, 30, 50, 70, 100, 130)], "speed double")
-    climb = X.edge_co2(F.lit(500.0), F.when(F.col("speed") > 0, F.col("speed")), F.lit(20.0), F.lit(36.0))
+    climb = X.edge_co2(F.lit(500.0), F.col("speed"), F.lit(20.0), F.lit(36.0))
     return v.select("speed", F.round(X.co2_per_km(F.col("speed")), 6).alias("per_km"), F.round(climb, 6).alias("climbing"))
 
 
@@ -181,7 +180,7 @@ SQL = {
     "f30_vehicle_hues": "WITH i AS (SELECT c_custkey, (c_custkey % 100)::VARCHAR || c_mktsegment[1:1] || c_custkey AS id FROM customer) SELECT c_custkey, (length(id) + coalesce(try_cast(id[1:2] AS DOUBLE), 16) + coalesce(try_cast(id[3:4] AS DOUBLE), 16)) % 360 AS hue FROM i",
     "f31_days": "SELECT seq, day(date)::INT AS day FROM tracks",
     "f36_legend": "SELECT i AS step, round(sign(i / 39.0::DOUBLE * 2 - 1) * 10.0 * (exp(abs((i / 39.0::DOUBLE * 2 - 1) * 3.0)) - 1), 6) AS value FROM range(40) t(i)",
-    "f37_formats": "SELECT u, v, key, CASE WHEN length_m * 13.0 + 0.3 >= 1000 THEN printf('%.2f', (length_m * 13.0::DOUBLE + 0.3) / 1000) || ' km' ELSE printf('%.0f', (length_m * 13.0::DOUBLE + 0.3)) || ' m' END AS length, round(100.0::DOUBLE * lanes / 7, 1) AS share FROM road_edges",
+    "f37_formats": "SELECT u, v, key, CASE WHEN length_m * 13.0 + 0.3 >= 1000 THEN printf('%.2f', (length_m * 13.0::DOUBLE + 0.3) / 1000) || ' km' ELSE printf('%.0f', (length_m * 13.0::DOUBLE + 0.3)) || ' m' END AS length, CASE WHEN length_m * 0.3 + 0.07 >= 60 THEN printf('%.1f', (length_m * 0.3::DOUBLE + 0.07) / 60) || ' min' ELSE printf('%.0f', (length_m * 0.3::DOUBLE + 0.07)) || ' s' END AS time, CASE WHEN length_m * 7.0 + 0.3 >= 1000 THEN printf('%.2f', (length_m * 7.0::DOUBLE + 0.3) / 1000) || ' kg' ELSE printf('%.0f', (length_m * 7.0::DOUBLE + 0.3)) || ' g' END AS mass FROM road_edges",
     "f06_lognormal": f"SELECT m::DOUBLE AS minutes, round({_DENSITY}, 12) AS density, round({_MODE}, 6) AS mode, round({_DENSITY} / (SELECT {_DENSITY} FROM (SELECT {_MODE} AS t)), 9) AS relative FROM (SELECT m, (m * 60)::DOUBLE AS t FROM (VALUES (0), (1), (2), (5), (10), (30), (60)) v(m))",
     "f01_emission_curve": "SELECT s::DOUBLE AS speed, round(CASE WHEN s <= 0 THEN 2520.0 ELSE 2400.0 / s + 120.0 + 0.004 * s * s END::DOUBLE, 6) AS per_km, round(0.5 * (2400.0 / (CASE WHEN s > 0 THEN s ELSE 50 END) + 120.0 + 0.004 * pow(CASE WHEN s > 0 THEN s ELSE 50 END, 2)) * 1.2, 6)::DOUBLE AS climbing FROM (VALUES (-5), (0), (10), (30), (50), (70), (100), (130)) v(s)",
     "a29_time_bins": "WITH e AS (SELECT hour(ts) // 3 AS bin, floor(value * 10)::BIGINT AS speed, 1 + event_id % 5 AS frequency FROM events) SELECT bin::INT AS bin, round(sum(speed * frequency)::DOUBLE / sum(frequency), 9) AS mean_speed, round(avg(frequency), 9) AS mean_frequency FROM e GROUP BY bin",

@@ -13,6 +13,7 @@ from streetloom.operators import paths as P
 from streetloom.operators import planning as L
 from streetloom.operators import sampling as R
 from streetloom.operators import scenario as O
+from streetloom.plans.network import _CHANGED, _IMPACT_NAMES, _METRICS, _ROUTE, _impact
 from streetloom.sources import fixtures as S
 
 HULL = [(6.555, 46.502), (6.69, 46.5), (6.68, 46.56), (6.6, 46.575), (6.551, 46.54)]
@@ -49,24 +50,29 @@ def g06_scenario_distances(spark, d):
 
 def g03_betweenness(spark, d):
     found = P.betweenness(S.od_pairs(spark, d).select("origin").distinct(), S.road_edges(spark, d), "length_m")
-    return P.normalised(found, S.road_edges(spark, d), 250_000.0)
+    return P.normalised(found, S.road_edges(spark, d), 250_000.0).select("u", "v", F.round("volume", 3).alias("volume"))
 
 
 def g04_congestion_rounds(spark, d):
     routes, edges = O.congestion_rounds(S.od_pairs(spark, d), S.road_edges(spark, d), 250_000.0, rounds=2)
-    return N.usage(N.route_edges(routes), 1).join(edges.where("key = 0").select("u", "v", "volume", "time_s"), ["u", "v"])
+    counts = N.usage(N.route_edges(routes), 1).join(edges.where("key = 0").select("u", "v", "volume", "time_s"), ["u", "v"])
+    return counts.select("u", "v", "count", F.round("volume", 3).alias("volume"), F.round("time_s", 5).alias("time_s"))
 
 
 def _scenario(spark, d, strategy):
     return O.recalculate(S.od_pairs(spark, d), S.road_edges(spark, d), S.road_nodes(spark, d), S.edge_mods(spark, d), strategy)
 
 
+def _usage_after(spark, d, strategy):
+    return _scenario(spark, d, strategy)["usage_after"].select("u", "v", "count", "delta_count", F.round("frequency", 9).alias("frequency"), F.round("delta_frequency", 9).alias("delta_frequency"))
+
+
 def g08_targeted_scenario(spark, d):
-    return _scenario(spark, d, "targeted")["usage_after"]
+    return _usage_after(spark, d, "targeted")
 
 
 def g09_congestion_scenario(spark, d):
-    return _scenario(spark, d, "congestion")["usage_after"]
+    return _usage_after(spark, d, "congestion")
 
 
 def g10_elastic_scenario(spark, d):
@@ -74,14 +80,21 @@ def g10_elastic_scenario(spark, d):
 
 
 def g11_scenario_impact(spark, d):
-    return _scenario(spark, d, "targeted")["impact"]
+    found = _scenario(spark, d, "targeted")["impact"]
+    return found.select(*[F.round(c, 3).alias(c) if t == "double" else c for c, t in found.dtypes])
+
+
+def f38_affected_share(spark, d):
+    """Of the rerouted pairs, the percentage whose time or distance did not fall, with one decimal."""
+    return _scenario(spark, d, "targeted")["impact"].select("rerouted", "affected", F.when(F.col("rerouted") > 0, F.round(100.0 * F.col("affected") / F.col("rerouted"), 1)).otherwise(0.0).alias("percent"))
 
 
 def g20_baseline(spark, d):
     """Routes of all pairs with their metrics: what every scenario starts from."""
     edges = O.timed(S.road_edges(spark, d))
     routes = O.as_routes(P.shortest_paths(S.od_pairs(spark, d), edges, "time_s"))
-    return N.route_metrics(N.route_edges(routes), N.edge_metrics(edges.drop("time_s"), S.road_nodes(spark, d)))
+    found = N.route_metrics(N.route_edges(routes), N.edge_metrics(edges.drop("time_s"), S.road_nodes(spark, d)))
+    return found.select("route_id", F.round("travel_time", 4).alias("travel_time"), "distance", "gain", F.round("co2", 3).alias("co2"))
 
 
 def g16_removed_middles(spark, d):
@@ -212,7 +225,7 @@ def f16_stitched_paths(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     g01_shortest_paths, g01_path_costs, g02_distances, g02_failed_pairs, g06_scenario_distances, g03_betweenness, g04_congestion_rounds, g08_targeted_scenario, g09_congestion_scenario, g10_elastic_scenario,
-    g11_scenario_impact, g20_baseline, g16_removed_middles, g14_components, g15_seed_groups, g18_dense_ids, r01_random_pairs, r02_weighted_nodes, r03_weighted_origins, r04_destination_draws, r05_research_pairs,
+    g11_scenario_impact, f38_affected_share, g20_baseline, g16_removed_middles, g14_components, g15_seed_groups, g18_dense_ids, r01_random_pairs, r02_weighted_nodes, r03_weighted_origins, r04_destination_draws, r05_research_pairs,
     r06_subsample, p20_radius_nodes, p12_points_in_hull, j15_nearest_node, c01_clients, c02_depots, c13_demand, c06_collection_plan, c08_load_progression, c09_segments, a15_route_totals, f16_stitched_paths,
 )}
 
@@ -224,6 +237,40 @@ def _search(edges: str) -> str:
     WHERE k.d IS NULL OR r.d + e.w < k.d GROUP BY r.o, e.v)"""
 
 
+def _routes(t: str, edges: str, pairs: str = "SELECT pair_id, origin, destination FROM od_pairs") -> str:
+    """Shortest paths as steps s<t>(route_id, u, v): distances r<t>, the lowest predecessor of each node b<t>, paths
+    followed back w<t>."""
+    return f"""e{t} AS ({edges}), q{t} AS ({pairs}), r{t}(o, n, d) USING KEY (o, n) AS (SELECT DISTINCT origin, origin, 0::DOUBLE FROM q{t}
+  UNION SELECT r.o, e.v, min(r.d + e.w) FROM r{t} r JOIN e{t} e ON r.n = e.u LEFT JOIN recurring.r{t} k ON k.o = r.o AND k.n = e.v WHERE k.d IS NULL OR r.d + e.w < k.d GROUP BY r.o, e.v),
+  b{t} AS (SELECT a.o, e.v AS n, min(e.u) AS p FROM r{t} a JOIN e{t} e ON e.u = a.n JOIN r{t} z ON z.o = a.o AND z.n = e.v WHERE a.d + e.w = z.d GROUP BY a.o, e.v),
+  w{t}(pair_id, o, n) AS (SELECT q.pair_id, q.origin, q.destination FROM q{t} q JOIN r{t} r ON r.o = q.origin AND r.n = q.destination UNION ALL SELECT w.pair_id, w.o, b.p FROM w{t} w JOIN b{t} b ON b.o = w.o AND b.n = w.n),
+  s{t} AS (SELECT w.pair_id AS route_id, b.p AS u, w.n AS v FROM w{t} w JOIN b{t} b ON b.o = w.o AND b.n = w.n)"""
+
+
+def _loaded(t: str, edges: str) -> str:
+    """Volumes v<t> by the steps s<t>, and times at the speeds they leave."""
+    return f"""v{t} AS (SELECT c.u, c.v, c.count * (250000.0::DOUBLE * 1000) / sum(c.count * e.length_m) OVER () AS volume FROM (SELECT u, v, count(*) AS count FROM s{t} GROUP BY u, v) c JOIN {edges} e ON c.u = e.u AND c.v = e.v AND e.key = 0),
+  t{t} AS (SELECT e.u, e.v, e.key, coalesce(v.volume, 0) AS volume, e.length_m / ((e.speed_kph / (1 + coalesce(v.volume, 0) / (e.lanes * 50000.0::DOUBLE))) / 3.6) AS time_s FROM {edges} e LEFT JOIN v{t} v ON v.u = e.u AND v.v = e.v)"""
+
+
+def _usage_change(new: str, old: str) -> str:
+    return f"""c1 AS (SELECT u, v, count(*) AS n FROM {new} GROUP BY u, v), c0 AS (SELECT u, v, count(*) AS n FROM {old} GROUP BY u, v), t AS (SELECT count(*)::DOUBLE AS t FROM od_pairs)
+  SELECT c1.u, c1.v, c1.n AS count, c1.n - coalesce(c0.n, 0) AS delta_count, round(c1.n / t, 9) AS frequency, round((c1.n - coalesce(c0.n, 0)) / t, 9) AS delta_frequency FROM c1 LEFT JOIN c0 ON c0.u = c1.u AND c0.v = c1.v, t"""
+
+
+_TIMES = "SELECT u, v, min(length_m / (speed_kph / 3.6)) AS w FROM road_edges GROUP BY u, v"
+_NEW_TIMES = _TIMES.replace("road_edges", "changed")
+_TARGETED = f"""{_routes("a", _TIMES)}, h AS (SELECT DISTINCT route_id FROM sa s JOIN edge_mods m ON s.u = m.u AND s.v = m.v), {_CHANGED},
+  {_routes("b", _NEW_TIMES, "SELECT pair_id, origin, destination FROM od_pairs WHERE pair_id IN (SELECT route_id FROM h)")}"""
+_IMPACT = f"""WITH RECURSIVE {_METRICS}, {_TARGETED}, a0 AS ({_ROUTE.replace("route_edges", "sa").format(m="metrics")}), b0 AS ({_ROUTE.replace("route_edges", "sb").format(m="changed_metrics")}),
+  a AS (SELECT route_id, distance, round(travel_time, 5) AS travel_time, round(co2, 5) AS co2 FROM a0), b AS (SELECT route_id, distance, round(travel_time, 5) AS travel_time, round(co2, 5) AS co2 FROM b0),
+  j AS (SELECT {", ".join(f"CASE WHEN a.{c} <> 0 AND b.{c} <> 0 THEN b.{c} - a.{c} END AS {k}x, CASE WHEN a.{c} <> 0 AND b.{c} <> 0 THEN (b.{c} - a.{c}) / a.{c} * 100 END AS {k}p" for k, c in (("d", "distance"), ("t", "travel_time"), ("c", "co2")))} FROM a JOIN b USING (route_id)),
+  h2 AS (SELECT *, coalesce(dx >= 0, false) OR coalesce(tx >= 0, false) AS hit FROM j), s AS (SELECT count(*) AS rerouted, count(*) FILTER (hit) AS affected, {_impact("d", "", "distance")}, {_impact("t", "", "time")}, {_impact("c", "", "co2")} FROM h2)"""
+_FLOW = """x AS (SELECT a.o, e.u, e.v FROM ra a JOIN ea e ON e.u = a.n JOIN ra z ON z.o = a.o AND z.n = e.v WHERE a.d + e.w = z.d),
+  f(o, n, h, c) AS (SELECT DISTINCT origin, origin, 0, 1::DOUBLE FROM od_pairs UNION ALL SELECT f.o, x.v, f.h + 1, sum(f.c) FROM f JOIN x ON x.o = f.o AND x.u = f.n GROUP BY f.o, x.v, f.h),
+  g AS (SELECT o, n, sum(c) AS c FROM f GROUP BY o, n), y AS (SELECT x.o, x.u, x.v, a.c / b.c AS share FROM x JOIN g a ON a.o = x.o AND a.n = x.u JOIN g b ON b.o = x.o AND b.n = x.v),
+  k(o, n, h, m) AS (SELECT o, n, 0, 1::DOUBLE FROM ra WHERE n <> o UNION ALL SELECT k.o, y.u, k.h + 1, sum(k.m * y.share) FROM k JOIN y ON y.o = k.o AND y.v = k.n GROUP BY k.o, y.u, k.h),
+  bc AS (SELECT y.u, y.v, sum(k.m * y.share) AS bc FROM k JOIN y ON y.o = k.o AND y.v = k.n GROUP BY y.u, y.v), l AS (SELECT u, v, min(length_m) AS length_m FROM road_edges GROUP BY u, v)"""
 _EDGES = "SELECT u, v, min(length_m) AS w FROM road_edges GROUP BY u, v"
 _INSIDE = " + ".join(f"CASE WHEN ({ay} > lat) <> ({by} > lat) AND lon < (lat - {ay}::DOUBLE) * {(bx - ax) / (by - ay)!r}::DOUBLE + {ax}::DOUBLE THEN 1 ELSE 0 END" for (ax, ay), (bx, by) in zip(HULL, [*HULL[1:], HULL[0]], strict=True) if ay != by)
 _DRAW = "(('0x' || md5({key})[1:8])::UBIGINT::DOUBLE / 4294967296.0)"
@@ -243,6 +290,13 @@ SQL = {
     "g02_distances": f"{_search(_EDGES)} SELECT o AS origin, n AS node, d AS distance FROM r",
     "g02_failed_pairs": f"{_search('SELECT u, v, min(length_m) AS w FROM road_edges WHERE u % 50 <> 20 AND v % 50 <> 20 GROUP BY u, v')} SELECT pair_id, origin, destination FROM od_pairs p WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.o = p.origin AND r.n = p.destination AND p.origin % 50 <> 20)",
     "g06_scenario_distances": f"""{_search("SELECT e.u, e.v, min(length_m) AS w FROM road_edges e LEFT JOIN edge_mods m ON e.u = m.u AND e.v = m.v WHERE m.action IS DISTINCT FROM 'remove' GROUP BY e.u, e.v")} SELECT o AS origin, n AS node, d AS distance FROM r""",
+    "g20_baseline": f"WITH RECURSIVE {_METRICS}, {_routes('a', _TIMES)} SELECT route_id, round(travel_time, 4) AS travel_time, distance, gain, round(co2, 3) AS co2 FROM ({_ROUTE.replace('route_edges', 'sa').format(m='metrics')})",
+    "g03_betweenness": f"WITH RECURSIVE {_routes('a', _EDGES).partition('  ba AS')[0]} {_FLOW} SELECT bc.u, bc.v, round(bc * 250000000.0 / sum(bc * length_m) OVER (), 3) AS volume FROM bc JOIN l USING (u, v)",
+    "g04_congestion_rounds": f"WITH RECURSIVE {_routes('a', _TIMES)}, {_loaded('a', 'road_edges')}, {_routes('b', 'SELECT u, v, min(time_s) AS w FROM ta GROUP BY u, v')} SELECT c.u, c.v, c.count, round(volume, 3) AS volume, round(time_s, 5) AS time_s FROM (SELECT u, v, count(*) AS count FROM sb GROUP BY u, v) c JOIN ta ON ta.u = c.u AND ta.v = c.v AND ta.key = 0",
+    "g08_targeted_scenario": f"WITH RECURSIVE {_TARGETED}, sn AS (SELECT * FROM sa WHERE route_id NOT IN (SELECT route_id FROM h) UNION ALL SELECT * FROM sb), {_usage_change('sn', 'sa')}",
+    "g09_congestion_scenario": f"WITH RECURSIVE {_CHANGED}, {_routes('o', _TIMES)}, {_routes('a', _NEW_TIMES)}, {_loaded('a', 'changed')}, {_routes('b', 'SELECT u, v, min(time_s) AS w FROM ta GROUP BY u, v')}, {_usage_change('sb', 'so')}",
+    "g11_scenario_impact": f"{_IMPACT} SELECT rerouted, affected, {', '.join(f'round({n}::DOUBLE, 3) AS {n}' for n in _IMPACT_NAMES)} FROM s",
+    "f38_affected_share": f"{_IMPACT} SELECT rerouted, affected, CASE WHEN rerouted > 0 THEN round(100.0::DOUBLE * affected / rerouted, 1) ELSE 0 END AS percent FROM s",
     "g16_removed_middles": "WITH l AS (SELECT route_id, list(node ORDER BY seq) AS path FROM route_nodes GROUP BY route_id) SELECT route_id, path[len(path) // 2 + 1] AS u, path[len(path) // 2 + 2] AS v FROM l WHERE len(path) > 2 ORDER BY route_id LIMIT 5",
     "g14_components": """WITH RECURSIVE l AS (SELECT l_orderkey AS a, l_partkey + 10000000 AS b FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
   r(n, c) USING KEY (n) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, min(r.c) FROM r JOIN e ON r.n = e.a JOIN recurring.r k ON k.n = e.b WHERE r.c < k.c GROUP BY e.b) SELECT n AS node, c AS component FROM r""",

@@ -55,6 +55,28 @@ def test_distances_and_relaxation_agree(spark):
     assert a == b
 
 
+def test_networks_too_large_to_send_give_the_same(spark, monkeypatch):
+    edges = spark.createDataFrame(random_edges(4)).select("u", "v", F.col("weight").alias("w"))
+    pairs = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(itertools.product((0, 6, 9), (3, 6, 15, 30, 999)))], "pair_id long, origin long, destination long")
+    origins, goals = pairs.select("origin").distinct(), pairs.select(F.col("destination").alias("node"))
+    rows = lambda: ({(r.pair_id, r.cost, tuple(r.path)) for r in paths.shortest_paths(pairs, edges, "w").collect()}, *({(r.u, r.v): pytest.approx(r.betweenness) for r in paths.betweenness(origins, edges, "w", t).collect() if r.betweenness} for t in (None, goals)))
+    sent = rows()
+    monkeypatch.setattr(paths, "MOST_EDGES", 2)
+    assert paths.sent(edges, "w") is None
+    for one, other in zip(sent, rows(), strict=True):
+        assert one and (one == other if isinstance(one, set) else {k: v.expected for k, v in one.items()} == other)
+
+
+def test_speeds_that_are_not_positive_are_missing(spark):
+    edges = spark.createDataFrame([(1, 2, 0, 100.0, 0.0, 1), (2, 1, 0, 100.0, None, 1), (1, 3, 0, 100.0, -5.0, 1), (3, 1, 0, 0.0, 50.0, 1)], "u long, v long, key int, length_m double, speed_kph double, lanes int")
+    nodes = spark.createDataFrame([(1, 400.0), (2, 400.0), (3, None)], "node_id long, elevation double")
+    for r in network.edge_metrics(edges, nodes).collect():
+        assert r.time_s == pytest.approx(12.0 if r.length_m else 0.0) and r.co2_g == pytest.approx(0.1 * 203.6 if r.length_m else 0.0)
+    one = edges.limit(1).select(X.edge_co2(F.lit(100.0), F.lit(0.0), F.lit(0.0), F.lit(7.2)).alias("g"), X.free_flow_time(F.lit(5.0), F.lit(0.0)).alias("none")).first()
+    assert one.g == pytest.approx(17.8) and one.none is None
+    assert scenario.timed(edges).where("time_s IS NULL").count() == 0
+
+
 def test_betweenness_matches_counting_all_shortest_paths(spark):
     edges = random_edges(3)
     ids, d = all_pairs(edges)
