@@ -283,6 +283,59 @@ def test_join_loses_no_link_in_large_groups(spark, seed, monkeypatch):
         assert got == want
 
 
+@pytest.mark.parametrize("one_task", [0, 40, 10**6])
+def test_components_of_random_links(spark, monkeypatch, one_task):
+    from streetloom.llm import components
+
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
+    rng = random.Random(one_task)
+    links = [(rng.randrange(300) * 7 - 50, rng.randrange(300) * 7 - 50) for _ in range(180)] + [(5000 + i, 5001 + i) for i in range(40)]
+    parent = {x: x for pair in links for x in pair}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((top(a), top(b)))
+        parent[y] = x
+    found = components.components(spark.createDataFrame(links, "a long, b long"), runtime.Tables(spark)).collect()
+    assert sorted((r.node, r.component) for r in found) == sorted((x, top(x)) for x in parent)
+    assert components.components(spark.createDataFrame([], "a long, b long"), runtime.Tables(spark)).count() == 0
+
+
+def test_pages_with_very_many_blocks_and_levels():
+    import time
+
+    parse, wrap = html_wrappers.parse, html_wrappers._wrap
+    began = time.time()
+    pages = ["<html><body><main>" + "".join(f"<h2>t{k}</h2>" if rng.random() < 0.5 else f"<p class=c{k % 90}>text {k}</p>" for k in range(10_000)) + "</main></body></html>" for rng in (random.Random(s) for s in range(3))]
+    wrapper = wrap(parse(pages[0]))
+    for page in pages[1:]:
+        wrapper = html_wrappers.merge(wrapper, wrap(parse(page)))
+    assert len(html_wrappers.extract(pages[0], html_wrappers.plan(wrapper)).split("\n\n")) == 10_000
+    assert time.time() - began < 20
+    deep = "<article>" + "<div>" * 300 + "<p>inside</p><nav><p>menu</p></nav><p>more</p>" + "</div>" * 300 + "<p>after</p></article><footer>foot</footer>"
+    assert html_wrappers.extract(deep) == "inside\n\nmore\n\nafter"
+
+
+def test_long_constant_notices_are_furniture_and_articles_stay():
+    notice = "This notice is the same on every page of the host. " * 8
+    page = lambda k: f"<body><main><p>{notice}</p><h1>Title {k}</h1><p>{' '.join(f'word{k}x{i}' for i in range(80))}</p><p>End {k}.</p></main></body>"
+    wrapper = html_wrappers._wrap(html_wrappers.parse(page(0)))
+    for k in range(1, 12):
+        wrapper = html_wrappers.merge(wrapper, html_wrappers._wrap(html_wrappers.parse(page(k))))
+    found = html_wrappers.extract(page(3), html_wrappers.plan(wrapper))
+    assert "This notice" not in found and found.startswith("Title 3\n\nword3x0") and found.endswith("End 3.")
+
+
+def test_hosts_of_urls(spark):
+    urls = {"http://A.b/c": "a.b", "//h/x": "h", "https://u:p@Host.de:80/": "host.de", "http://[::1]:80/x": "[::1]", "nothing": "", None: "", "": "", "mailto:x@y": ""}
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select("url", html_wrappers.host(F.col("url")).alias("host")).collect()
+    assert {r.url: r.host for r in rows} == urls
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(3)
     table = shingles.bands(85, 100)
@@ -529,6 +582,21 @@ def test_quality_rules(spark, tables, odd):
     assert kept == {1: False, 2: True}
 
 
+def test_repeated_windows_of_very_long_texts(spark):
+    import time
+
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(40_000)}" for _ in range(400_000)]
+    words[100_000:100_500] = words[5_000:5_500]
+    seen, covered = Counter(zip(words, words[1:], words[2:], strict=False)), set()
+    for i in range(len(words) - 2):
+        if seen[tuple(words[i : i + 3])] > 1:
+            covered |= {i, i + 1, i + 2}
+    began = time.time()
+    row = quality_rules.judge(frame(spark, [(1, " ".join(words), "en", "a", 1)])).first()
+    assert (row.n_words, row.n_repeat_words) == (400_000, len(covered)) and time.time() - began < 60
+
+
 # ---- op 10 ---------------------------------------------------------------------------------------
 
 
