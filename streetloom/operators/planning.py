@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from streetloom.functions import exprs as X
 from streetloom.functions import geo as G
+from streetloom.operators.ranks import numbered
 from streetloom.operators.stages import stage
 
 UNREACHABLE = 999_999.0
@@ -65,7 +66,7 @@ def with_depots(found: DataFrame, depots: DataFrame) -> DataFrame:
     own = depots.select("node", "depot_id", F.lit(0).cast("long").alias("demand"), F.lit(True).alias("is_depot"))
     rest = found.join(depots.select("node"), "node", "left_anti").select("node", F.lit(None).cast("int").alias("depot_id"), "demand", F.lit(False).alias("is_depot"))
     every = own.unionByName(rest)
-    return every.withColumn("location", F.row_number().over(Window.orderBy(F.desc("is_depot"), "depot_id", "node")) - 1)
+    return numbered(every, [F.desc("is_depot"), F.col("depot_id"), F.col("node")], "location")
 
 
 def visits(clients: DataFrame, problem: Problem, group: str = "waste_type") -> DataFrame:

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streetloom.functions import exprs as X
+from streetloom.operators.ranks import numbered, running
 
 
 @dataclass(frozen=True)
@@ -27,7 +28,7 @@ class Parameters:
     seed: int = 42
 
     def __post_init__(self) -> None:
-        if min(self.preprocessing_nodes, self.n_origins, self.destinations_per_origin) < 1 or self.daily_km <= 0 or self.log_sigma <= 0:
+        if min(self.preprocessing_nodes, self.n_origins, self.destinations_per_origin) < 1 or not (0 < self.daily_km < float("inf")) or not (0 < self.log_sigma < float("inf")):
             raise ValueError("sampling parameters must be positive")
 
 
@@ -40,11 +41,19 @@ def weighted_nodes(nodes: DataFrame, n: int, seed: int) -> DataFrame:
 def weighted_draws(choices: DataFrame, group: str, n: int, seed: int) -> DataFrame:
     """For each group, n draws with replacement from choices(group, item, weight): inverse of the running
     weight. Groups without weight give none."""
-    upto = Window.partitionBy(group).orderBy("item").rowsBetween(Window.unboundedPreceding, 0)
-    shares = choices.where("weight > 0").withColumn("upto", F.sum("weight").over(upto)).withColumn("total", F.sum("weight").over(Window.partitionBy(group)))
-    spans = shares.select(group, "item", ((F.col("upto") - F.col("weight")) / F.col("total")).alias("low"), F.col("upto").alias("high_sum"), "total")
-    draws = shares.select(group).distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("u", X.uniform(seed, F.col(group), F.col("draw")))
-    return draws.join(spans, group).where("u >= low AND u < high_sum / total").select(group, "draw", "item")
+    shares = running(choices.where("weight > 0"), group, "item", "weight", "upto")
+    totals = shares.groupBy(group).agg(F.max("upto").alias("total"))
+    draws = totals.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("at", X.uniform(seed, F.col(group), F.col("draw")) * F.col("total"))
+    return located(draws, shares, group).select(group, "draw", "item")
+
+
+def located(draws: DataFrame, shares: DataFrame, group: str, blocks: int = 1024) -> DataFrame:
+    """draws(group, at) with the item whose span [upto_before, upto) holds at. Spans and draws meet in equal slices of
+    the group's total, so a draw is compared with the few items of its slice and not with all of its group."""
+    cell = lambda c: F.least(F.floor(F.col(c) / F.col("total") * blocks), F.lit(blocks - 1))
+    sized = shares.join(draws.select(group, "total").distinct(), group)
+    spread = sized.withColumn("cell", F.explode(F.sequence(cell("upto_before"), cell("upto")))).select(group, "cell", "item", "upto_before", "upto")
+    return draws.withColumn("cell", cell("at")).join(spread, [group, "cell"]).where("at >= upto_before AND at < upto")
 
 
 def radius_nodes(nodes: DataFrame, lat: float, lon: float, km: float) -> DataFrame:
@@ -55,7 +64,7 @@ def radius_nodes(nodes: DataFrame, lat: float, lon: float, km: float) -> DataFra
 
 def random_pairs(nodes: DataFrame, n: int, seed: int, least_km: float = 0.3, tries: int = 10) -> DataFrame:
     """Up to n pairs of nodes at least least_km apart, each from at most `tries` draws."""
-    ranked = nodes.select("node_id", "x", "y").withColumn("place", F.row_number().over(Window.orderBy("node_id")) - 1)
+    ranked = numbered(nodes.select("node_id", "x", "y"), ["node_id"], "place")
     total = ranked.agg(F.count("*").alias("n"))
     spark = nodes.sparkSession
     draws = spark.range(n).withColumnRenamed("id", "pair_id").withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).crossJoin(F.broadcast(total))
@@ -66,6 +75,11 @@ def random_pairs(nodes: DataFrame, n: int, seed: int, least_km: float = 0.3, tri
     return joined.groupBy("pair_id").agg(F.min_by(F.struct("node_a", "node_b"), "attempt").alias("p")).select("pair_id", F.col("p.node_a").alias("origin"), F.col("p.node_b").alias("destination"))
 
 
+def distinct_pairs(pairs: DataFrame, n: int = 20) -> DataFrame:
+    """The first n different pairs, each at its first draw."""
+    return pairs.groupBy("origin", "destination").agg(F.min("pair_id").alias("pair_id")).orderBy("pair_id").limit(n)
+
+
 def subsample(frame: DataFrame, most: int, seed: int, key: str) -> DataFrame:
     """At most so many rows, drawn by hash of their key."""
     return frame.withColumn("_u", X.uniform(seed, F.col(key))).orderBy("_u", key).limit(most).drop("_u")

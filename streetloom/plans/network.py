@@ -182,9 +182,9 @@ def j19_reverse_edges(spark, d):
 
 def g17_edge_loads(spark, d):
     edges = S.road_edges(spark, d)
-    steps = _steps(spark, d).where("u <> 3").withColumn("trip_id", F.col("route_id") % 3).withColumnRenamed("seq", "segment_id")
+    steps = _steps(spark, d).withColumn("trip_id", F.col("route_id") % 3).withColumnRenamed("seq", "segment_id")
     stops = _steps(spark, d).select("route_id", (F.col("route_id") % 3).alias("trip_id"), F.col("seq").alias("pos"), F.when(F.col("seq") % 7 == 0, 0).otherwise(F.col("u")).alias("location"), (F.col("u") % 9).alias("demand"))
-    return N.edge_loads(steps, N.segment_loads(stops), edges.where("(u * 3 + v) % 7 <> 0"), unit="kg_m")
+    return N.edge_loads(steps, N.segment_loads(stops), edges, unit="kg_m")
 
 
 def p19_weighted_intersections(spark, d):
@@ -305,7 +305,7 @@ SQL = {
     "o06_modifications_by_street": "SELECT name, count(*) AS entries FROM edge_mods m JOIN road_edges e ON m.u = e.u AND m.v = e.v AND e.key = 0 GROUP BY name",
     "a28_robust_max": f"WITH {_USE}, r AS (SELECT count, row_number() OVER (ORDER BY count) - 1 AS i, count(*) OVER () AS n FROM use WHERE count > 0) SELECT count AS robust_max FROM r WHERE i = least(floor(n * 0.98), n - 1)",
     "j19_reverse_edges": "WITH e AS (SELECT * FROM road_edges WHERE NOT (u < v AND (u * 5 + v) % 11 = 0)) SELECT u, v, key, EXISTS (SELECT 1 FROM e b WHERE b.u = e.v AND b.v = e.u) AS has_reverse FROM e",
-    "g17_edge_loads": "WITH p AS (SELECT route_id, route_id % 3 AS trip_id, seq, u, v, u % 9 AS demand, (seq % 7 = 0 OR u = 0) AS depot FROM route_edges), ph AS (SELECT *, sum((depot AND seq > 0)::INT) OVER (PARTITION BY route_id ORDER BY seq) AS phase FROM p), l AS (SELECT *, sum(CASE WHEN depot THEN 0 ELSE demand END) OVER (PARTITION BY route_id, phase ORDER BY seq) AS load FROM ph), e AS (SELECT u, v, arg_min(key, length_m * 10 + key) AS key, min(length_m) AS length_m FROM road_edges WHERE (u * 3 + v) % 7 <> 0 GROUP BY u, v), c AS (SELECT CASE WHEN f.u IS NOT NULL THEN l.u ELSE l.v END AS u, CASE WHEN f.u IS NOT NULL THEN l.v ELSE l.u END AS v, coalesce(f.key, b.key) AS key, l.load * coalesce(f.length_m, b.length_m) AS amount FROM l LEFT JOIN e f ON f.u = l.u AND f.v = l.v LEFT JOIN e b ON b.u = l.v AND b.v = l.u WHERE l.u <> 3 AND (f.u IS NOT NULL OR b.u IS NOT NULL)) SELECT u, v, key, sum(amount)::BIGINT AS load FROM c GROUP BY u, v, key",
+    "g17_edge_loads": "WITH p AS (SELECT route_id, route_id % 3 AS trip_id, seq, u, v, u % 9 AS demand, (seq % 7 = 0 OR u = 0) AS depot FROM route_edges), ph AS (SELECT *, sum((depot AND seq > 0)::INT) OVER (PARTITION BY route_id ORDER BY seq) AS phase FROM p), l AS (SELECT *, sum(CASE WHEN depot THEN 0 ELSE demand END) OVER (PARTITION BY route_id, phase ORDER BY seq) AS load FROM ph), e AS (SELECT u, v, arg_min(key, length_m * 10 + key) AS key, min(length_m) AS length_m FROM road_edges GROUP BY u, v), c AS (SELECT CASE WHEN f.u IS NOT NULL THEN l.u ELSE l.v END AS u, CASE WHEN f.u IS NOT NULL THEN l.v ELSE l.u END AS v, coalesce(f.key, b.key) AS key, l.load * coalesce(f.length_m, b.length_m) AS amount FROM l LEFT JOIN e f ON f.u = l.u AND f.v = l.v LEFT JOIN e b ON b.u = l.v AND b.v = l.u WHERE f.u IS NOT NULL OR b.u IS NOT NULL) SELECT u, v, key, sum(amount)::BIGINT AS load FROM c GROUP BY u, v, key",
     "p19_weighted_intersections": "WITH i AS (SELECT u AS node_id, count(DISTINCT v) AS street_count FROM road_edges GROUP BY u), w AS (SELECT v AS node_id, count(*) AS weight FROM route_edges GROUP BY v) SELECT node_id, street_count, weight FROM i JOIN w USING (node_id) WHERE street_count >= 3 AND weight > 0",
     "a26_attribute_shares": "SELECT round(count(*) FILTER (lon IS NULL)::DOUBLE / count(*), 9) AS missing_lon, round(count(*) FILTER (lat > 46.55)::DOUBLE / count(*), 9) AS northern FROM tracks",
     "f43_lane_parsing": "SELECT u, v, key, CASE u % 5 WHEN 0 THEN 2 WHEN 1 THEN 2 ELSE lanes END::INT AS lanes FROM road_edges",

@@ -11,6 +11,7 @@ from streetloom.operators import components as C
 from streetloom.operators import network as N
 from streetloom.operators import paths as P
 from streetloom.operators import planning as L
+from streetloom.operators import ranks as K
 from streetloom.operators import sampling as R
 from streetloom.operators import scenario as O
 from streetloom.plans.network import _CHANGED, _IMPACT_NAMES, _METRICS, _ROUTE, _impact
@@ -105,8 +106,9 @@ def g16_removed_middles(spark, d):
 
 
 def g14_components(spark, d):
-    links = S.table(spark, d, "lineitem").where("l_quantity = 50 AND l_linenumber = 1").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 10_000_000).alias("b"))
-    return C.components(links)
+    """Clusters of habitat pieces on one road with one code, merged through the polygons they share."""
+    own = S.habitats(spark, d).select((F.col("road_id") * 1000 + F.substring("code", 1, 1).cast("long") * 100 + F.substring("code", 3, 1).cast("long")).alias("a"), (-1 - F.col("poly_id")).alias("b"))
+    return C.components(own)
 
 
 def g15_seed_groups(spark, d):
@@ -114,7 +116,7 @@ def g15_seed_groups(spark, d):
 
 
 def g18_dense_ids(spark, d):
-    return S.road_nodes(spark, d).where("node_id % 3 <> 1").select("node_id", (F.dense_rank().over(Window.orderBy("node_id")) - 1).alias("dense"))
+    return K.numbered(S.road_edges(spark, d).select(F.col("v").alias("node_id")).distinct(), ["node_id"], "dense")
 
 
 def _weights(spark, d):
@@ -125,6 +127,10 @@ def r01_random_pairs(spark, d):
     return R.random_pairs(S.road_nodes(spark, d), 500, seed=42)
 
 
+def r07_distinct_pairs(spark, d):
+    return R.distinct_pairs(r01_random_pairs(spark, d), 20).select("pair_id", "origin", "destination")
+
+
 def r02_weighted_nodes(spark, d):
     return R.weighted_nodes(_weights(spark, d), 100, seed=42)
 
@@ -141,7 +147,7 @@ def r04_destination_draws(spark, d):
 
 
 def r05_research_pairs(spark, d):
-    return O.research_pairs(S.road_nodes(spark, d), S.road_edges(spark, d), R.Parameters(preprocessing_nodes=60, n_origins=30, destinations_per_origin=20))
+    return O.research_pairs(S.road_nodes(spark, d), S.road_edges(spark, d), R.Parameters())
 
 
 def r06_subsample(spark, d):
@@ -225,7 +231,7 @@ def f16_stitched_paths(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     g01_shortest_paths, g01_path_costs, g02_distances, g02_failed_pairs, g06_scenario_distances, g03_betweenness, g04_congestion_rounds, g08_targeted_scenario, g09_congestion_scenario, g10_elastic_scenario,
-    g11_scenario_impact, f38_affected_share, g20_baseline, g16_removed_middles, g14_components, g15_seed_groups, g18_dense_ids, r01_random_pairs, r02_weighted_nodes, r03_weighted_origins, r04_destination_draws, r05_research_pairs,
+    g11_scenario_impact, f38_affected_share, g20_baseline, g16_removed_middles, g14_components, g15_seed_groups, g18_dense_ids, r01_random_pairs, r07_distinct_pairs, r02_weighted_nodes, r03_weighted_origins, r04_destination_draws, r05_research_pairs,
     r06_subsample, p20_radius_nodes, p12_points_in_hull, j15_nearest_node, c01_clients, c02_depots, c13_demand, c06_collection_plan, c08_load_progression, c09_segments, a15_route_totals, f16_stitched_paths,
 )}
 
@@ -298,10 +304,10 @@ SQL = {
     "g11_scenario_impact": f"{_IMPACT} SELECT rerouted, affected, {', '.join(f'round({n}::DOUBLE, 3) AS {n}' for n in _IMPACT_NAMES)} FROM s",
     "f38_affected_share": f"{_IMPACT} SELECT rerouted, affected, CASE WHEN rerouted > 0 THEN round(100.0::DOUBLE * affected / rerouted, 1) ELSE 0 END AS percent FROM s",
     "g16_removed_middles": "WITH l AS (SELECT route_id, list(node ORDER BY seq) AS path FROM route_nodes GROUP BY route_id) SELECT route_id, path[len(path) // 2 + 1] AS u, path[len(path) // 2 + 2] AS v FROM l WHERE len(path) > 2 ORDER BY route_id LIMIT 5",
-    "g14_components": """WITH RECURSIVE l AS (SELECT l_orderkey AS a, l_partkey + 10000000 AS b FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+    "g14_components": """WITH RECURSIVE l AS (SELECT DISTINCT road_id * 1000 + code[1:1]::BIGINT * 100 + code[3:3]::BIGINT AS a, -1 - poly_id AS b FROM habitats), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
   r(n, c) USING KEY (n) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, min(r.c) FROM r JOIN e ON r.n = e.a JOIN recurring.r k ON k.n = e.b WHERE r.c < k.c GROUP BY e.b) SELECT n AS node, c AS component FROM r""",
     "g15_seed_groups": "SELECT road_id, code[1:3] AS prefix, min(poly_id) AS cluster FROM habitats GROUP BY road_id, code[1:3] HAVING count(DISTINCT road_x < area_x) = 2",
-    "g18_dense_ids": "SELECT node_id, (dense_rank() OVER (ORDER BY node_id) - 1)::INT AS dense FROM road_nodes WHERE node_id % 3 <> 1",
+    "g18_dense_ids": "SELECT v AS node_id, row_number() OVER (ORDER BY v) - 1 AS dense FROM (SELECT DISTINCT v FROM road_edges)",
     "r01_random_pairs": f"""WITH n AS (SELECT node_id, x, y, row_number() OVER (ORDER BY node_id) - 1 AS place, count(*) OVER () AS n FROM road_nodes),
   w AS (SELECT i AS pair_id, a AS attempt, floor({_DRAW.format(key="'42:' || i || ':' || a || ':0'")} * (SELECT count(*) FROM road_nodes)) AS p, floor({_DRAW.format(key="'42:' || i || ':' || a || ':1'")} * (SELECT count(*) FROM road_nodes)) AS q FROM range(500) t(i), range(10) s(a)),
   j AS (SELECT pair_id, attempt, f.node_id AS origin, g.node_id AS destination FROM w JOIN n f ON f.place = p JOIN n g ON g.place = q WHERE sqrt(pow((f.y - g.y) * 111.0, 2) + pow((f.x - g.x) * 111.0 * 0.7, 2)) >= 0.3)
@@ -321,3 +327,4 @@ SQL = {
     "a15_route_totals": "SELECT centroid_id % 11 AS route_id, sum(count)::BIGINT AS delivered, count(*) FILTER (centroid_id % 50 <> 0) AS stops, max(centroid_id % 4) + 1 AS trips FROM centroids GROUP BY centroid_id % 11",
     "f16_stitched_paths": "SELECT route_id, count(*) AS nodes, sum(node)::BIGINT AS code FROM route_nodes GROUP BY route_id HAVING count(*) > 3",
 }
+SQL["r07_distinct_pairs"] = f"WITH p AS ({SQL['r01_random_pairs']}) SELECT min(pair_id) AS pair_id, origin, destination FROM p GROUP BY origin, destination ORDER BY min(pair_id) LIMIT 20"
