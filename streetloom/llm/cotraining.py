@@ -259,8 +259,10 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", labelled:
     named = docs.where("doc_id IS NOT NULL").select("doc_id", "text", "source", "lang", "n_chars").mapInArrow(_gather, _FIELDS)
     listed = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known
     gathered = tables.write(named.join(listed, "doc_id", "left"), "features")
-    sample = gathered.where("label IS NOT NULL").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "value").limit(labelled).collect()
-    sample.sort(key=lambda r: (r["doc_id"], bytes(r["value"])))
+    drawn = tables.write(known.join(gathered.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(labelled).select("doc_id"), "drawn")
+    own = gathered.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min(F.struct("value", "at", "dense", "meta", "label")).alias("f"))
+    sample = own.select("doc_id", "f.*").collect()  # a row for each drawn doc_id
+    sample.sort(key=lambda r: r["doc_id"])
     truth = np.array([r["label"] for r in sample])
     try:
         return _cotrained(sample, truth, gathered.where("label IS NULL").select("at", "value", "dense", "meta"), rounds, parts) if len(np.unique(truth)) == 2 else None
