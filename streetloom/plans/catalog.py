@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from streetloom.sources.fixtures import with_views
 
-from . import display, geodata, network, routing
+from . import display, files, geodata, network, routing
 
-MODULES = (network, routing, geodata, display)
+MODULES = (network, routing, geodata, display, files)
 
 
 def queries() -> dict:
