@@ -32,7 +32,7 @@ from . import runtime, textbuf
 SIDE, WIDTH, HIDDEN = 2, 12, 32
 #: Inputs that rare words share by hash; sums of counts by hash, from which those of any number of groups follow.
 RARE_INPUTS, BUCKETS = 1024, 1 << 16
-ROUNDS, BATCH, RATE = 2, 2048, 0.08
+ROUNDS, RATE = 2, 0.08
 SLICE = 16_384
 #: Rare words that a task holds before it hands them on.
 HELD = 2 << 20
@@ -43,12 +43,18 @@ def groups_for(n_words: int) -> int:
     return max(4, int(np.ceil(10 * max(1, n_words) ** 0.1)))
 
 
+def batch_for(n_words: int) -> int:
+    """Windows of a training step: enough steps for a small corpus, few calls a window for a large one."""
+    return min(8192, max(256, n_words // 256))
+
+
 class Vocabulary:
     """Inputs, groups and slots of words by hash."""
 
     def __init__(self, frequent: np.ndarray, counts: np.ndarray, buckets: np.ndarray):
         """frequent: hashes of the most frequent words, in that order, at least as many as there are slots; buckets: counts of all words by hash."""
-        self.groups = groups_for(int(buckets.sum()))
+        self.n_words = int(buckets.sum())
+        self.groups = groups_for(self.n_words)
         self.frequent = frequent[: self.groups * (self.groups - 1)]
         self.order = np.argsort(self.frequent)
         self.sorted = self.frequent[self.order]
@@ -59,15 +65,17 @@ class Vocabulary:
         self.log_rest = np.log(np.maximum(rest, 1))  # of the rare words of each group
 
     def classes(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Input, group and slot of each word, and which of them are rare."""
-        bucket = (hashes % np.uint64(BUCKETS)).astype(np.int64)
-        rank = np.full(len(hashes), -1)
+        """Input, group and slot of each word, and which of them are rare. Narrow types, which sort fast."""
+        kind = np.uint16 if self.edge < 1 << 16 else np.int32
+        bucket = (hashes & np.uint64(BUCKETS - 1)).astype(np.int32)
+        rank = np.full(len(hashes), -1, np.int32)
         if len(self.sorted):
             at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-            rank = np.where(self.sorted[at] == hashes, self.order[at], -1)
+            rank = np.where(self.sorted[at] == hashes, self.order[at], -1).astype(np.int32)
         rare = rank < 0
-        inputs = np.where(rare, len(self.frequent) + bucket % RARE_INPUTS, rank)
-        return inputs, np.where(rare, bucket, rank) % self.groups, np.where(rare, self.groups - 1, rank // self.groups), rare
+        inputs = np.where(rare, len(self.frequent) + bucket % RARE_INPUTS, rank).astype(kind)
+        groups, slots = np.where(rare, bucket, rank) % self.groups, np.where(rare, self.groups - 1, rank // self.groups)
+        return inputs, groups.astype(np.uint16), slots.astype(np.int32), rare
 
     def shapes(self) -> list[tuple[int, ...]]:
         g = self.groups
@@ -83,14 +91,13 @@ def fresh_weights(words: Vocabulary, seed: int = 5) -> list[np.ndarray]:
 def _windows(inputs: np.ndarray, at: np.ndarray, edge: int) -> np.ndarray:
     """The inputs on both sides of every word; places outside its document are the edge."""
     n = len(inputs)
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    padded = np.concatenate([np.full(SIDE, edge), inputs, np.full(SIDE, edge)])
-    owner = np.concatenate([np.full(SIDE, -1), doc, np.full(SIDE, -1)])
-    columns = []
-    for shift in [*range(-SIDE, 0), *range(1, SIDE + 1)]:
-        here = slice(SIDE + shift, SIDE + shift + n)
-        columns.append(np.where(owner[here] == doc, padded[here], edge))
-    return np.stack(columns, 1) if n else np.zeros((0, 2 * SIDE), np.int64)
+    left = np.arange(n) - np.repeat(at[:-1], np.diff(at))  # words before and after it in its document
+    right = np.repeat(at[1:], np.diff(at)) - np.arange(n) - 1
+    out = np.full((n, 2 * SIDE), edge, inputs.dtype)
+    for k, shift in enumerate((*range(-SIDE, 0), *range(1, SIDE + 1))):
+        inside = np.flatnonzero(left >= -shift if shift < 0 else right >= shift)
+        out[inside, k] = inputs[inside + shift]
+    return out
 
 
 def _hidden(weights: list[np.ndarray], windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,13 +105,6 @@ def _hidden(weights: list[np.ndarray], windows: np.ndarray) -> tuple[np.ndarray,
     return x, np.tanh(x @ weights[1] + weights[2])
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
-
-
 def _runs(groups: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[int, int, int]]]:
     """An order that brings equal groups together, and the group, start and end of each run in it."""
     order = np.argsort(groups, kind="stable")
@@ -120,14 +120,16 @@ def log_probabilities(weights: list[np.ndarray], windows: np.ndarray, groups: np
         part = slice(first, first + 16_384)
         _, h = _hidden(weights, windows[part])
         own, slot = groups[part], slots[part]
-        p = _softmax(h @ weights[3] + weights[4])[np.arange(len(h)), own].astype(np.float64)
+        z = h @ weights[3] + weights[4]
+        logs = z[np.arange(len(h)), own] - np.log(np.exp(z).sum(1, dtype=np.float64))
         order, runs = _runs(own)
         h, slot = h[order], slot[order]
         inside = np.empty(len(h))
         for g, a, b in runs:
-            inside[a:b] = _softmax(h[a:b] @ weights[5][g] + weights[6][g])[np.arange(b - a), slot[a:b]]
-        p[order] *= inside
-        out[part] = np.log(np.maximum(p, 1e-30))
+            z = h[a:b] @ weights[5][g] + weights[6][g]
+            inside[a:b] = z[np.arange(b - a), slot[a:b]] - np.log(np.exp(z).sum(1, dtype=np.float64))
+        logs[order] += inside
+        out[part] = logs
     return out
 
 
@@ -144,14 +146,15 @@ class Trainer:
         order, runs = _runs(groups)
         windows, groups, slots = windows[order], groups[order], slots[order]
         x, h = _hidden(w, windows)
-        p = _softmax(h @ w[3] + w[4])
-        p[np.arange(n), groups] -= 1
-        p /= n
+        # hidden values lie between -1 and 1 and weights stay small, so no exponential overflows
+        p = np.exp(h @ w[3] + w[4])
+        p *= (1 / n / p.sum(1, keepdims=True)).astype(np.float32)
+        p[np.arange(n), groups] -= np.float32(1 / n)
         dh = p @ w[3].T
         for g, a, b in runs:
-            q = _softmax(h[a:b] @ w[5][g] + w[6][g])
-            q[np.arange(b - a), slots[a:b]] -= 1
-            q /= n
+            q = np.exp(h[a:b] @ w[5][g] + w[6][g])
+            q *= (1 / n / q.sum(1, keepdims=True)).astype(np.float32)
+            q[np.arange(b - a), slots[a:b]] -= np.float32(1 / n)
             dh[a:b] += q @ w[5][g].T
             for k, d in ((5, h[a:b].T @ q), (6, q.sum(0))):
                 self.squares[k][g] += d * d
@@ -308,17 +311,17 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _learn(words: Vocabulary, weights: list[np.ndarray], round_: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(weights)
+        trainer, size = Trainer(weights), batch_for(words.n_words)
         held: list[tuple[np.ndarray, ...]] = []
         n = 0
 
         def drain(whole: bool) -> None:
             nonlocal held, n
-            if n and (whole or n >= BATCH):
+            if n and (whole or n >= size):
                 columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-                end = n if whole else n // BATCH * BATCH
-                for a in range(0, end, BATCH):
-                    trainer.step(*(c[a : min(a + BATCH, end)] for c in columns))
+                end = n if whole else n // size * size
+                for a in range(0, end, size):
+                    trainer.step(*(c[a : min(a + size, end)] for c in columns))
                 held, n = [tuple(c[end:] for c in columns)], n - end
 
         for batch in batches:
@@ -368,7 +371,8 @@ _SCORED = "row long, doc_id long, n_words long, known double, part int, rare bin
 
 
 def _score(words: Vocabulary, weights: list[np.ndarray], parts: int):
-    """Per document what the network says, and per part of the count table the rare words, with their documents' rows."""
+    """Per document what the network says; and per block of documents (named by its first row) and part of the count
+    table the rare words, with their documents' rows."""
 
     names = ["row", "doc_id", "n_words", "known", "part", "rare"]
 
@@ -378,8 +382,8 @@ def _score(words: Vocabulary, weights: list[np.ndarray], parts: int):
         rare, rows, part = rare[order], rows[order], part[order]
         cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
         blobs = [np.concatenate([rare[a:b].view(np.int64), rows[a:b]]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        none = [pa.nulls(len(blobs), kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.float64())]
-        return pa.RecordBatch.from_arrays([*none, pa.array(part[cuts[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], names)
+        none = [pa.nulls(len(blobs), kind) for kind in (pa.int64(), pa.int64(), pa.float64())]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(blobs), rows.min())), *none, pa.array(part[cuts[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
@@ -407,11 +411,12 @@ def _score(words: Vocabulary, weights: list[np.ndarray], parts: int):
 
 
 def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of a part, its counts before the rare words that ask for them: the sum of log counts of each document's words there."""
+    """Runs of a part, its counts before the rare words that ask for them: for each block the sums of log counts of its
+    documents' words there."""
     at, words, counts = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for batch in batches:
-        found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))]
-        for part, own_words, own_counts, rare in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        found: list[tuple[int, bytes]] = []
+        for part, own_words, own_counts, rare, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if own_words is not None:
                 at, words, counts = part, np.frombuffer(own_words, np.uint64), np.frombuffer(own_counts, np.int64)
                 continue
@@ -419,8 +424,22 @@ def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raise ValueError("a part of the count table is missing")
             asked = np.frombuffer(rare, np.int64).reshape(2, -1)
             rows, back = np.unique(asked[1], return_inverse=True)
-            found.append((rows, np.bincount(back, np.log(counts[np.searchsorted(words, asked[0].view(np.uint64))]), len(rows))))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["row", "log_counts"])
+            sums = np.bincount(back, np.log(counts[np.searchsorted(words, asked[0].view(np.uint64))]), len(rows))
+            found.append((block, rows.tobytes() + sums.tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["block", "sums"])
+
+
+def _by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of a block's answers: the sum for each of its documents."""
+
+    def added(held: list[bytes]) -> pa.RecordBatch:
+        rows = np.concatenate([np.frombuffer(x, np.int64, len(x) // 16) for x in held])
+        sums = np.concatenate([np.frombuffer(x, np.float64, len(x) // 16, len(x) // 2) for x in held])
+        names, back = np.unique(rows, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(back, sums, len(names)))], ["row", "log_counts"])
+
+    for _, rows in _of_part(batches):
+        yield added([x.as_py() for batch in rows for x in batch.column(1)])
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -433,8 +452,9 @@ def score(docs: DataFrame) -> DataFrame:
     weights = train(docs, words)
     scored = tables.write(docs.select("doc_id", "text").mapInArrow(_score(words, weights, parts), _SCORED), "scored")
     none = F.lit(None).cast("binary")
-    asking = scored.where("part IS NOT NULL").select("part", none.alias("words"), none.alias("counts"), "rare")
-    met = counted.select("part", "words", "counts", none.alias("rare")).union(asking).repartition(parts, "part").sortWithinPartitions("part", F.col("words").isNull())
-    rare = met.mapInArrow(_shares, "row long, log_counts double").groupBy("row").agg(F.sum("log_counts").alias("log_counts"))
-    every = scored.where("row IS NOT NULL").join(rare, "row", "left").select("doc_id", "n_words", (F.col("known") + F.coalesce("log_counts", F.lit(0.0))).alias("log_likelihood"))
+    asking = scored.where("part IS NOT NULL").select("part", none.alias("words"), none.alias("counts"), "rare", F.col("row").alias("block"))
+    met = counted.select("part", "words", "counts", none.alias("rare"), F.lit(None).cast("long").alias("block")).union(asking).repartition(parts, "part").sortWithinPartitions("part", F.col("words").isNull())
+    answers = met.mapInArrow(_shares, "block long, sums binary").repartition(parts, "block").sortWithinPartitions("block", "sums")
+    rare = answers.mapInArrow(_by_row, "row long, log_counts double")
+    every = scored.where("part IS NULL").join(rare, "row", "left").select("doc_id", "n_words", (F.col("known") + F.coalesce("log_counts", F.lit(0.0))).alias("log_likelihood"))
     return tables.last(every.withColumn("mean_log", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))), "likelihood")
