@@ -13,6 +13,8 @@ from streetloom.functions import exprs as X
 
 #: Rows up to which a list of modifications is broadcast.
 SMALL_LIST = 100_000
+#: Edges up to which their metrics (40 bytes each) are broadcast, so that the steps of all routes need no shuffle.
+SMALL_NETWORK = 1_000_000
 
 
 def small(frame: DataFrame, most: int = SMALL_LIST) -> DataFrame:
@@ -46,13 +48,22 @@ def usage(steps: DataFrame, n_routes: Column | int) -> DataFrame:
 
 def route_metrics(steps: DataFrame, metrics: DataFrame) -> DataFrame:
     """Sums over each route's edges; a missing edge counts as nothing, a gain that is not positive is null."""
-    own = metrics.where("key = 0").select("u", "v", "time_s", "length_m", "gain_m", "co2_g")
+    own = small(metrics.where("key = 0").select("u", "v", "time_s", "length_m", "gain_m", "co2_g"), SMALL_NETWORK)
     joined = steps.join(own, ["u", "v"], "left")
     total = lambda c: F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
     summed = joined.groupBy("route_id").agg(total("time_s").alias("travel_time"), total("length_m").alias("distance"), total("gain_m").alias("gain"), total("co2_g").alias("co2"))
     return summed.withColumn("gain", F.when(F.col("gain") > 0, F.col("gain")))
 
 
+def paired_route_metrics(steps: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """The metrics of each route on two states of the network, beside each other (d0 t0 c0 and d1 t1 c1, distance, time
+    and CO2): the steps are read and summed once."""
+    own = lambda m, k: m.where("key = 0").select("u", "v", *[F.col(c).cast("double").alias(f"{n}{k}") for c, n in (("length_m", "d"), ("time_s", "t"), ("co2_g", "c"))])
+    both = small(own(before, 0).join(own(after, 1), ["u", "v"], "full_outer"), SMALL_NETWORK)
+    names = [f"{n}{k}" for k in (0, 1) for n in "dtc"]
+    return steps.join(both, ["u", "v"], "left").groupBy("route_id").agg(*[F.sum(F.coalesce(c, F.lit(0.0))).alias(c) for c in names])
+
+
 def apply_modifications(edges: DataFrame, mods: DataFrame, least_change: float = 0.1) -> DataFrame:
     """edges after modifications: removals take all parallel edges, speeds change on key 0. A pure
     function, so nothing has to be restored."""
@@ -97,6 +108,11 @@ def impact(old: DataFrame, new: DataFrame) -> DataFrame:
     """One row of statistics over rerouted routes: a route counts as affected if its time or distance
     did not fall; falls do not enter the sums, percents average over those that are not null."""
     joined = old.select("route_id", F.col("distance").alias("d0"), F.col("travel_time").alias("t0"), F.col("co2").alias("c0")).join(new.select("route_id", F.col("distance").alias("d1"), F.col("travel_time").alias("t1"), F.col("co2").alias("c1")), "route_id")
+    return paired_impact(joined)
+
+
+def paired_impact(joined: DataFrame) -> DataFrame:
+    """impact() of rows that hold both states: d0 t0 c0 and d1 t1 c1."""
     rows = joined.select(*[f(F.col(f"{k}0"), F.col(f"{k}1")).alias(f"{k}{s}") for k in "dtc" for s, f in (("x", X.delta), ("p", X.delta_percent))])
     hit = (F.col("dx") >= 0) | (F.col("tx") >= 0)
     up = lambda c: F.when(hit & (F.col(c) > 0), F.col(c))

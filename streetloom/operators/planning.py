@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from streetloom.functions import exprs as X
 from streetloom.functions import geo as G
+from streetloom.operators import paths as P
 from streetloom.operators.ranks import numbered
 from streetloom.operators.stages import stage
 
@@ -25,7 +26,6 @@ class Problem:
     capacity: int = 5_000
     reloads: int = 10
     rounds: int = 100
-    seed: int = 42
 
     def __post_init__(self) -> None:
         if min(self.vehicles, self.capacity, self.rounds) < 1 or self.reloads < 0:
@@ -84,6 +84,34 @@ def _servable(matrix: np.ndarray, demand: np.ndarray, problem: Problem, c: int)
     return max(matrix[0, c], matrix[c, 0]) < UNREACHABLE and demand[c] <= problem.capacity
 
 
+def _moved(routes: list[list[int]], matrix: np.ndarray, demand: np.ndarray, capacity: int) -> bool:
+    """Moves single clients to the place in another trip where that shortens the whole; empty trips go."""
+    loads = [int(sum(demand[c] for c in t)) for t in routes]
+    any_moved = False
+    for k in range(len(routes)):
+        for c in list(routes[k]):
+            own = [0, *routes[k], 0]
+            i = own.index(c, 1)
+            gain = matrix[own[i - 1], c] + matrix[c, own[i + 1]] - matrix[own[i - 1], own[i + 1]]
+            best = (1e-9, -1, 0)
+            for m, t in enumerate(routes):
+                if m == k or not t or loads[m] + demand[c] > capacity:
+                    continue
+                stops = np.array([0, *t, 0])
+                costs = matrix[stops[:-1], c] + matrix[c, stops[1:]] - matrix[stops[:-1], stops[1:]]
+                at = int(costs.argmin())
+                if gain - costs[at] > best[0]:
+                    best = (gain - costs[at], m, at)
+            if best[1] >= 0:
+                routes[k].remove(c)
+                routes[best[1]].insert(best[2], c)
+                loads[k] -= int(demand[c])
+                loads[best[1]] += int(demand[c])
+                any_moved = True
+    routes[:] = [t for t in routes if t]
+    return any_moved
+
+
 def solve(matrix: np.ndarray, demand: np.ndarray, problem: Problem, depots: int = 1) -> list[list[list[int]]]:
     """Trips of each vehicle: merges by savings under the capacity, then 2-opt and moves of single clients
     until nothing improves (at most `rounds` sweeps); trips are dealt to the vehicles by length."""
@@ -112,6 +140,7 @@ def solve(matrix: np.ndarray, demand: np.ndarray, problem: Problem, depots: int
                     if length(other) < length(t) - 1e-9:
                         routes[k] = t = other
                         better = True
+        better |= _moved(routes, matrix, demand, problem.capacity)
         if not better:
             break
     vehicles: list[list[list[int]]] = [[] for _ in range(problem.vehicles)]
@@ -154,6 +183,45 @@ def plan(locations: DataFrame, distances: DataFrame, problem: Problem, group: st
     return locations.groupBy(group).cogroup(distances.groupBy(group)).applyInPandas(run, f"{group} {kind}, route_id long, trip_id long, pos long, location long, demand long")
 
 
+def nearest_depots(clients: DataFrame, distances: DataFrame) -> DataFrame:
+    """clients(node, ...) with the depot that is nearest over the streets, and its distance: the fleet is split by depot.
+    distances(depot, node, distance); clients that no depot reaches keep null."""
+    best = distances.groupBy("node").agg(F.min(F.struct("distance", "depot")).alias("best"))
+    return clients.join(best, "node", "left").select(*clients.columns, F.col("best.depot").alias("depot"), F.col("best.distance").alias("depot_distance"))
+
+
+def reload_depots(stops: DataFrame, distances: DataFrame, policy: str = "home_only", home: int | None = None) -> DataFrame:
+    """route_id, trip_id, last, depot: where the vehicle reloads after each trip: at home, or (all_depots) at the depot
+    nearest to the trip's last client. stops(route_id, trip_id, pos, node, is_depot); distances(node, depot, distance)."""
+    if policy not in ("home_only", "all_depots"):
+        raise ValueError("the policy is home_only or all_depots")
+    last = stops.where("NOT is_depot").groupBy("route_id", "trip_id").agg(F.max_by("node", "pos").alias("last"))
+    if policy == "home_only":
+        return last.withColumn("depot", F.lit(home).cast("long"))
+    best = distances.groupBy(F.col("node").alias("last")).agg(F.min(F.struct("distance", "depot")).alias("best"))
+    return last.join(best, "last", "left").select("route_id", "trip_id", "last", F.col("best.depot").cast("long").alias("depot"))
+
+
+def routed_segments(legs: DataFrame, edges: DataFrame, weight: str) -> DataFrame:
+    """legs(route_id, trip_id, segment_id, origin, destination) with path and cost over the streets. Legs between equal
+    nodes have a path of one node; legs without a way stay, with an empty path."""
+    pairs = stage(legs.select("origin", "destination").distinct().withColumn("pair_id", F.xxhash64("origin", "destination")))
+    found = P.shortest_paths(pairs, edges, weight).select("origin", "destination", "cost", "path")
+    joined = legs.join(found, ["origin", "destination"], "left")
+    here = F.col("origin") == F.col("destination")
+    path = F.when(here, F.array("origin")).otherwise(F.coalesce("path", F.array().cast("array<long>")))
+    return joined.withColumn("path", path).withColumn("cost", F.when(here, F.lit(0.0)).otherwise(F.col("cost")))
+
+
+def readiness(clients: DataFrame, distances: DataFrame, problem: Problem, group: str = "waste_type") -> DataFrame:
+    """What can be planned of each group: clients, demand, those that the depot reaches both ways, trips needed at least,
+    and whether anything is ready to be solved. clients(group, node, demand); distances(node, distance, back)."""
+    joined = clients.join(distances, "node", "left")
+    can = F.col("distance").isNotNull() & F.col("back").isNotNull()
+    summed = joined.groupBy(group).agg(F.count("*").alias("clients"), F.sum("demand").alias("demand"), F.count_if(can).alias("served"), F.coalesce(F.sum(F.when(can, F.col("demand"))), F.lit(0)).alias("kg"))
+    return summed.select(group, "clients", "demand", "served", F.ceil(F.col("kg") / problem.capacity).alias("trips"), (F.col("served") > 0).alias("ready"))
+
+
 def segments(stops: DataFrame) -> DataFrame:
     """route_id, trip_id, segment_id, a, b: the legs between consecutive stops."""
     trip = Window.partitionBy("route_id", "trip_id").orderBy("pos")

@@ -90,22 +90,21 @@ def j03_usage_deltas(spark, d):
     return N.usage_deltas(new, old, F.broadcast(n)).select("u", "v", "count", "delta_count", F.round("frequency", 9).alias("frequency"), F.round("delta_frequency", 9).alias("delta_frequency"))
 
 
-def _two(spark, d):
-    old = N.route_metrics(_steps(spark, d), metrics(spark, d))
+def _paired(spark, d):
+    """Every grid route before and after the modifications."""
     changed = N.edge_metrics(N.apply_modifications(S.road_edges(spark, d), S.edge_mods(spark, d)), S.road_nodes(spark, d))
-    return old, N.route_metrics(_steps(spark, d), changed)
+    return N.paired_route_metrics(_steps(spark, d), metrics(spark, d), changed)
 
 
 def a06_impact(spark, d):
     # rounded, so that the order of a sum decides nothing
-    old, new = (t.withColumn("travel_time", F.round("travel_time", 5)).withColumn("co2", F.round("co2", 5)) for t in _two(spark, d))
-    found = N.impact(old, new)
+    found = N.paired_impact(_paired(spark, d).withColumns({c: F.round(c, 5) for c in ("t0", "t1", "c0", "c1")}))
     return found.select(*[F.round(c, 3).alias(c) if t == "double" else c for c, t in found.dtypes])
 
 
 def a07_elastic_totals(spark, d):
-    old, new = _two(spark, d)
-    return N.elastic_totals(old, new).select(_r("distance_change", 2), _r("travel_time_change", 2), _r("co2_change", 2))
+    pairs = _paired(spark, d)
+    return pairs.agg(*[F.round(F.sum(f"{k}1") - F.sum(f"{k}0"), 2).alias(f"{name}_change") for k, name in (("d", "distance"), ("t", "travel_time"), ("c", "co2"))])
 
 
 def a08_daily_volumes(spark, d):
@@ -217,10 +216,15 @@ def a14_load_summary(spark, d):
     return top.select("max_load", "used", F.col("top.u").alias("u"), F.col("top.v").alias("v"))
 
 
+def o04_top_loads(spark, d):
+    """The ten streets that carry most."""
+    return g17_edge_loads(spark, d).orderBy(F.desc("load"), "u", "v", "key").limit(10)
+
+
 def p01_defaults(spark, d):
     """Missing or unreadable attributes get their defaults: speed 30, length 1, lanes 2, gain 0."""
-    raw = S.road_edges(spark, d).select("u", "v", "key", F.when(F.col("u") % 4 != 0, F.col("speed_kph").cast("string")).alias("speed"), F.when(F.col("v") % 5 != 0, F.col("length_m").cast("string")).otherwise("n/a").alias("length"), F.when(F.col("u") % 3 != 0, F.col("lanes").cast("string")).otherwise("").alias("lanes"))
-    return raw.select("u", "v", "key", F.coalesce(X.number(F.col("speed")), F.lit(30.0)).alias("speed"), F.coalesce(X.number(F.col("length")), F.lit(1.0)).alias("length"), F.coalesce(F.col("lanes").try_cast("int"), F.lit(2)).alias("lanes"), F.lit(0.0).alias("gain"))
+    raw = S.road_edges(spark, d).select("u", "v", "key", F.when(F.col("u") % 4 != 0, F.col("speed_kph").cast("string")).alias("speed"), F.when(F.col("v") % 5 != 0, F.col("length_m").cast("string")).otherwise("n/a").alias("length"), F.when(F.col("u") % 3 != 0, F.col("lanes").cast("string")).otherwise("").alias("lanes"), F.when(F.col("v") % 4 != 0, (F.col("u") % 9).cast("string")).otherwise("none").alias("gain"))
+    return raw.select("u", "v", "key", F.coalesce(X.number(F.col("speed")), F.lit(30.0)).alias("speed"), F.coalesce(X.number(F.col("length")), F.lit(1.0)).alias("length"), F.coalesce(F.col("lanes").try_cast("int"), F.lit(2)).alias("lanes"), F.coalesce(X.number(F.col("gain")), F.lit(0.0)).alias("gain"))
 
 
 def s08_transit_relations(spark, d):
@@ -234,15 +238,8 @@ def s08_transit_relations(spark, d):
     return ways.groupBy(F.col("m.ref").alias("way")).agg(F.count("*").alias("routes"), F.array_join(F.array_sort(F.collect_set("ref")), ",").alias("refs"))
 
 
-def a16_routing_counters(spark, d):
-    """Pairs, and pairs whose grid route crosses a removed street."""
-    steps = _steps(spark, d)
-    broken = steps.join(S.edge_mods(spark, d).where("action = 'remove'").select("u", "v"), ["u", "v"], "left_semi").select(F.col("route_id").alias("pair_id")).distinct().withColumn("broken", F.lit(True))
-    return S.od_pairs(spark, d).join(broken, "pair_id", "left").agg(F.count("*").alias("pairs"), F.count_if(F.col("broken")).alias("failed"), F.count_if(F.col("broken").isNull()).alias("succeeded"))
-
-
 QUERIES = {f.__name__: f for f in (
-    a14_load_summary, p01_defaults, s08_transit_relations, a16_routing_counters,
+    a14_load_summary, p01_defaults, s08_transit_relations, o04_top_loads,
     top_streets_by_co2, g21_edge_metrics, p03_speed_from_time, g05_congested_co2, w01_route_steps, a01_edge_usage, a02_routes_of_edges, a03_route_metrics, j05_affected_routes, j06_first_modification,
     g06_apply_modifications, a04_maintained_counts, j03_usage_deltas, a06_impact, a07_elastic_totals, a08_daily_volumes, j04_volume_deltas, a31_first_edges, g13_intersections, p25_edge_lookup, a25_network_totals,
     o03_first_nodes, o02_edge_limit, a11_od_groups, a27_concentration, o08_common_origins, w09_first_destinations, a30_modification_count, o06_modifications_by_street, a28_robust_max, j19_reverse_edges,
@@ -313,7 +310,7 @@ SQL = {
 }
 SQL |= {
     "a14_load_summary": SQL["g17_edge_loads"].replace("SELECT u, v, key, sum(amount)::BIGINT AS load FROM c GROUP BY u, v, key", "SELECT max(load) AS max_load, count(*) AS used, arg_max(u, load) AS u, arg_max(v, load) AS v FROM (SELECT u, v, key, sum(amount)::BIGINT AS load FROM c GROUP BY u, v, key ORDER BY load DESC, u, v) WHERE load > 0"),
-    "p01_defaults": "SELECT u, v, key, CASE WHEN u % 4 <> 0 THEN speed_kph ELSE 30 END::DOUBLE AS speed, CASE WHEN v % 5 <> 0 THEN length_m ELSE 1 END::DOUBLE AS length, CASE WHEN u % 3 <> 0 THEN lanes ELSE 2 END::INT AS lanes, 0.0::DOUBLE AS gain FROM road_edges",
+    "p01_defaults": "SELECT u, v, key, CASE WHEN u % 4 <> 0 THEN speed_kph ELSE 30 END::DOUBLE AS speed, CASE WHEN v % 5 <> 0 THEN length_m ELSE 1 END::DOUBLE AS length, CASE WHEN u % 3 <> 0 THEN lanes ELSE 2 END::INT AS lanes, CASE WHEN v % 4 <> 0 THEN u % 9 ELSE 0 END::DOUBLE AS gain FROM road_edges",
     "s08_transit_relations": "WITH m AS (SELECT s_suppkey * 2 AS way, (s_suppkey % 7)::VARCHAR AS ref FROM supplier UNION ALL SELECT s_suppkey + 1, (s_suppkey % 7)::VARCHAR FROM supplier) SELECT way, count(*) AS routes, string_agg(DISTINCT ref, ',' ORDER BY ref) AS refs FROM m GROUP BY way",
-    "a16_routing_counters": "WITH b AS (SELECT DISTINCT route_id FROM route_edges r JOIN edge_mods m ON r.u = m.u AND r.v = m.v WHERE action = 'remove') SELECT (SELECT count(*) FROM od_pairs) AS pairs, (SELECT count(*) FROM b) AS failed, (SELECT count(*) FROM od_pairs) - (SELECT count(*) FROM b) AS succeeded",
+    "o04_top_loads": SQL["g17_edge_loads"] + " ORDER BY load DESC, u, v, key LIMIT 10",
 }

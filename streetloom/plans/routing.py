@@ -14,6 +14,7 @@ from streetloom.operators import planning as L
 from streetloom.operators import ranks as K
 from streetloom.operators import sampling as R
 from streetloom.operators import scenario as O
+from streetloom.operators.stages import stage
 from streetloom.plans.network import _CHANGED, _IMPACT_NAMES, _METRICS, _ROUTE, _impact
 from streetloom.sources import fixtures as S
 
@@ -218,6 +219,80 @@ def c09_segments(spark, d):
     return L.segments(_trips(spark, d))
 
 
+def a16_routing_counters(spark, d):
+    """Pairs, and how many of them a cut network routes or not."""
+    pairs = S.od_pairs(spark, d)
+    found = P.shortest_paths(pairs, S.road_edges(spark, d).where("u % 50 <> 20 AND v % 50 <> 20"), "length_m").select("pair_id", F.lit(True).alias("routed"))
+    return pairs.join(found, "pair_id", "left").agg(F.count("*").alias("pairs"), F.count_if(F.col("routed")).alias("succeeded"), F.count_if(F.col("routed").isNull()).alias("failed"))
+
+
+def _clients(spark, d):
+    own = S.centroids(spark, d).groupBy("waste_type", (F.col("centroid_id") * 7 % 199).alias("node")).agg(F.sum("count").alias("n"))
+    return own.select("waste_type", "node", X.demand_kg(F.col("n"), 10.0).alias("demand"))
+
+
+def _fixed_stops(spark, d):
+    """A fixed plan: each type's nodes in order, four to a trip and three trips to a route, from and to node 101."""
+    k = F.row_number().over(Window.partitionBy("waste_type").orderBy("node")) - 1
+    own = _clients(spark, d).withColumn("k", k).select(F.concat_ws("-", "waste_type", F.floor(F.col("k") / 12)).alias("route_id"), F.floor(F.col("k") % 12 / 4).alias("trip_id"), (F.col("k") % 4 + 1).cast("long").alias("pos"), (F.col("node") + 1).alias("location"), "node", "demand")
+    ends = own.groupBy("route_id", "trip_id").agg(F.max("pos").alias("last")).select("route_id", "trip_id", F.explode(F.array(F.lit(0).cast("long"), F.col("last") + 1)).alias("pos"), F.lit(0).cast("long").alias("location"), F.lit(101).cast("long").alias("node"), F.lit(0).cast("long").alias("demand"))
+    return own.unionByName(ends)
+
+
+def c08_fixed_loads(spark, d):
+    """The load after each stop of the fixed plan."""
+    return N.segment_loads(_fixed_stops(spark, d)).select("route_id", "trip_id", "pos", "node", "load")
+
+
+def a17_route_maxima(spark, d):
+    """Each route's largest load, and its trips."""
+    return N.segment_loads(_fixed_stops(spark, d)).groupBy("route_id").agg(F.max("load").alias("max_load"), (F.max("trip_id") + 1).alias("trips"))
+
+
+def c09_routed_segments(spark, d):
+    """The legs of the fixed plan over a cut network; legs without a way stay."""
+    trip = Window.partitionBy("route_id", "trip_id").orderBy("pos")
+    legs = _fixed_stops(spark, d).withColumn("destination", F.lead("node").over(trip)).where("destination IS NOT NULL").select("route_id", "trip_id", F.col("pos").alias("segment_id"), F.col("node").alias("origin"), "destination")
+    found = L.routed_segments(legs, S.road_edges(spark, d).where("u % 50 <> 20 AND v % 50 <> 20"), "length_m")
+    return found.select("route_id", "trip_id", "segment_id", "origin", "destination", F.col("cost").cast("long").alias("cost"), (F.size("path") == 0).alias("failed"), F.get("path", F.lit(0)).alias("first"), F.when(F.size("path") > 0, F.element_at("path", -1)).alias("last"))
+
+
+_DEPOTS = (3, 120, 177)
+
+
+def _depot_distances(spark, d):
+    depots = spark.createDataFrame([(n,) for n in _DEPOTS], "origin long")
+    return P.distances(depots, S.road_edges(spark, d), "length_m").select(F.col("origin").alias("depot"), "node", F.col("distance").cast("long").alias("distance"))
+
+
+def c05_depot_split(spark, d):
+    """Clients with the depot that is nearest over the streets."""
+    return L.nearest_depots(_clients(spark, d), _depot_distances(spark, d))
+
+
+def c05_reload_depots(spark, d):
+    """Where vehicles reload after each trip: at the depot nearest to its last client, or at home."""
+    stops = _fixed_stops(spark, d).withColumn("is_depot", F.col("location") == 0)
+    nearest = L.reload_depots(stops, _depot_distances(spark, d), "all_depots").withColumnRenamed("depot", "all_depots")
+    home = L.reload_depots(stops, _depot_distances(spark, d), "home_only", 101).select("route_id", "trip_id", F.col("depot").alias("home_only"))
+    return nearest.join(home, ["route_id", "trip_id"])
+
+
+def c12_service(spark, d):
+    """What can be solved of each waste type from node 101 in a network with cut streets."""
+    cut = S.road_edges(spark, d).where("u % 50 <> 20 AND v % 50 <> 20")
+    depot = spark.createDataFrame([(101,)], "origin long")
+    away = P.distances(depot, cut, "length_m").select("node", "distance")
+    back = P.distances(depot, cut.select(F.col("v").alias("u"), F.col("u").alias("v"), "length_m"), "length_m").select("node", F.col("distance").alias("back"))
+    return L.readiness(_clients(spark, d), away.join(back, "node"), L.Problem(vehicles=3, capacity=1500))
+
+
+def a32_reused_sample(spark, d):
+    """The nodes of a run's sample, drawn once and used by each network of the run."""
+    drawn = stage(R.weighted_nodes(_weights(spark, d), 100, seed=42).select("node_id"))
+    return drawn.select(F.lit("baseline").alias("network"), "node_id").unionByName(drawn.select(F.lit("scenario").alias("network"), "node_id"))
+
+
 def a15_route_totals(spark, d):
     stops = S.centroids(spark, d).select((F.col("centroid_id") % 11).alias("route_id"), (F.col("centroid_id") % 4).alias("trip_id"), F.col("centroid_id").alias("pos"), (F.col("centroid_id") % 50).alias("location"), F.col("count").alias("demand"))
     return L.route_totals(stops)
@@ -232,7 +307,7 @@ def f16_stitched_paths(spark, d):
 QUERIES = {f.__name__: f for f in (
     g01_shortest_paths, g01_path_costs, g02_distances, g02_failed_pairs, g06_scenario_distances, g03_betweenness, g04_congestion_rounds, g08_targeted_scenario, g09_congestion_scenario, g10_elastic_scenario,
     g11_scenario_impact, f38_affected_share, g20_baseline, g16_removed_middles, g14_components, g15_seed_groups, g18_dense_ids, r01_random_pairs, r07_distinct_pairs, r02_weighted_nodes, r03_weighted_origins, r04_destination_draws, r05_research_pairs,
-    r06_subsample, p20_radius_nodes, p12_points_in_hull, j15_nearest_node, c01_clients, c02_depots, c13_demand, c06_collection_plan, c08_load_progression, c09_segments, a15_route_totals, f16_stitched_paths,
+    r06_subsample, p20_radius_nodes, p12_points_in_hull, j15_nearest_node, c01_clients, c02_depots, c13_demand, c06_collection_plan, a16_routing_counters, c08_fixed_loads, a17_route_maxima, c09_routed_segments, c05_depot_split, c05_reload_depots, c12_service, a32_reused_sample, c08_load_progression, c09_segments, a15_route_totals, f16_stitched_paths,
 )}
 
 
@@ -328,3 +403,28 @@ SQL = {
     "f16_stitched_paths": "SELECT route_id, count(*) AS nodes, sum(node)::BIGINT AS code FROM route_nodes GROUP BY route_id HAVING count(*) > 3",
 }
 SQL["r07_distinct_pairs"] = f"WITH p AS ({SQL['r01_random_pairs']}) SELECT min(pair_id) AS pair_id, origin, destination FROM p GROUP BY origin, destination ORDER BY min(pair_id) LIMIT 20"
+_CUT = "SELECT u, v, min(length_m) AS w FROM road_edges WHERE u % 50 <> 20 AND v % 50 <> 20 GROUP BY u, v"
+_CLIENTS = "y AS (SELECT waste_type, centroid_id * 7 % 199 AS node, greatest(floor(sum(count) * 10.0::DOUBLE)::BIGINT, 1) AS demand FROM centroids GROUP BY waste_type, centroid_id * 7 % 199)"
+_STOPS = f"""{_CLIENTS}, k AS (SELECT *, row_number() OVER (PARTITION BY waste_type ORDER BY node) - 1 AS k FROM y),
+  own AS (SELECT waste_type || '-' || (k // 12) AS route_id, k % 12 // 4 AS trip_id, k % 4 + 1 AS pos, node + 1 AS location, node, demand FROM k),
+  stops AS (SELECT * FROM own UNION ALL SELECT route_id, trip_id, 0, 0, 101, 0 FROM own GROUP BY route_id, trip_id UNION ALL SELECT route_id, trip_id, max(pos) + 1, 0, 101, 0 FROM own GROUP BY route_id, trip_id),
+  loads AS (SELECT *, CASE WHEN location = 0 THEN 0 ELSE sum(demand) OVER (PARTITION BY route_id, trip_id ORDER BY pos) END::BIGINT AS load FROM stops)"""
+
+
+def _from(edges: str, origins: str) -> str:
+    return f"""e AS ({edges}), r(o, n, d) USING KEY (o, n) AS (SELECT o, o, 0::BIGINT FROM ({origins}) t(o)
+  UNION SELECT r.o, e.v, min(r.d + e.w) FROM r JOIN e ON r.n = e.u LEFT JOIN recurring.r k ON k.o = r.o AND k.n = e.v WHERE k.d IS NULL OR r.d + e.w < k.d GROUP BY r.o, e.v)"""
+
+
+_DEPOT_ROWS = "VALUES " + ", ".join(f"({n}::BIGINT)" for n in _DEPOTS)
+_BACK = _from(_CUT.replace("SELECT u, v,", "SELECT v AS u, u AS v,"), "VALUES (101::BIGINT)").replace("e AS", "e2 AS").replace("r(o", "r2(o").replace("FROM r JOIN e ON", "FROM r2 r JOIN e2 e ON").replace("recurring.r ", "recurring.r2 ")
+SQL |= {
+    "a16_routing_counters": f"{_search(_CUT)} SELECT count(*) AS pairs, count(*) FILTER (r.d IS NOT NULL AND p.origin % 50 <> 20) AS succeeded, count(*) FILTER (r.d IS NULL OR p.origin % 50 = 20) AS failed FROM od_pairs p LEFT JOIN r ON r.o = p.origin AND r.n = p.destination",
+    "c08_fixed_loads": f"WITH {_STOPS} SELECT route_id, trip_id, pos, node, load FROM loads",
+    "a17_route_maxima": f"WITH {_STOPS} SELECT route_id, max(load) AS max_load, max(trip_id) + 1 AS trips FROM loads GROUP BY route_id",
+    "c09_routed_segments": f"WITH RECURSIVE {_STOPS}, legs AS (SELECT route_id, trip_id, pos AS segment_id, node AS origin, lead(node) OVER (PARTITION BY route_id, trip_id ORDER BY pos) AS destination FROM stops), {_from(_CUT, 'SELECT DISTINCT node FROM stops')} SELECT route_id, trip_id, segment_id, origin, destination, d AS cost, d IS NULL AS failed, CASE WHEN d IS NOT NULL THEN origin END AS first, CASE WHEN d IS NOT NULL THEN destination END AS last FROM legs LEFT JOIN r ON r.o = origin AND r.n = destination WHERE destination IS NOT NULL",
+    "c05_depot_split": f"WITH RECURSIVE {_CLIENTS}, {_from(_EDGES, _DEPOT_ROWS)} SELECT waste_type, node, demand, min_by(o, d * 1000 + o) AS depot, min(d) AS depot_distance FROM y LEFT JOIN r ON r.n = node GROUP BY waste_type, node, demand",
+    "c05_reload_depots": f"WITH RECURSIVE {_STOPS}, {_from(_EDGES, _DEPOT_ROWS)}, z AS (SELECT route_id, trip_id, max_by(node, pos) AS last FROM own GROUP BY route_id, trip_id) SELECT route_id, trip_id, last, min_by(o, d * 1000 + o) AS all_depots, 101::BIGINT AS home_only FROM z JOIN r ON r.n = last GROUP BY route_id, trip_id, last",
+    "c12_service": f"WITH RECURSIVE {_CLIENTS}, {_from(_CUT, 'VALUES (101::BIGINT)')}, {_BACK}, j AS (SELECT y.*, r.d IS NOT NULL AND r2.d IS NOT NULL AS can FROM y LEFT JOIN r ON r.n = y.node LEFT JOIN r2 ON r2.n = y.node) SELECT waste_type, count(*) AS clients, sum(demand)::BIGINT AS demand, count(*) FILTER (can) AS served, ceil(coalesce(sum(demand) FILTER (can), 0) / 1500.0::DOUBLE)::BIGINT AS trips, count(*) FILTER (can) > 0 AS ready FROM j GROUP BY waste_type",
+    "a32_reused_sample": f"SELECT network, node_id FROM ({SQL['r02_weighted_nodes']}) s, (VALUES ('baseline'), ('scenario')) t(network)",
+}
