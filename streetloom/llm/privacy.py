@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import runtime
+from .quality_rules import let
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # The patterns of the base entities. \G or a look behind keeps the leftmost start.
@@ -42,6 +43,8 @@ SPAN = "struct<start:int,kind:int,end:int,value:string>"
 #: Distinct texts that a term and an entity share to count as they are (fewer are smoothed), and the shares of the
 #: entity's information from which a term is generalised or removed.
 SUPPORT, GENERALISE, REMOVE = 5, 0.8, 0.95
+#: Spans that are gathered at once.
+BLOCK = 256
 LEAST_LETTERS, BROADCAST_ROWS, BROADCAST_COPIES = 3, 100_000, 1_000_000
 
 
@@ -65,7 +68,8 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def matches(text: Column, pattern: str, kind: int, valid) -> Column:
-    """Spans of the valid matches: the pieces between all matches give their places."""
+    """Spans of the valid matches: the pieces between all matches give their places. Spans are gathered in blocks,
+    so that long lists are not copied for each span."""
     pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda a, b: F.struct(F.length(a).alias("gap"), b.alias("value")))
     none = F.array().cast(f"array<{SPAN}>")
 
@@ -74,7 +78,17 @@ def matches(text: Column, pattern: str, kind: int, valid) -> Column:
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value")).cast(SPAN)
         return F.struct((start + F.coalesce(F.length(x["value"]), F.lit(0))).alias("at"), F.when(x["value"].isNotNull() & valid(x["value"]), F.concat(done["spans"], F.array(span))).otherwise(done["spans"]).alias("spans"))
 
-    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda done: done["spans"])
+    def block(done: Column, own: Column) -> Column:
+        found = F.aggregate(own, F.struct(done["at"].alias("at"), none.alias("spans")), step)
+        return let(found, lambda r: F.struct(r["at"].alias("at"), F.concat(done["parts"], F.array(r["spans"])).alias("parts")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("parts"))
+    return F.aggregate(let(pieces, in_blocks), start, block, lambda done: F.flatten(done["parts"]))
+
+
+def in_blocks(items: Column) -> Column:
+    """An array cut into arrays of at most BLOCK."""
+    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.array())
 
 
 def base_spans(text: Column) -> Column:
@@ -167,14 +181,24 @@ def sanitised(text: Column, spans: Column, gone: Column) -> Column:
     """The text with entities as [EMAIL] and so on, generalised terms as [TERM], removed ones left out."""
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
-    def step(done: Column, s: Column) -> Column:
-        label = F.when((s["kind"] == 4) & F.array_contains(gone, F.lower(s["value"])), F.lit("")).otherwise(labels[s["kind"]])
-        kept = F.substr(text, done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0)))
-        # of overlapping spans the later ones only lengthen what is taken out
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.concat(done["text"], kept, F.when(s["start"] >= done["at"], label).otherwise(F.lit(""))).alias("text"))
+    def block(done: Column, own: Column) -> Column:
+        end = F.greatest(F.array_max(F.transform(own, lambda s: s["end"])), done["at"])
+
+        def built(piece: Column) -> Column:  # what the block's spans lie in: positions count from its start
+            def step(made: Column, s: Column) -> Column:
+                label = F.when((s["kind"] == 4) & F.array_contains(gone, F.lower(s["value"])), F.lit("")).otherwise(labels[s["kind"]])
+                kept = F.substr(piece, made["at"] - done["at"] + 1, F.greatest(s["start"] - made["at"], F.lit(0)))
+                # of overlapping spans the later ones only lengthen what is taken out
+                return F.struct(F.greatest(made["at"], s["end"]).alias("at"), F.concat(made["text"], kept, F.when(s["start"] >= made["at"], label).otherwise(F.lit(""))).alias("text"))
+
+            return F.aggregate(own, F.struct(done["at"].alias("at"), F.lit("").alias("text")), step)
+
+        made = F.transform(F.array(F.substr(text, done["at"] + 1, end - done["at"])), built)[0]
+        return let(made, lambda r: F.struct(r["at"].alias("at"), F.concat(done["parts"], F.array(r["text"])).alias("parts")))
 
-    built = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("text")), step, lambda done: F.concat(done["text"], F.substr(text, done["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) == 0, text).otherwise(built)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    whole = F.aggregate(in_blocks(spans), start, block, lambda done: F.concat(F.array_join(done["parts"], ""), F.substr(text, done["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) == 0, text).otherwise(whole)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
