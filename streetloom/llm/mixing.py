@@ -28,6 +28,7 @@ from . import runtime
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix"
+BROADCAST_ROWS = 500_000
 
 
 def size_of(text: Column) -> Column:
@@ -79,6 +80,11 @@ def _local_sums(group: int, value: int):
     return run
 
 
+def _few(frame: DataFrame) -> DataFrame:
+    """frame, to be broadcast if a bounded count shows that it is short."""
+    return F.broadcast(frame) if frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else frame
+
+
 def running_sums(rows: DataFrame, order: list[str], value: str, group: str | None = None) -> DataFrame:
     """rows with running_sum: the sum of value over the rows of the group up to this one, in the given order
     (which begins with the group). Range partitions, sums inside each, then one total per partition and group."""
@@ -90,8 +96,8 @@ def running_sums(rows: DataFrame, order: list[str], value: str, group: str | Non
     totals = sums.groupBy("part", *keys).agg(F.sum(value).alias("own"))
     before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # as many rows as range partitions and groups together
-    totals = totals.select("part", *keys, F.coalesce(F.sum("own").over(before), F.lit(0)).alias("base"))
-    return sums.join(F.broadcast(totals), ["part", *keys]).select(*rows.columns, (F.col("base") + F.col("local_sum")).alias("running_sum"))
+    totals = runtime.stage(totals.select("part", *keys, F.coalesce(F.sum("own").over(before), F.lit(0)).alias("base")), "totals")
+    return sums.join(_few(totals), ["part", *keys]).select(*rows.columns, (F.col("base") + F.col("local_sum")).alias("running_sum"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, seed: str = SEED) -> DataFrame:
@@ -99,7 +105,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     sizes = runtime.stage(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), "sizes")
     targets = runtime.stage(source_targets(sizes, weights, share, cap), "targets")
     places = targets.select("source", "place", "source_size", "target")
-    keyed = sizes.join(F.broadcast(places), sizes["source"].eqNullSafe(places["source"])).select("place", shuffle_key(F.col("doc_id"), seed).alias("key"), "doc_id", "size", "source_size", "target")
+    keyed = sizes.join(_few(places), sizes["source"].eqNullSafe(places["source"])).select("place", shuffle_key(F.col("doc_id"), seed).alias("key"), "doc_id", "size", "source_size", "target")
     queued = runtime.stage(running_sums(keyed, ["place", "key", "doc_id", "size"], "size", "place"), "queued")
     finish = (F.col("round") * F.col("source_size") + F.col("running_sum")) / F.col("target")
     copies = queued.where("target > 0").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(cap - 1)))).where(F.col("round") * F.col("source_size") < F.col("target"))
