@@ -178,6 +178,19 @@ def test_base_spans_on_random_texts(spark):
         assert r.s == base_of(texts[r.i]), texts[r.i][:100]
 
 
+def test_texts_with_very_many_spans(spark):
+    import time
+
+    pieces = ["a.b@c.de", "10.0.0.1", "+49 30 123456 7", "word é🙂", "\n"]
+    rng = random.Random(7)
+    text = " ; ".join(rng.choice(pieces) for _ in range(30_000))
+    began = time.time()
+    row = spark.createDataFrame([(text,)], "text string").select(privacy.base_spans(F.col("text")).alias("s"), "text").select(privacy.spelled(F.col("s")).alias("spans"), privacy.sanitised(F.col("text"), F.col("s"), F.array().cast("array<string>")).alias("clean")).first()
+    assert row.spans == base_of(text)
+    assert row.clean == text.replace("a.b@c.de", "[EMAIL]").replace("10.0.0.1", "[IP]").replace("+49 30 123456 7", "[PHONE]")
+    assert time.time() - began < 30
+
+
 def test_privacy_of_odd_tables(spark, tables, odd):
     rows = privacy.find(tables[0], keep=True)
     assert rows.count() == len(odd)
