@@ -358,13 +358,13 @@ class _Join:
         return self.tables.last(rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "components")
 
     def _sifted(self, pairs: DataFrame) -> DataFrame:
-        """x, y, far of the pairs that the bit sketches do not rule out."""
+        """x, y, far of the pairs that the bit sketches do not rule out (more than once, if rows share a doc_id)."""
         for c in ("x", "y"):
             pairs = pairs.join(self.sketches.select(F.col("member").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c)
-        return pairs.select("x", "nx", "sx", "y", "ny", "sy").mapInArrow(_promising(self.num, self.den), "x long, y long, far long").groupBy("x", "y").agg(F.min("far").alias("far"))
+        return pairs.select("x", "nx", "sx", "y", "ny", "sy").mapInArrow(_promising(self.num, self.den), "x long, y long, far long")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """x, y, linked of distinct pairs."""
+        """x, y, linked of each pair, once."""
         pairs = self.tables.write(pairs, "pairs")
         ids = self.tables.write(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), "ids")
         chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
