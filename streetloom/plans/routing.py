@@ -78,7 +78,7 @@ def g09_congestion_scenario(spark, d):
 
 
 def g10_elastic_scenario(spark, d):
-    return _scenario(spark, d, "elastic")["impact"]
+    return _scenario(spark, d, "elastic")["impact"].select(*[F.round(c, 1).alias(c) for c in ("distance_change", "travel_time_change", "co2_change")])
 
 
 def g11_scenario_impact(spark, d):
@@ -207,16 +207,11 @@ def c06_collection_plan(spark, d):
     return found.select(kind.alias("waste_type"), (area * problem.vehicles + F.col("route_id")).alias("route_id"), "trip_id", "pos", "location", "demand")
 
 
-def _trips(spark, d):
-    return c06_collection_plan(spark, d).where("route_id IS NOT NULL").withColumn("route_id", F.concat_ws("-", "waste_type", "route_id"))
-
-
-def c08_load_progression(spark, d):
-    return N.segment_loads(_trips(spark, d))
-
-
-def c09_segments(spark, d):
-    return L.segments(_trips(spark, d))
+def c06_delivered(spark, d):
+    """What the plan delivers of each waste type: kilograms, clients, and the fullest trip."""
+    served = c06_collection_plan(spark, d).where("route_id IS NOT NULL AND location > 0")
+    trips = served.groupBy("waste_type", "route_id", "trip_id").agg(F.sum("demand").alias("load"), F.collect_set("location").alias("locations"))
+    return trips.groupBy("waste_type").agg(F.sum("load").alias("kg"), F.size(F.array_distinct(F.flatten(F.collect_list("locations")))).cast("long").alias("clients"), (F.max("load") <= 1500).alias("within_capacity"))
 
 
 def a16_routing_counters(spark, d):
@@ -239,11 +234,16 @@ def _fixed_stops(spark, d):
     return own.unionByName(ends)
 
 
-def c08_fixed_loads(spark, d):
-    """The load after each stop of the fixed plan."""
+def c08_load_progression(spark, d):
+    """The load after each stop of the fixed plan."""
     return N.segment_loads(_fixed_stops(spark, d)).select("route_id", "trip_id", "pos", "node", "load")
 
 
+def c09_segments(spark, d):
+    """The legs of the fixed plan."""
+    return L.segments(_fixed_stops(spark, d))
+
+
 def a17_route_maxima(spark, d):
     """Each route's largest load, and its trips."""
     return N.segment_loads(_fixed_stops(spark, d)).groupBy("route_id").agg(F.max("load").alias("max_load"), (F.max("trip_id") + 1).alias("trips"))
@@ -307,7 +307,7 @@ def f16_stitched_paths(spark, d):
 QUERIES = {f.__name__: f for f in (
     g01_shortest_paths, g01_path_costs, g02_distances, g02_failed_pairs, g06_scenario_distances, g03_betweenness, g04_congestion_rounds, g08_targeted_scenario, g09_congestion_scenario, g10_elastic_scenario,
     g11_scenario_impact, f38_affected_share, g20_baseline, g16_removed_middles, g14_components, g15_seed_groups, g18_dense_ids, r01_random_pairs, r07_distinct_pairs, r02_weighted_nodes, r03_weighted_origins, r04_destination_draws, r05_research_pairs,
-    r06_subsample, p20_radius_nodes, p12_points_in_hull, j15_nearest_node, c01_clients, c02_depots, c13_demand, c06_collection_plan, a16_routing_counters, c08_fixed_loads, a17_route_maxima, c09_routed_segments, c05_depot_split, c05_reload_depots, c12_service, a32_reused_sample, c08_load_progression, c09_segments, a15_route_totals, f16_stitched_paths,
+    r06_subsample, p20_radius_nodes, p12_points_in_hull, j15_nearest_node, c01_clients, c02_depots, c13_demand, c06_collection_plan, a16_routing_counters, c06_delivered, a17_route_maxima, c09_routed_segments, c05_depot_split, c05_reload_depots, c12_service, a32_reused_sample, c08_load_progression, c09_segments, a15_route_totals, f16_stitched_paths,
 )}
 
 
@@ -365,6 +365,12 @@ def _draws(choices: str, n: int, seed: int) -> str:
   SELECT s.g, w.draw::INT AS draw, s.item FROM w JOIN s ON s.g = w.g AND w.u >= (s.upto - s.weight) / s.total AND w.u < s.upto / s.total"""
 
 
+# destinations drawn anew by the changed travel times: junctions of the changed network, weights, draws; origins without any keep theirs
+_DRAWN = f"""{_routes("c", _NEW_TIMES).partition("  bc AS")[0]} ji AS (SELECT node_id, count(DISTINCT other) AS streets FROM (SELECT u AS node_id, v AS other FROM changed WHERE key = 0 UNION ALL SELECT v, u FROM changed WHERE key = 0) GROUP BY node_id HAVING count(DISTINCT other) >= 3),
+  n AS (SELECT origin, count(*) AS n FROM od_pairs GROUP BY origin),
+  f AS (SELECT origin, item AS destination FROM (WITH {_draws("SELECT o AS g, rc.n AS item, streets * (exp(-pow((ln(d) - 6.85) / 0.83, 2) / 2) / (d * 0.83 * sqrt(2 * pi()))) AS weight FROM rc JOIN ji ON ji.node_id = rc.n WHERE o <> rc.n AND d > 0", 0, 42).replace("range(0) t(draw)", "range((SELECT max(n) FROM n)) t(draw)")}) z JOIN n ON n.origin = z.g WHERE z.draw < n.n),
+  p2 AS (SELECT row_number() OVER () AS pair_id, origin, destination FROM (SELECT origin, destination FROM f UNION ALL SELECT origin, destination FROM od_pairs WHERE origin NOT IN (SELECT origin FROM f)) WHERE origin <> destination)"""
+
 SQL = {
     "g01_shortest_paths": f"{_search(_EDGES)} SELECT pair_id, origin, destination, r.d AS cost, origin AS first, destination AS last FROM od_pairs p JOIN r ON r.o = p.origin AND r.n = p.destination",
     "g01_path_costs": f"{_search(_EDGES)} SELECT pair_id AS route_id, r.d AS cost FROM od_pairs p JOIN r ON r.o = p.origin AND r.n = p.destination",
@@ -377,6 +383,7 @@ SQL = {
     "g08_targeted_scenario": f"WITH RECURSIVE {_TARGETED}, sn AS (SELECT * FROM sa WHERE route_id NOT IN (SELECT route_id FROM h) UNION ALL SELECT * FROM sb), {_usage_change('sn', 'sa')}",
     "g09_congestion_scenario": f"WITH RECURSIVE {_CHANGED}, {_routes('o', _TIMES)}, {_routes('a', _NEW_TIMES)}, {_loaded('a', 'changed')}, {_routes('b', 'SELECT u, v, min(time_s) AS w FROM ta GROUP BY u, v')}, {_usage_change('sb', 'so')}",
     "g11_scenario_impact": f"{_IMPACT} SELECT rerouted, affected, {', '.join(f'round({n}::DOUBLE, 3) AS {n}' for n in _IMPACT_NAMES)} FROM s",
+    "g10_elastic_scenario": f"WITH RECURSIVE {_METRICS}, {_CHANGED}, {_routes('a', _TIMES)}, {_DRAWN}, {_routes('b', _NEW_TIMES, 'SELECT pair_id, origin, destination FROM p2')}, a0 AS ({_ROUTE.replace('route_edges', 'sa').format(m='metrics')}), b0 AS ({_ROUTE.replace('route_edges', 'sb').format(m='changed_metrics')}) SELECT round((SELECT sum(distance) FROM b0) - (SELECT sum(distance) FROM a0), 1) AS distance_change, round((SELECT sum(round(travel_time, 5)) FROM b0) - (SELECT sum(round(travel_time, 5)) FROM a0), 1) AS travel_time_change, round((SELECT sum(round(co2, 5)) FROM b0) - (SELECT sum(round(co2, 5)) FROM a0), 1) AS co2_change",
     "f38_affected_share": f"{_IMPACT} SELECT rerouted, affected, CASE WHEN rerouted > 0 THEN round(100.0::DOUBLE * affected / rerouted, 1) ELSE 0 END AS percent FROM s",
     "g16_removed_middles": "WITH l AS (SELECT route_id, list(node ORDER BY seq) AS path FROM route_nodes GROUP BY route_id) SELECT route_id, path[len(path) // 2 + 1] AS u, path[len(path) // 2 + 2] AS v FROM l WHERE len(path) > 2 ORDER BY route_id LIMIT 5",
     "g14_components": """WITH RECURSIVE l AS (SELECT DISTINCT road_id * 1000 + code[1:1]::BIGINT * 100 + code[3:3]::BIGINT AS a, -1 - poly_id AS b FROM habitats), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
@@ -420,7 +427,9 @@ _DEPOT_ROWS = "VALUES " + ", ".join(f"({n}::BIGINT)" for n in _DEPOTS)
 _BACK = _from(_CUT.replace("SELECT u, v,", "SELECT v AS u, u AS v,"), "VALUES (101::BIGINT)").replace("e AS", "e2 AS").replace("r(o", "r2(o").replace("FROM r JOIN e ON", "FROM r2 r JOIN e2 e ON").replace("recurring.r ", "recurring.r2 ")
 SQL |= {
     "a16_routing_counters": f"{_search(_CUT)} SELECT count(*) AS pairs, count(*) FILTER (r.d IS NOT NULL AND p.origin % 50 <> 20) AS succeeded, count(*) FILTER (r.d IS NULL OR p.origin % 50 = 20) AS failed FROM od_pairs p LEFT JOIN r ON r.o = p.origin AND r.n = p.destination",
-    "c08_fixed_loads": f"WITH {_STOPS} SELECT route_id, trip_id, pos, node, load FROM loads",
+    "c08_load_progression": f"WITH {_STOPS} SELECT route_id, trip_id, pos, node, load FROM loads",
+    "c09_segments": f"WITH {_STOPS} SELECT route_id, trip_id, segment_id, a, b FROM (SELECT route_id, trip_id, pos AS segment_id, location AS a, lead(location) OVER (PARTITION BY route_id, trip_id ORDER BY pos) AS b FROM stops) WHERE b IS NOT NULL",
+    "c06_delivered": f"WITH RECURSIVE {_CLIENTS}, {_from(_EDGES, 'VALUES (101::BIGINT)')} SELECT waste_type, sum(demand)::BIGINT AS kg, count(*) AS clients, true AS within_capacity FROM y WHERE node IN (SELECT n FROM r) GROUP BY waste_type",
     "a17_route_maxima": f"WITH {_STOPS} SELECT route_id, max(load) AS max_load, max(trip_id) + 1 AS trips FROM loads GROUP BY route_id",
     "c09_routed_segments": f"WITH RECURSIVE {_STOPS}, legs AS (SELECT route_id, trip_id, pos AS segment_id, node AS origin, lead(node) OVER (PARTITION BY route_id, trip_id ORDER BY pos) AS destination FROM stops), {_from(_CUT, 'SELECT DISTINCT node FROM stops')} SELECT route_id, trip_id, segment_id, origin, destination, d AS cost, d IS NULL AS failed, CASE WHEN d IS NOT NULL THEN origin END AS first, CASE WHEN d IS NOT NULL THEN destination END AS last FROM legs LEFT JOIN r ON r.o = origin AND r.n = destination WHERE destination IS NOT NULL",
     "c05_depot_split": f"WITH RECURSIVE {_CLIENTS}, {_from(_EDGES, _DEPOT_ROWS)} SELECT waste_type, node, demand, min_by(o, d * 1000 + o) AS depot, min(d) AS depot_distance FROM y LEFT JOIN r ON r.n = node GROUP BY waste_type, node, demand",
