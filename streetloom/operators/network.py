@@ -46,6 +46,13 @@ def usage(steps: DataFrame, n_routes: Column | int) -> DataFrame:
     return steps.groupBy("u", "v").agg(F.count("*").alias("count")).withColumn("frequency", F.when(total > 0, F.col("count") / total).otherwise(0.0))
 
 
+def routes_of_edges(steps: DataFrame, most: int = 10_000) -> DataFrame:
+    """u, v, chunk, routes: the routes over each edge in ascending order, an edge with very many in several lists."""
+    sizes = steps.groupBy("u", "v").agg(F.ceil(F.count("*") / most).alias("chunks"))
+    dealt = steps.select("u", "v", "route_id").join(sizes, ["u", "v"]).withColumn("chunk", F.pmod(F.xxhash64("route_id"), F.col("chunks")))
+    return dealt.groupBy("u", "v", "chunk").agg(F.array_sort(F.collect_list("route_id")).alias("routes"))
+
+
 def route_metrics(steps: DataFrame, metrics: DataFrame) -> DataFrame:
     """Sums over each route's edges; a missing edge counts as nothing, a gain that is not positive is null."""
     own = small(metrics.where("key = 0").select("u", "v", "time_s", "length_m", "gain_m", "co2_g"), SMALL_NETWORK)

@@ -56,8 +56,8 @@ def a01_edge_usage(spark, d):
 
 
 def a02_routes_of_edges(spark, d):
-    own = _steps(spark, d).groupBy("u", "v").agg(F.array_sort(F.collect_list("route_id")).alias("routes"))
-    return own.select("u", "v", F.size("routes").cast("long").alias("count"), F.get("routes", F.lit(0)).alias("first_route"), F.element_at("routes", -1).alias("last_route"))
+    lists = N.routes_of_edges(_steps(spark, d))
+    return lists.groupBy("u", "v").agg(F.sum(F.size("routes")).alias("count"), F.min(F.get("routes", F.lit(0))).alias("first_route"), F.max(F.element_at("routes", -1)).alias("last_route"))
 
 
 def a03_route_metrics(spark, d):
