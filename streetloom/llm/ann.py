@@ -111,6 +111,7 @@ def _unit(batch: pa.RecordBatch, at: int) -> np.ndarray:
     return np.stack([np.frombuffer(v.as_py(), "<f8") for v in batch.column(at)])
 
 
+@runtime.lean
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Valid vectors as bytes of doubles, scaled by a power of two so that no square over- or underflows."""
     for batch in batches:
@@ -147,6 +148,7 @@ def _choose(x: np.ndarray, centroids: np.ndarray, replicas: int, boundary: float
 
 
 def _assign(centroids: np.ndarray, replicas: int, boundary: float):
+    @runtime.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
@@ -158,6 +160,7 @@ def _assign(centroids: np.ndarray, replicas: int, boundary: float):
 
 
 def _route(centroids: np.ndarray, graph: np.ndarray, ratio: float, sizes: np.ndarray, least: int):
+    @runtime.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
@@ -186,6 +189,7 @@ _DIVIDED = "list int, sub int, class_id long, vector binary"
 def _divide(width: int, ratio: float | None, least: int):
     """Runs of (list, salt), the list's centroids first: each vector with its divisions (ratio None), or each query with those to read."""
 
+    @runtime.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, centroids, sizes = None, None, None
         for batch in batches:
@@ -225,6 +229,7 @@ def _divide(width: int, ratio: float | None, least: int):
 def _rank(k: int):
     """Runs of (list, sub, piece), its vectors before its queries: each query's best classes there."""
 
+    @runtime.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, vectors, matrix, norms = None, [], [], None, None
         names = ["query_class", "class_id", "score"]

@@ -23,6 +23,7 @@ from . import runtime
 ONE_TASK = 1_000_000
 
 
+@runtime.lean
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node, component of links that fit into one task: the least label spreads, labels jump to their own labels."""
     held = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if len(b)]

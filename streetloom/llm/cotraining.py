@@ -81,6 +81,7 @@ def features(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarra
             yield row, where, shares, dense, _meta(sources[row], langs[row], sizes[row])
 
 
+@runtime.lean
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, rows = batch.column(0), []
@@ -172,6 +173,7 @@ def _batch_rows(batch: pa.RecordBatch) -> list[Rows]:
 def _histogram(views: list[View]):
     """How many documents each view gives which logit, one row a task."""
 
+    @runtime.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, BINS), np.int64)
         for batch in batches:
@@ -184,6 +186,7 @@ def _histogram(views: list[View]):
     return run
 
 
+@runtime.lean
 def _add_histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -205,6 +208,7 @@ def limits(counts: np.ndarray, share: float, positive: float, floor: float) -> t
 def _exchange(views: list[View], ends: list[tuple[int, int]]):
     """Per task: each view fitted to what the other is confident of, as slices of weights times documents."""
 
+    @runtime.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = [View(len(v.weights)) for v in views]
         for own, view in zip(fitted, views, strict=True):
@@ -241,6 +245,7 @@ def _exchange(views: list[View], ends: list[tuple[int, int]]):
     return run
 
 
+@runtime.lean
 def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[tuple[int, int], tuple[np.ndarray, int]] = {}
     for batch in batches:
@@ -304,6 +309,7 @@ def _cotrained(sample: list, truth: np.ndarray, free: DataFrame, rounds: int, pa
 
 
 def _scorer(model: Model | None):
+    @runtime.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple[float, float, float]] = []

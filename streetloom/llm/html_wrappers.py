@@ -337,6 +337,7 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1), F.lit("")))
 
 
+@runtime.lean
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, dict] = {}
 
@@ -355,6 +356,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield emit()
 
 
+@runtime.lean
 def _join_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of one host: its tasks' wrappers merged to one plan."""
     at, whole = None, None
@@ -374,6 +376,7 @@ def _join_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([at], pa.string()), pa.array([pickle.dumps(plan(whole))], pa.binary())], ["host", "plan"])
 
 
+@runtime.lean
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     plans: dict[bytes, dict] = {}
     for batch in batches:

@@ -59,6 +59,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, c
 def _local_sums(group: int, value: int):
     """Appends the running sum of column value within runs of equal column group (all rows, if -1), and the partition."""
 
+    @runtime.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, carried, total = TaskContext.get().partitionId(), None, 0
         for batch in batches:

@@ -45,6 +45,7 @@ _DOCS, _PAIRS, _MEMBERS = 0, 1, 2
 def _deal(words: int, num: int, den: int, parts: int):
     """Per task: documents (once per distinct set with postings) and postings, packed by part."""
 
+    @runtime.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = shingles.bands(num, den), set()
         docs: list[tuple] = []
@@ -105,6 +106,7 @@ _FOUND = "kind int, doc_id long, n long, s1 long, s2 long, sketch binary, shared
 _DEALT = "part int, rest int, blob binary, doc_id long, n long, s1 long, s2 long, sketch binary, shared array<int>"
 
 
+@runtime.lean
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings of a part meet: pairs of small buckets, members of large ones; documents pass through."""
     keys: list[np.ndarray] = []
@@ -180,6 +182,7 @@ def _far(column_x: pa.Array, column_y: pa.Array, rows: np.ndarray) -> np.ndarray
 def _promising(num: int, den: int):
     """Of pairs with sizes and bit sketches, those whose Hamming distance allows a link."""
 
+    @runtime.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             most = _allowed(batch.column(1).to_numpy(), batch.column(4).to_numpy(), num, den)
@@ -194,6 +197,7 @@ def _promising(num: int, den: int):
 def _exact(words: int, num: int, den: int):
     """Of pairs with texts, whether the exact shingle sets link. Pairs come by their second text, so each is hashed once."""
 
+    @runtime.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = batch.column(3).dictionary_encode()
@@ -294,6 +298,7 @@ def _between(a: _Block, b: _Block, same: bool, num: int, den: int, every: bool)
 def _blocks(num: int, den: int, every: bool):
     """Per row two blocks of a group: promising pairs between components, and a row without a pair if some are left out."""
 
+    @runtime.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: tuple[list, list, list] = ([], [], [])

@@ -104,6 +104,7 @@ def pack_lengths(lengths: list[int], window: int, slack: float = SLACK) -> list[
 
 
 def _packer(tokenizer_file: str, end_id: int, window: int, block_tokens: int):
+    @runtime.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, sequence = loaded(tokenizer_file), TaskContext.get().partitionId() << 40
         rest: list[tuple] = []  # (doc_id, start, doc_tokens, ids) of what is left of each document

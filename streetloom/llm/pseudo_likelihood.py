@@ -187,6 +187,7 @@ def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _count(parts: int):
+    @runtime.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         pending: list[np.ndarray] = []
@@ -251,6 +252,7 @@ def _of_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.R
         yield at, held
 
 
+@runtime.lean
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each part's exact counts: its words by hash, ascending, and the sums by bucket."""
     for part, rows in _of_part(batches):
@@ -266,6 +268,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _best(most: int):
     """Of the rows of several parts, the most frequent words and all sums by bucket, as one row; no word and no bucket is in two parts."""
 
+    @runtime.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64), [np.zeros((2, 0), np.int64)]
         for batch in batches:
@@ -304,12 +307,14 @@ def vocabulary(counted: DataFrame) -> Vocabulary:
     return Vocabulary(words[order], counts[order], buckets)
 
 
+@runtime.lean
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(v.as_py(), np.int64).reshape(2, -1)[1].sum()) for v in batch.column(0)], pa.int64())], ["n"])
 
 
 def _learn(words: Vocabulary, weights: list[np.ndarray], round_: int, rounds: int):
+    @runtime.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer, size = Trainer(weights), batch_for(words.n_words)
         held: list[tuple[np.ndarray, ...]] = []
@@ -342,6 +347,7 @@ def _learn(words: Vocabulary, weights: list[np.ndarray], round_: int, rounds: in
     return run
 
 
+@runtime.lean
 def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     seen: dict[int, int] = {}
@@ -385,6 +391,7 @@ def _score(words: Vocabulary, weights: list[np.ndarray], parts: int):
         none = [pa.nulls(len(blobs), kind) for kind in (pa.int64(), pa.int64(), pa.float64())]
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(blobs), rows.min())), *none, pa.array(part[cuts[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], names)
 
+    @runtime.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -410,6 +417,7 @@ def _score(words: Vocabulary, weights: list[np.ndarray], parts: int):
     return run
 
 
+@runtime.lean
 def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of a part, its counts before the rare words that ask for them: for each block the sums of log counts of its
     documents' words there."""
@@ -429,6 +437,7 @@ def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["block", "sums"])
 
 
+@runtime.lean
 def _by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of a block's answers: the sum for each of its documents."""
 

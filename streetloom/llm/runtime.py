@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from functools import lru_cache
+from functools import lru_cache, wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of an Arrow batch that goes to a Python worker.
@@ -37,6 +39,22 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def lean(run):
+    """A function over Arrow batches whose worker gives its free memory back to the system when the task ends: workers
+    stay alive between tasks, and what they hold idly adds to the memory of an executor's other stages."""
+
+    @wraps(run)
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(library := ctypes.CDLL(None), "malloc_trim"):
+                library.malloc_trim(0)
+
+    return inner
+
+
 def stage(frame: DataFrame, name: str = "stage") -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, survives lost executors."""
     path = f"{shared_folder(frame.sparkSession)}/{name}"

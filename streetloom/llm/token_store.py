@@ -131,6 +131,7 @@ class Shard:
 
 
 def _encoder(tokenizer_file: str, end_id: int, shard_tokens: int):
+    @runtime.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, part = loaded(tokenizer_file), TaskContext.get().partitionId()
         docs: list = []
@@ -174,6 +175,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, shard_to
     shards.select(F.col("payload").cast("string")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
+@runtime.lean
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for raw in batch.column(0):

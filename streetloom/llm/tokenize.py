@@ -14,13 +14,13 @@ from functools import lru_cache
 from unicodedata import is_normalized
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 
 from . import textbuf
 
 #: Units kept per worker; when full the cache starts anew, so memory stays bounded.
-CACHE_UNITS = 250_000
+CACHE_UNITS = 200_000
 #: Fixed patterns of the two public pre-tokenizers.
 BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -124,7 +124,8 @@ class UnitTokenizer:
         starts, ends = self._boundaries(buf, offsets)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        codes, keys = pd.factorize(textbuf.span_hashes(buf, starts, ends))
+        found = pa.array(textbuf.span_hashes(buf, starts, ends)).dictionary_encode()
+        codes, keys = found.indices.to_numpy(), found.dictionary.to_numpy()
         if len(self.index) + len(keys) > CACHE_UNITS:
             self._clear()
         at = [self.index.get(k, -1) for k in keys.tolist()]
