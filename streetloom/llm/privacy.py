@@ -115,30 +115,30 @@ def _share(total: int, n_term: Column) -> Column:
     return F.when(own > 0, F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * smoothed)) / own).otherwise(0.0)
 
 
-def disclosures(found: DataFrame, docs: DataFrame) -> DataFrame:
+def disclosures(found: DataFrame, docs: DataFrame, tables: runtime.Tables) -> DataFrame:
     """entity, term, share: terms that reveal an entity. found has row, copy (a hash of the text), spans and the text of rows with spans.
 
     All counts are of distinct texts."""
     spark = docs.sparkSession
-    copies = runtime.stage(found.groupBy("copy").agg(F.count("*").alias("copies")), "copies")
+    copies = tables.write(found.groupBy("copy").agg(F.count("*").alias("copies")), "copies")
     total = copies.count()
     hits = found.where("size(spans) > 0").select("row", "copy", _terms(F.col("text")).alias("terms"), F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"])))).alias("entities"))
-    once = runtime.stage(hits.join(hits.groupBy("copy").agg(F.min("row").alias("row")).select("row"), "row", "left_semi").select("row", "terms", "entities"), "hits")
+    once = tables.write(hits.join(hits.groupBy("copy").agg(F.min("row").alias("row")).select("row"), "row", "left_semi").select("row", "terms", "entities"), "hits")
     mentions = once.select("row", F.explode("entities").alias("entity"))
-    frequent = runtime.stage(mentions.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT), "entities")
+    frequent = tables.write(mentions.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT), "entities")
     listed = F.broadcast(frequent) if frequent.count() <= BROADCAST_ROWS else frequent
     rare = mentions.join(listed, "entity", "left_anti").groupBy("entity").agg(F.collect_list("row").alias("rows"))  # fewer than SUPPORT rows each
     kept = mentions.join(listed, "entity").select("row", "entity", "n_entity").union(rare.select(F.explode("rows").alias("row"), "entity", F.size("rows").cast("long").alias("n_entity")))
     words = once.select("row", F.explode("terms").alias("term"))
     # a term is at least as frequent in the corpus as beside personal data, and n_both is n_entity at most: common
     # words end here for all but very common entities, before they are paired
-    near = runtime.stage(words.groupBy("term").agg(F.count("*").alias("n_near")), "near")
+    near = tables.write(words.groupBy("term").agg(F.count("*").alias("n_near")), "near")
     common = near.where(F.col("n_near") > max(20, once.count() // 1000)).withColumnRenamed("n_near", "n_common")
     most = F.pow(F.col("n_entity").cast("double"), F.lit(GENERALISE)) * float(total) ** (1 - GENERALISE) * (1 + 1e-9)
     met = kept.join(words.join(F.broadcast(common), "term", "left"), "row").where(F.col("n_common").isNull() | (F.col("n_common") <= most))
     pairs = met.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"))
-    pairs = runtime.stage(pairs.join(near, "term").where(_share(total, F.col("n_near")) >= GENERALISE).drop("n_near"), "near_pairs")
-    candidates = runtime.stage(pairs.select("term").distinct(), "candidates")
+    pairs = tables.write(pairs.join(near, "term").where(_share(total, F.col("n_near")) >= GENERALISE).drop("n_near"), "near_pairs")
+    candidates = tables.write(pairs.select("term").distinct(), "candidates")
     n_candidates = candidates.count()
     if not n_candidates:
         return spark.createDataFrame([], "entity string, term string, share double")
@@ -164,7 +164,9 @@ def find(docs: DataFrame, keep: bool = False) -> DataFrame:
     hit_text = F.when(F.size("_spans") > 0, F.col("_text"))
     stage = runtime.stage(rows.select(name, F.monotonically_increasing_id().alias("_row"), F.xxhash64("_text").alias("_copy"), "_spans", hit_text.alias("_hit")), "spans")
     found = stage.select(F.col("_row").alias("row"), F.col("_copy").alias("copy"), F.col("_spans").alias("spans"), F.col("_hit").alias("text"))
-    reveal = runtime.stage(disclosures(found, docs).groupBy("entity").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("gone")), "disclosures")
+    tables = runtime.Tables(docs.sparkSession)
+    reveal = runtime.stage(disclosures(found, docs, tables).groupBy("entity").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("gone")), "disclosures")
+    runtime.delete(docs.sparkSession, tables.folder)
     hits = stage.where("size(_spans) > 0")
     mentions = hits.select("_row", F.explode(F.array_distinct(F.transform("_spans", lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"]))))).alias("entity"))
     flagged = mentions.join(reveal, "entity").groupBy("_row").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("_terms"), F.array_distinct(F.flatten(F.collect_list("gone"))).alias("_gone"))
