@@ -86,34 +86,36 @@ def _few(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else frame
 
 
-def running_sums(rows: DataFrame, order: list[str], value: str, group: str | None = None) -> DataFrame:
+def running_sums(rows: DataFrame, order: list[str], value: str, tables: runtime.Tables, group: str | None = None) -> DataFrame:
     """rows with running_sum: the sum of value over the rows of the group up to this one, in the given order
     (which begins with the group). Range partitions, sums inside each, then one total per partition and group."""
     runtime.bounded_batches(rows.sparkSession)
     ordered = rows.repartitionByRange(runtime.parallelism(rows.sparkSession), *order).sortWithinPartitions(*order)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    sums = runtime.stage(ordered.mapInArrow(_local_sums(rows.columns.index(group) if group else -1, rows.columns.index(value)), f"{kinds}, local_sum long, part int"), "running_sums")
+    sums = tables.write(ordered.mapInArrow(_local_sums(rows.columns.index(group) if group else -1, rows.columns.index(value)), f"{kinds}, local_sum long, part int"), "running_sums")
     keys = [group] if group else []
     totals = sums.groupBy("part", *keys).agg(F.sum(value).alias("own"))
     before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # as many rows as range partitions and groups together
-    totals = runtime.stage(totals.select("part", *keys, F.coalesce(F.sum("own").over(before), F.lit(0)).alias("base")), "totals")
+    totals = tables.write(totals.select("part", *keys, F.coalesce(F.sum("own").over(before), F.lit(0)).alias("base")), "totals")
     return sums.join(_few(totals), ["part", *keys]).select(*rows.columns, (F.col("base") + F.col("local_sum")).alias("running_sum"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, seed: str = SEED) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, copies (0 to cap), taken (copies times size)."""
-    sizes = runtime.stage(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), "sizes")
-    targets = runtime.stage(source_targets(sizes, weights, share, cap), "targets")
+    tables = runtime.Tables(docs.sparkSession)
+    sizes = tables.write(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), "sizes")
+    targets = tables.write(source_targets(sizes, weights, share, cap), "targets")
     places = targets.select("source", "place", "source_size", "target")
     keyed = sizes.join(_few(places), sizes["source"].eqNullSafe(places["source"])).select("place", shuffle_key(F.col("doc_id"), seed).alias("key"), "doc_id", "size", "source_size", "target")
-    queued = runtime.stage(running_sums(keyed, ["place", "key", "doc_id", "size"], "size", "place"), "queued")
+    queued = runtime.stage(running_sums(keyed, ["place", "key", "doc_id", "size"], "size", tables, "place"), "queued")
     finish = (F.col("round") * F.col("source_size") + F.col("running_sum")) / F.col("target")
     copies = queued.where("target > 0").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(cap - 1)))).where(F.col("round") * F.col("source_size") < F.col("target"))
     moment = ["finish", "place", "round", "key", "doc_id"]
     copies = copies.select(finish.alias("finish"), "place", "round", "key", "doc_id", "size")
     budget = targets.agg((F.lit(float(share)) * F.sum("source_size")).alias("budget"))
-    last = running_sums(copies, moment, "size").crossJoin(F.broadcast(budget)).where("running_sum <= budget").agg(F.max(F.struct(*moment)).alias("last"))
+    last = runtime.stage(running_sums(copies, moment, "size", tables).crossJoin(F.broadcast(budget)).where("running_sum <= budget").agg(F.max(F.struct(*moment)).alias("last")), "last")
+    runtime.delete(docs.sparkSession, tables.folder)
     kept = sum((F.coalesce(F.struct(((F.lit(r) * F.col("source_size") + F.col("running_sum")) / F.col("target")).alias("finish"), F.col("place"), F.lit(r).alias("round"), F.col("key"), F.col("doc_id")) <= F.col("last"), F.lit(False)) & (F.lit(r) * F.col("source_size") < F.col("target"))).cast("int") for r in range(cap))
     kept = F.when((F.col("target") > 0) & (F.col("size") > 0), kept).otherwise(F.lit(0))
     return queued.crossJoin(F.broadcast(last)).select("doc_id", "size", "source_size", "target", kept.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
