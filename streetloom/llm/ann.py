@@ -263,13 +263,14 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, ratio: float = RATI
     vectors has vec_id and embedding."""
     spark = vectors.sparkSession
     runtime.bounded_batches(spark)
+    tables = runtime.Tables(spark)
     valid = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", "embedding").mapInArrow(_packed, "vec_id long, vector binary")
-    rows = runtime.stage(valid, "vectors")
+    rows = tables.write(valid, "vectors")
     length = rows.groupBy(F.octet_length("vector").alias("bytes")).count().orderBy(F.desc("count"), "bytes").first()
     if length is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.octet_length("vector") == length["bytes"])
-    classes = runtime.stage(rows.groupBy("vector").agg(F.min("vec_id").alias("class_id")), "classes")
+    classes = tables.write(rows.groupBy("vector").agg(F.min("vec_id").alias("class_id")), "classes")
     in_class = rows.join(classes, "vector").select("class_id", "vec_id").distinct()
     # the smallest ids of each class, in two steps so that a large class is not one task's work
     salted = in_class.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
@@ -282,7 +283,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, ratio: float = RATI
     centroids = balanced_centroids(points, n_lists)
     graph = neighbour_graph(centroids) if n_lists > 1 else np.zeros((1, 1), np.int64)
 
-    postings = runtime.stage(classes.select("class_id", "vector").mapInArrow(_assign(centroids, REPLICAS, BOUNDARY), "list int, class_id long, vector binary"), "postings")
+    postings = tables.write(classes.select("class_id", "vector").mapInArrow(_assign(centroids, REPLICAS, BOUNDARY), "list int, class_id long, vector binary"), "postings")
     sizes = np.zeros(n_lists, np.int64)
     for r in postings.groupBy("list").count().collect():  # one row per centroid
         sizes[r["list"]] = r["count"]
@@ -293,7 +294,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, ratio: float = RATI
     routed = queries.mapInArrow(_route(centroids, graph, ratio, sizes, least), "list int, class_id long, vector binary")
     long = {int(c): int(n) for c, n in enumerate(sizes) if n > LONG}
     if long:
-        postings, routed = _divided(postings, routed, long, length["bytes"] // 8, ratio, 2 * least)
+        postings, routed = _divided(postings, routed, long, length["bytes"] // 8, ratio, 2 * least, tables)
     else:
         postings, routed = (f.select("list", F.lit(0).alias("sub"), "class_id", "vector") for f in (postings, routed))
     place = ["list", "sub"]
@@ -306,15 +307,15 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, ratio: float = RATI
     answers = best.join(few, "class_id").select("query_class", "vec_id", "score")
     pairs = asked.select(F.col("class_id").alias("query_class"), F.col("vec_id").alias("query_id")).join(answers, "query_class").where("vec_id <> query_id")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return tables.last(ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
 
 
-def _divided(postings: DataFrame, routed: DataFrame, long: dict[int, int], width: int, ratio: float, least: int) -> tuple[DataFrame, DataFrame]:
+def _divided(postings: DataFrame, routed: DataFrame, long: dict[int, int], width: int, ratio: float, least: int, tables: runtime.Tables) -> tuple[DataFrame, DataFrame]:
     """postings and routed queries with the division of their list (sub; 0 in lists that are not long)."""
     spark = postings.sparkSession
     parts, in_long = runtime.parallelism(spark), F.col("list").isin(*long)
     share = postings.where(in_long & (F.pmod(F.xxhash64("class_id", F.lit(3)), F.lit(DIVIDE_EVERY)) == 0))
-    fitted = runtime.stage(share.groupBy("list").applyInArrow(_fit_division, "list int, centroids binary"), "divisions")
+    fitted = tables.write(share.groupBy("list").applyInArrow(_fit_division, "list int, centroids binary"), "divisions")
     salts = F.broadcast(spark.createDataFrame([(c, max(1, n // LIST_LIMIT)) for c, n in long.items()], "list int, salts int"))
     none, no_sizes = F.lit(None).cast("binary"), F.lit(None).cast("array<long>")
 
@@ -325,7 +326,7 @@ def _divided(postings: DataFrame, routed: DataFrame, long: dict[int, int], width
         return first.union(own).repartition(parts, "list", "salt").sortWithinPartitions("list", "salt", F.col("centroids").isNull())
 
     plain = lambda rows: rows.where(~in_long).select("list", F.lit(0).alias("sub"), "class_id", "vector")
-    divided = runtime.stage(dealt(postings, fitted.withColumn("sizes", no_sizes)).mapInArrow(_divide(width, None, least), _DIVIDED), "divided")
+    divided = tables.write(dealt(postings, fitted.withColumn("sizes", no_sizes)).mapInArrow(_divide(width, None, least), _DIVIDED), "divided")
     counts = divided.groupBy("list", "sub").count().groupBy("list").agg(F.map_from_entries(F.collect_list(F.struct("sub", "count"))).alias("counts"))
     heads = fitted.join(counts, "list").select("list", "centroids", F.transform(F.sequence(F.lit(0), (F.octet_length("centroids") / (8 * width) - 1).cast("int")), lambda i: F.coalesce(F.element_at("counts", i), F.lit(0).cast("long"))).alias("sizes"))
     return plain(postings).union(divided), plain(routed).union(dealt(routed, heads).mapInArrow(_divide(width, ratio, least), _DIVIDED))
