@@ -495,6 +495,42 @@ def test_cotraining_on_held_out_rows(spark, tables):
     assert {r.score for r in cotraining.score(tables[0], None).collect()} == {0.5}
 
 
+def test_corpus_wide_limits_against_sorting():
+    rng = np.random.default_rng(8)
+    for n, share, positive, floor in ((5000, 0.1, 0.7, 0.0), (300, 0.05, 0.5, 1.0), (40, 0.15, 0.9, 2.5), (3, 0.05, 0.5, 0.0), (1000, 0.1, 0.3, np.inf)):
+        logits = rng.normal(0, 2, n)
+        low, high = cotraining.limits(np.bincount(cotraining._bins(logits), minlength=cotraining.BINS), share, positive, floor)
+        at, ranked = cotraining._bins(logits), np.sort(logits)
+        bad, good = logits[at <= low], logits[at >= high]
+        # no more than the share, all beyond the floor, and the most extreme ones
+        assert len(bad) <= share * (1 - positive) * n + 1e-9 and len(good) <= share * positive * n + 1e-9
+        assert sorted(bad) == ranked[: len(bad)].tolist() and sorted(good) == ranked[n - len(good) :].tolist()
+        width = 2 * cotraining.RANGE / cotraining.BINS
+        assert (bad <= -floor + width).all() and (good >= floor - width).all()
+
+
+def test_every_unlabelled_document_takes_part(spark):
+    """The histograms of each round count all of them, and a fit on all parts equals one on the rows together."""
+    import pyarrow as pa
+
+    rows, _ = labelled(random.Random(3), 300)
+    features = frame(spark, rows).select("doc_id", "text", "source", "lang", "n_chars").mapInArrow(cotraining._gather, cotraining._FIELDS).collect()
+    views = [cotraining.View(cotraining.BUCKETS + cotraining.DENSE), cotraining.View(cotraining._META)]
+    rng = np.random.default_rng(2)
+    for view in views:
+        view.weights, view.bias = rng.normal(size=len(view.weights)), 0.3
+    batch = lambda own: pa.RecordBatch.from_arrays([pa.array([bytes(r[c]) for r in own], pa.binary()) for c in ("at", "value", "dense", "meta")], ["at", "value", "dense", "meta"])
+    parts = [b for own in (features[:100], features[100:]) for b in cotraining._histogram(views)(iter([batch(own)]))]
+    (whole,) = cotraining._histogram(views)(iter([batch(features)]))
+    summed = {r["view"]: np.frombuffer(r["counts"], np.int64) for b in cotraining._add_histograms(iter(parts)) for r in b.to_pylist()}
+    for r in whole.to_pylist():
+        assert summed[r["view"]].tolist() == np.frombuffer(r["counts"], np.int64).tolist() and summed[r["view"]].sum() == len(rows)
+    sparse = cotraining.sparse(*([bytes(r[c]) for r in features] for c in ("at", "value", "dense", "meta")))
+    for k, (view, (at, value, row)) in enumerate(zip(views, sparse, strict=True)):
+        plain = [sum(view.weights[a] * v for a, v in zip(at[row == i], value[row == i], strict=True)) + view.bias for i in range(20)]
+        assert view.logits((at, value, row), len(features))[:20] == pytest.approx(plain), k
+
+
 def test_pseudo_likelihood(spark, tables):
     rng = random.Random(2)
     order = [(i, " ".join("alpha beta gamma delta".split() * 30), "en", "a", 1) for i in range(80)]
