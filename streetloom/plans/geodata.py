@@ -273,7 +273,7 @@ SQL = {
     "p16_bounding_box": "SELECT centroid_id FROM centroids WHERE lon BETWEEN 6.58 AND 6.64 AND lat BETWEEN 46.51 AND 46.55",
     "a22_area_per_road": "SELECT road_id, sum(area)::BIGINT AS area, count(DISTINCT poly_id) AS polygons FROM habitats GROUP BY road_id",
     "w03_habitat_windows": "WITH r AS (SELECT road_id, code[1:3] AS prefix, poly_id, sum(area)::BIGINT AS area, min(CASE WHEN road_x < area_x THEN 'left' ELSE 'right' END) AS side FROM habitats GROUP BY 1, 2, 3), g AS (SELECT road_id, prefix, sum(area)::BIGINT AS total, max(area) AS largest, count(*)::INT AS polygons, string_agg(poly_id::VARCHAR, '-' ORDER BY poly_id) AS members FROM r GROUP BY 1, 2) SELECT road_id, prefix, poly_id, side, total, largest, round(total::DOUBLE / largest, 6) AS gain, polygons, members FROM (SELECT *, row_number() OVER (PARTITION BY prefix, poly_id ORDER BY road_id) AS place FROM r) JOIN g USING (road_id, prefix) WHERE place = 1",
-    "a24_connectivity": "WITH c AS (SELECT code[1:1] AS kind, poly_id, sum(area)::DOUBLE AS a FROM habitats WHERE poly_id < 60 GROUP BY 1, 2), t AS (SELECT kind, sum(a) AS total FROM c GROUP BY kind) SELECT kind, round(sum(x.a * y.a * exp(-abs(x.poly_id - y.poly_id) * 100.0 / 500.0)) / any_value(total * total), 9) AS pc FROM c x JOIN c y USING (kind) JOIN t USING (kind) GROUP BY kind",
+    "a24_connectivity": "WITH c AS (SELECT code[1:1] AS kind, poly_id, sum(area)::DOUBLE AS a FROM habitats GROUP BY 1, 2), t AS (SELECT kind, sum(a) AS total FROM c GROUP BY kind) SELECT kind, round(sum(x.a * y.a * exp(-abs(x.poly_id - y.poly_id) * 100.0 / 500.0)) / any_value(total * total), 9) AS pc FROM c x JOIN c y USING (kind) JOIN t USING (kind) GROUP BY kind",
     "a18_track_lines": "WITH p AS (SELECT *, lag(lon) OVER w AS px, lag(lat) OVER w AS py FROM tracks WHERE lon IS NOT NULL WINDOW w AS (PARTITION BY date, vehicle ORDER BY seq)) SELECT date, vehicle, count(*) AS points, min(seq) AS first_seq, round(sum(sqrt((px - lon) * (px - lon) + (py - lat) * (py - lat)) ORDER BY seq), 9) AS length FROM p GROUP BY date, vehicle HAVING count(*) >= 2",
     "a19_track_statistics": "WITH p AS (SELECT *, lag(lon) OVER w AS px, lag(lat) OVER w AS py FROM tracks WHERE lon IS NOT NULL WINDOW w AS (PARTITION BY date, vehicle ORDER BY seq)), l AS (SELECT date, vehicle, count(*) AS points, sum(sqrt((px - lon) * (px - lon) + (py - lat) * (py - lat))) AS length FROM p GROUP BY date, vehicle HAVING count(*) >= 2) SELECT count(DISTINCT date) AS days, count(DISTINCT vehicle) AS vehicles, round(avg(points), 6) AS mean_points, round(sum(length), 4) AS length FROM l",
     "a20_distinct_values": "SELECT (SELECT string_agg(b, '|' ORDER BY b) FROM (SELECT DISTINCT p_brand AS b FROM part)) AS p_brand, (SELECT string_agg(b, '|' ORDER BY b) FROM (SELECT DISTINCT p_type AS b FROM part)) AS p_type",

@@ -401,8 +401,8 @@ SQL = {
     "r06_subsample": f"SELECT centroid_id, waste_type FROM centroids ORDER BY {_DRAW.format(key=chr(39) + '42:' + chr(39) + ' || centroid_id')}, centroid_id LIMIT 100",
     "p20_radius_nodes": "SELECT node_id FROM road_nodes WHERE sqrt(pow((y - 46.52) * 111.0, 2) + pow((x - 6.6) * 111.0 * 0.7, 2)) <= 2.0",
     "p12_points_in_hull": f"SELECT centroid_id AS id, waste_type FROM centroids WHERE ({_INSIDE}) % 2 = 1",
-    "j15_nearest_node": f"SELECT centroid_id AS id, round(min({_KM.format(a='c.', b='n.')}), 9) AS km FROM centroids c, road_nodes n WHERE abs(c.lon - n.x) < 0.012 AND abs(c.lat - n.y) < 0.012 GROUP BY centroid_id",
-    "c01_clients": f"""WITH i AS (SELECT * FROM centroids WHERE ({_INSIDE}) % 2 = 1), s AS (SELECT c.centroid_id, any_value(c.count) AS count, arg_min(n.node_id, {_KM.format(a='c.', b='n.')}) AS node FROM i c, road_nodes n WHERE abs(c.lon - n.x) < 0.012 AND abs(c.lat - n.y) < 0.012 GROUP BY c.centroid_id)
+    "j15_nearest_node": f"SELECT centroid_id AS id, round(min({_KM.format(a='c.', b='n.')}), 9) AS km FROM centroids c, road_nodes n GROUP BY centroid_id",
+    "c01_clients": f"""WITH i AS (SELECT * FROM centroids WHERE ({_INSIDE}) % 2 = 1), s AS (SELECT c.centroid_id, any_value(c.count) AS count, arg_min(n.node_id, {_KM.format(a='c.', b='n.')}) AS node FROM i c, road_nodes n GROUP BY c.centroid_id)
   SELECT count(DISTINCT node) AS nodes, sum(greatest(floor(count * 12.5)::BIGINT, 1))::BIGINT AS demand FROM s""",
     "c02_depots": "WITH f AS (SELECT centroid_id % 150 AS node, sum(count)::BIGINT AS demand FROM centroids GROUP BY centroid_id % 150), e AS (SELECT * FROM (VALUES (3, 0::BIGINT, true, 0), (120, 0, true, 1)) t(node, demand, is_depot, depot_id) UNION ALL SELECT node, demand, false, NULL FROM f WHERE node NOT IN (3, 120)) SELECT (row_number() OVER (ORDER BY is_depot DESC, depot_id, node) - 1)::INT AS location, node, demand, is_depot FROM e",
     "c13_demand": "SELECT centroid_id, greatest(floor(count * 0.4::DOUBLE)::BIGINT, 1) AS kg FROM centroids",
