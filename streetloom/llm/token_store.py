@@ -36,6 +36,8 @@ MAGIC = b"DAC1"
 #: Ids and bytes of text that a shard holds at most (one longer document makes a shard of its own).
 SHARD_TOKENS = 1 << 20
 RANK_EVERY = 512
+#: Values that are packed at once, a multiple of eight.
+PIECE = 1 << 15
 FIELDS = "doc_id long, part int, shard int, shard_start long, local_start long, n_tokens long, ids_crc32 long"
 
 
@@ -58,7 +60,17 @@ def chunk_widths(values: np.ndarray) -> list[int]:
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
-    return np.packbits(((values[:, None] >> np.arange(width)) & 1).astype(np.uint8), bitorder="little")
+    # in pieces that end on whole bytes: a value's bits take eight bytes each on the way
+    pieces = [np.packbits(((values[a : a + PIECE, None] >> np.arange(width)) & 1).astype(np.uint8), bitorder="little") for a in range(0, len(values), PIECE)]
+    return np.concatenate(pieces) if pieces else np.zeros(0, np.uint8)
+
+
+def _unpack(chunks: np.ndarray, n: int, width: int) -> np.ndarray:
+    out, weights = np.empty(n, np.int64), 1 << np.arange(width, dtype=np.int64)
+    for a in range(0, n, PIECE):
+        m = min(PIECE, n - a)
+        out[a : a + m] = np.unpackbits(chunks[a * width // 8 :], count=m * width, bitorder="little").reshape(m, width) @ weights
+    return out
 
 
 def encode_shard(ids: np.ndarray, doc_ids: list, offsets: np.ndarray, **facts) -> bytes:
@@ -104,8 +116,7 @@ class Shard:
         values = np.zeros(0, np.int64)
         for k in range(len(self.header["widths"]) - 1, -1, -1):
             width, n = self.header["widths"][k], self.header["sizes"][k]
-            bits = np.unpackbits(self.arrays[f"chunks{k}"], count=n * width, bitorder="little").reshape(n, width)
-            chunk = bits @ (1 << np.arange(width, dtype=np.int64)) if n else np.zeros(0, np.int64)
+            chunk = _unpack(self.arrays[f"chunks{k}"], n, width)
             more = np.unpackbits(self.arrays[f"bits{k}"], count=n, bitorder="little").astype(bool)
             chunk[more] |= values << width
             values = chunk
