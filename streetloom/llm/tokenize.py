@@ -20,7 +20,7 @@ import regex
 from . import textbuf
 
 #: Units kept per worker; when full the cache starts anew, so memory stays bounded.
-CACHE_UNITS = 200_000
+CACHE_UNITS = 600_000
 #: Fixed patterns of the two public pre-tokenizers.
 BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -59,7 +59,8 @@ class UnitTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[int, int] = {}
+        # hashes of the units seen, ascending, and where each stands: two arrays hold far less than a dictionary
+        self.known, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.store = np.zeros(1 << 16, np.int32)
         self.begin = np.zeros(1 << 14, np.int64)
         self.used = 0
@@ -126,15 +127,18 @@ class UnitTokenizer:
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         found = pa.array(textbuf.span_hashes(buf, starts, ends)).dictionary_encode()
         codes, keys = found.indices.to_numpy(), found.dictionary.to_numpy()
-        if len(self.index) + len(keys) > CACHE_UNITS:
+        if len(self.known) + len(keys) > CACHE_UNITS:
             self._clear()
-        at = [self.index.get(k, -1) for k in keys.tolist()]
-        places = np.array(at, np.int64)
+        at = np.searchsorted(self.known, keys)
+        places = np.full(len(keys), -1, np.int64)
+        hit = np.flatnonzero(at < len(self.known))
+        hit = hit[self.known[at[hit]] == keys[hit]]
+        places[hit] = self.places[at[hit]]
         fresh = np.flatnonzero(places < 0)
         if len(fresh):
             first = np.empty(len(keys), np.int64)
             first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            base = len(self.index)
+            base = len(self.known)
             rows, data = [], buf.tobytes()
             for i in first[fresh].tolist():
                 rows.append(self._unit(data[starts[i] : ends[i]]))
@@ -148,7 +152,10 @@ class UnitTokenizer:
             self.begin[base + 1 : base + len(rows) + 1] = self.used + np.cumsum(sizes)
             self.used += len(flat)
             places[fresh] = np.arange(base, base + len(rows))
-            self.index.update(zip(keys[fresh].tolist(), range(base, base + len(rows)), strict=True))
+            order = fresh[np.argsort(keys[fresh])]
+            at = np.searchsorted(self.known, keys[order])
+            self.places = np.insert(self.places, at, places[order])
+            self.known = np.insert(self.known, at, keys[order])
         where = places[codes]
         begin = self.begin[where]
         sizes = self.begin[where + 1] - begin
